@@ -1,0 +1,4 @@
+"""Registered queries of the spatial operators, and their DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
