@@ -1,9 +1,10 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, mixing
+from gridlode.llm import decontaminate, mixing, toxicity
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLE = {
