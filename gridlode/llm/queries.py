@@ -1,13 +1,16 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, mixing, toxicity
+from gridlode.llm import decontaminate, mixing, near_duplicates, quality_rules, toxicity
 
 QUERIES = {
+    "op3_near_dedup": near_duplicates.op3_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE = {
+    "op3_near_dedup": near_duplicates.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
