@@ -7,11 +7,12 @@ document holds less. The permutation is a line modulo the prime RANKS, so any tw
 the joint distribution of a uniform permutation, on which the lower variance rests.
 
 Equal sets become one class first. Classes that agree in a band meet in a bucket, where each
-is compared with the bucket's least class only. Verified links join classes into components;
-then only those members of one bucket that are still in different components are compared
-with one another, so no link is lost to the choice of representatives, and a group of copies
-costs as many comparisons as it has members. A similarity of 0.75 escapes all BANDS bands of
-BAND_ROWS values with a probability of 1e-10. Links are confirmed on the full sets.
+is compared with the bucket's most central class only. Verified links join classes into
+components; then those members of one bucket that are still in different components are
+compared, where their rarest shingles meet, so no link is lost to the choice of
+representatives, and a group of copies costs about as many comparisons as it has members.
+A similarity of 0.75 escapes all BANDS bands of BAND_ROWS values with a probability of 1e-10.
+Links are confirmed on the full sets.
 
 Defined cases: a null text or one without words is empty and linked with nothing; fewer than
 five words count as one shingle; rows without an id take part and take the least id of their
@@ -29,14 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlode.llm.storage import written
-from gridlode.llm.textcols import as_long, binaries, column_of, hash_words, mix, pieces, runs, whole
+from gridlode.llm.textcols import as_long, column_of, hash_words, mix, pieces, runs, whole
 from gridlode.plans.materialize import materialize
 
 SHINGLE, PERCENT = 5, 75
 RANKS, BAND_ROWS = 127, 3
 BANDS = RANKS // BAND_ROWS
-#: Pairs whose signatures agree in less than this share of places are not verified: five standard errors below 0.75.
-LEAST_ESTIMATE = 0.55
 
 U64 = np.uint64
 
@@ -80,7 +79,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for total, salt in zip(sums, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
                     np.add.at(total, row, mix(elements ^ U64(salt)))
                 signature = superminhash(elements, row, rows)
-                short = (mix(signature) & U64(0xFFFF)).astype(np.uint16)
                 in_bands = signature[:, : BANDS * BAND_ROWS].reshape(rows, BANDS, BAND_ROWS)
                 band = mix(np.arange(1, BANDS + 1, dtype=U64))[None, :]
                 for i in range(BAND_ROWS):
@@ -94,10 +92,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(count),
                         pa.array(as_long(sums[0]), mask=empty),
                         pa.array(as_long(sums[1])),
-                        binaries(short.ravel(), np.full(rows, RANKS)),
                         pa.ListArray.from_arrays(offsets, pa.array(as_long(band.ravel()))),
                     ],
-                    names=["id", "text_key", "n_shingles", "node", "check", "signature", "bands"],
+                    names=["id", "text_key", "n_shingles", "node", "check", "bands"],
                 )
 
 
@@ -109,20 +106,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column_of(piece, "node"), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(as_long(elements)))], names=["node", "n", "shingles"])
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), np.uint16).reshape(batch.num_rows, RANKS) for c in ("sa", "sb"))
-        near = pa.array((a == b).mean(axis=1) >= LEAST_ESTIMATE)
-        yield pa.RecordBatch.from_arrays([column_of(batch, "a"), column_of(batch, "b")], names=["a", "b"]).filter(near)
-
-
 def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, text_key, n_shingles, node and check (hashes of the set), signature and bands."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text_key long, n_shingles long, node long, check long, signature binary, bands array<long>").fields])
+    """One row per document: id, text_key, n_shingles, node and check (hashes of the set) and bands."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text_key long, n_shingles long, node long, check long, bands array<long>").fields])
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(_sign, schema), "signatures")
 
@@ -136,6 +126,31 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def apart(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of buckets' members in different components that may be linked.
+
+    Of two linked sets in one order of elements, the first quarters meet. The order is by
+    rarity, so a text's own words come first and those that a whole group shares seldom count.
+    """
+    mixed = members.select("band", "node").join(labels, "node")
+    differ = mixed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    open_nodes = mixed.join(differ, "band").groupBy("node").agg(F.min("label").alias("label"))
+    held = written(sets.join(open_nodes, "node"), "open")
+    each = held.select("node", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = each.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+    own = F.col("n") - F.size("rare")
+    quarter = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
+    lead = held.select("node", "n", "label").join(order, "node").withColumn("take", (quarter - own).cast("int")).where("take > 0")
+    lead = written(lead.select("node", "n", "label", F.explode(F.slice("rare", F.lit(1), F.col("take"))).alias("e")).select("node", "n", "label", "e.s"), "leads")
+    several = lead.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
+    lead = lead.join(several, "s")
+    m, o = lead.alias("m"), lead.alias("o")
+    close = (100 * F.col("m.n") >= PERCENT * F.col("o.n")) & (100 * F.col("o.n") >= PERCENT * F.col("m.n"))
+    pairs = m.join(o, (F.col("m.s") == F.col("o.s")) & (F.col("m.label") < F.col("o.label")) & close)
+    return pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and label, the least node reachable: least labels spread over edges, and every label jumps to its own label."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -160,13 +175,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("first_id"),
         F.min(F.struct("id", "text_key")).alias("one"),
         F.count(F.lit(1)).alias("copies"),
-        F.first("n_shingles").alias("n"),
-        F.first("signature").alias("signature"),
         F.first("bands").alias("bands"),
     )
     classes = written(grouped, "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("band", "rep")
+    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
     members = written(banded.join(buckets, "band"), "members")
     nodes = written(members.groupBy("node").agg(F.lit(1).alias("one")).select("node"), "nodes")
     found = classes.join(nodes, "node").select("node", "one.id", "one.text_key")
@@ -174,20 +187,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = found.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node long, n long, shingles array<long>"), "sets")
 
-    stars = members.where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agree"))
-    best = stars.groupBy("node").agg(F.min(F.struct((-F.col("agree")).alias("less"), "rep")).alias("best"))
-    first = written(linked(best.select(F.col("node").alias("a"), F.col("best.rep").alias("b")), sets), "links")
+    # the member that meets most others is the nearest to the core of its bucket
+    size = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    central = members.join(size, "band").groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = members.join(central, "node")
+    reps = ranked.groupBy("band").agg(F.max_by("node", F.struct("meets", "node")).alias("rep"))
+    stars = ranked.join(reps, "band").where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agree"))
+    best = stars.groupBy("node").agg(F.max_by("rep", F.struct("agree", "rep")).alias("b"))
+    first = written(linked(best.select(F.col("node").alias("a"), "b"), sets), "links")
     labels = components(first, nodes)
-    mixed = members.select("band", "node").join(labels, "node")
-    differ = mixed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    mixed = written(mixed.join(differ, "band").join(classes.select("node", "n"), "node"), "mixed")
-    m, o = mixed.alias("m"), mixed.alias("o")
-    close = (100 * F.col("m.n") >= PERCENT * F.col("o.n")) & (100 * F.col("o.n") >= PERCENT * F.col("m.n"))
-    pairs = m.join(o, (F.col("m.band") == F.col("o.band")) & (F.col("m.label") < F.col("o.label")) & close)
-    pairs = pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
-    s = classes.select("node", "signature")
-    pairs = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    second = written(linked(pairs.select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long"), sets), "more_links")
+    second = written(linked(apart(members, labels, sets), sets), "more_links")
     if not second.isEmpty():
         labels = components(first.unionByName(second), nodes)
     groups = classes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", "check", "first_id", F.coalesce("label", "node").alias("label"))

@@ -1,13 +1,15 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, mixing, near_duplicates, quality_rules, toxicity
+from gridlode.llm import decontaminate, html_extract, mixing, near_duplicates, quality_rules, toxicity, url_filters
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op3_near_dedup": near_duplicates.op3_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE = {
     "op3_near_dedup": near_duplicates.OP3_SQL,
