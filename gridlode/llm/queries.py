@@ -1,9 +1,10 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, html_extract, mixing, near_duplicates, quality_rules, toxicity, url_filters
+from gridlode.llm import decontaminate, html_extract, licenses, mixing, near_duplicates, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_near_dedup": near_duplicates.op3_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op3_near_dedup": near_duplicates.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
