@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, html_extract, licenses, mixing, near_duplicates, quality_rules, toxicity, url_filters
+from gridlode.llm import decontaminate, html_extract, licenses, line_dedup, mixing, near_duplicates, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE = {
