@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlode.llm import decontaminate, mixing
+from gridlode.llm import decontaminate, line_dedup, mixing, near_duplicates, toxicity
 from gridlode.llm.storage import written
 
 STAGES = [
+    ("toxicity", toxicity.stage),
+    ("line dedup", line_dedup.stage),
+    ("near dedup", near_duplicates.stage),
     ("decontamination", decontaminate.stage),
     ("mixing", mixing.stage),
 ]
 
-#: Fuzzy joins and a trained model are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: A trained model and fuzzy matches are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, html_extract, licenses, line_dedup, mixing, near_duplicates, quality_rules, toxicity, url_filters
+from gridlode.llm import decontaminate, html_extract, language_model, licenses, line_dedup, mixing, near_duplicates, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_near_dedup": near_duplicates.op3_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lm_score": language_model.op6_lm_score,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
