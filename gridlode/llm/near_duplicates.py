@@ -9,7 +9,7 @@ the joint distribution of a uniform permutation, on which the lower variance res
 Equal sets become one class first. Classes that agree in a band meet in a bucket, where each
 is compared with the bucket's most central class only. Verified links join classes into
 components; then those members of one bucket that are still in different components are
-compared, where their rarest shingles meet, so no link is lost to the choice of
+compared, where their rarest shingles meet early enough, so no link is lost to the choice of
 representatives, and a group of copies costs about as many comparisons as it has members.
 A similarity of 0.75 escapes all BANDS bands of BAND_ROWS values with a probability of 1e-10.
 Links are confirmed on the full sets.
@@ -36,6 +36,8 @@ from gridlode.plans.materialize import materialize
 SHINGLE, PERCENT = 5, 75
 RANKS, BAND_ROWS = 127, 3
 BANDS = RANKS // BAND_ROWS
+#: Central classes, of up to BANDS buckets, that each class is compared with at first.
+REPS = 3
 
 U64 = np.uint64
 
@@ -142,12 +144,15 @@ def apart(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     own = F.col("n") - F.size("rare")
     quarter = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
     lead = held.select("node", "n", "label").join(order, "node").withColumn("take", (quarter - own).cast("int")).where("take > 0")
-    lead = written(lead.select("node", "n", "label", F.explode(F.slice("rare", F.lit(1), F.col("take"))).alias("e")).select("node", "n", "label", "e.s"), "leads")
+    lead = lead.select("node", "n", "label", own.alias("own"), F.posexplode(F.slice("rare", F.lit(1), F.col("take"))).alias("at", "e"))
+    # as many elements are left from here on, which bounds what two sets share if this is the first that they share
+    lead = written(lead.select("node", "n", "label", "e.s", (F.col("n") - F.col("own") - F.col("at")).alias("left")), "leads")
     several = lead.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
     lead = lead.join(several, "s")
     m, o = lead.alias("m"), lead.alias("o")
     close = (100 * F.col("m.n") >= PERCENT * F.col("o.n")) & (100 * F.col("o.n") >= PERCENT * F.col("m.n"))
-    pairs = m.join(o, (F.col("m.s") == F.col("o.s")) & (F.col("m.label") < F.col("o.label")) & close)
+    enough = (100 + PERCENT) * F.least("m.left", "o.left") >= PERCENT * (F.col("m.n") + F.col("o.n"))
+    pairs = m.join(o, (F.col("m.s") == F.col("o.s")) & (F.col("m.label") < F.col("o.label")) & close & enough)
     return pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
 
 
@@ -193,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = members.join(central, "node")
     reps = ranked.groupBy("band").agg(F.max_by("node", F.struct("meets", "node")).alias("rep"))
     stars = ranked.join(reps, "band").where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agree"))
-    best = stars.groupBy("node").agg(F.max_by("rep", F.struct("agree", "rep")).alias("b"))
-    first = written(linked(best.select(F.col("node").alias("a"), "b"), sets), "links")
+    best = stars.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "rep")), False), 1, REPS).alias("best"))
+    first = written(linked(best.select(F.col("node").alias("a"), F.explode("best.rep").alias("b")), sets), "links")
     labels = components(first, nodes)
     second = written(linked(apart(members, labels, sets), sets), "more_links")
     if not second.isEmpty():
