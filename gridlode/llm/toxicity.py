@@ -28,7 +28,7 @@ from gridlode.plans.materialize import materialize
 
 BITS = 20
 MAX_LABELLED = 16_000
-EPOCHS, ALPHA, BETA, L1, L2 = 6, 1.0, 1.0, 4.0, 0.01
+EPOCHS, ALPHA, BETA, L1, L2 = 6, 2.0, 1.0, 6.0, 0.01
 FOLDS, HELD_OUT = 5, 0
 
 
