@@ -60,7 +60,7 @@ def superminhash(elements: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray
     step = (seed >> U64(32)) % U64(RANKS - 1) + U64(1)
     for rank in range(RANKS):
         place = ((start + U64(rank) * step) % U64(RANKS)).astype(np.int64)
-        drawn = (mix(elements + U64(rank + 1) * U64(0xD1342543DE82EF95)) >> U64(8)) | U64(rank << 56)
+        drawn = (mix(elements + U64((rank + 1) * 0xD1342543DE82EF95 % 2**64)) >> U64(8)) | U64(rank << 56)
         np.minimum.at(signature, row * RANKS + place, drawn)
         open_rows = (signature.reshape(rows, RANKS).max(axis=1) >> U64(56)) > rank
         going = open_rows[row]
