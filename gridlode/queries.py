@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlode.functions import numeric
-from gridlode.operators import components, features, geometry, grid, metrics, sampling
+from gridlode.operators import components, features, geometry, grid, metrics, models, sampling
 from gridlode.sources import tables
 
 SIDE = tables.SIDE
@@ -461,3 +461,36 @@ def commodity_filter(spark, d):
 @query(f"WITH {CELLS}, {RAST} SELECT 'v' AS layer, min(v) AS lo, max(v) AS hi, round(avg((v IS NULL)::INT), 6) AS missing FROM rast")
 def layer_report(spark, d):
     return tables.raster(spark, d).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), _rounded(F.avg(F.col("v").isNull().cast("int"))).alias("missing")).withColumn("layer", F.lit("v"))
+
+
+# models: Spark ML's fits are beyond SQL; tests/test_models.py holds them against planted labels
+
+
+def _modelled(estimator):
+    def run(spark, d):
+        g, columns = tables.samples(spark, d), [f"f{i}" for i in range(13)]
+        train, test = g.where("block % 5 <> 0"), g.where("block % 5 = 0")
+        return models.fit_score(estimator(columns), train, test).select("cell_id", "presence", "score")
+
+    return run
+
+
+for _name, _estimator in {
+    "forest_scores": lambda c: models.forest(c, trees=20),
+    "boosted_scores": lambda c: models.boosted(c, rounds=10),
+    "logistic_scores": models.logistic,
+    "maxent_scores": lambda c: models.logistic(c, degree=2, penalty=0.1),
+}.items():
+    QUERIES[_name] = _modelled(_estimator)
+
+
+@query()
+def ensemble_scores(spark, d):
+    return models.ensemble(tables.samples(spark, d), "cell_id", [f"f{i}" for i in range(13)], rounds=2, trees=10, boosts=5)
+
+
+@query()
+def reliable_negative_scores(spark, d):
+    g, columns = tables.samples(spark, d), [f"f{i}" for i in range(13)]
+    first = models.fit_score(models.logistic(columns), g, g, "first")
+    return models.fit_score(models.forest(columns, trees=10), models.reliable_negatives(first, "first"), g).select("cell_id", "score")
