@@ -125,3 +125,38 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return judge(docs).drop("text", "lang")
+
+
+_K = ", ".join(f"({j}, '{w}')" for j, w in enumerate(COMMON_WORDS))
+_LANGS = ", ".join(f"'{x}'" for x in COMMON)
+_COUNTS = {k: "len(regexp_extract_all(t, '" + v.replace("'", "''") + "'))" for k, v in CLASSES.items()}
+_LINES = "list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')"
+
+#: DuckDB SQL of op8_quality_rules.
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w FROM documents),
+n AS (
+  SELECT r, doc_id, lang, w, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols,
+         (len({_LINES}) - len(list_distinct({_LINES})))::BIGINT AS n_dup_lines, length(t)::BIGINT AS chars, [{", ".join(_COUNTS.values())}] AS cs FROM d),
+cls AS (SELECT 'c' AS kind, r, lang, n_words, unnest(range({len(CLASSES) + 3})) AS j, unnest(cs || [n_symbols, chars - word_chars, word_chars - n_symbols - list_sum(cs)]) AS x FROM n),
+k AS (SELECT * FROM (VALUES {_K}) AS v(j, word)),
+hits AS (SELECT r, j, count(*) AS x FROM (SELECT r, unnest(w) AS word FROM n) JOIN k USING (word) GROUP BY r, j),
+com AS (
+  SELECT 'w' AS kind, n.r, lang, n_words, k.j, coalesce(x, 0) AS x FROM n CROSS JOIN k LEFT JOIN hits ON hits.r = n.r AND hits.j = k.j
+  UNION ALL SELECT 'w', n.r, lang, n_words, {len(COMMON_WORDS)}, n_words - coalesce((SELECT sum(x) FROM hits WHERE hits.r = n.r), 0) FROM n),
+hist AS (SELECT kind, r, lang, n_words, j, x::DOUBLE AS x FROM cls UNION ALL SELECT kind, r, lang, n_words, j, x::DOUBLE FROM com),
+pooled AS (SELECT kind, lang, j, sum(x) AS y FROM hist WHERE n_words >= {MIN_WORDS} AND lang IN ({_LANGS}) GROUP BY kind, lang, j),
+q AS (SELECT kind, lang, j, y / sum(y) OVER (PARTITION BY kind, lang) AS q FROM pooled),
+p AS (SELECT kind, r, j, x / nullif(sum(x) OVER (PARTITION BY kind, r), 0) AS p FROM hist),
+js AS (
+  SELECT kind, r, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS dist
+  FROM p JOIN q USING (kind, j) WHERE p IS NOT NULL GROUP BY kind, r, lang),
+far AS (SELECT r, round(min(dist) FILTER (kind = 'c'), 6) AS cd, round(min(dist) FILTER (kind = 'w'), 6) AS wd FROM js GROUP BY r),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM n WHERE len(w) >= 3)),
+again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT pos) AS x FROM (SELECT r, unnest(range(i, i + 3)) AS pos FROM again) GROUP BY r),
+j AS (SELECT n.*, coalesce(rep.x, 0)::BIGINT AS n_repeat_words, cd, wd, {CHANCE} / sqrt(greatest(n_words, 1)) AS chance FROM n LEFT JOIN rep USING (r) LEFT JOIN far USING (r)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cd AS class_distance, wd AS word_distance, base_failed,
+       NOT base_failed AND NOT coalesce(cd > {MAX_CLASS_DISTANCE} + chance OR wd > {MAX_WORD_DISTANCE} + chance, false) AS kept FROM b
+"""

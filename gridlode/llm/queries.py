@@ -19,4 +19,5 @@ ORACLE = {
     "op3_near_dedup": near_duplicates.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
