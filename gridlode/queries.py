@@ -262,9 +262,9 @@ def connected_zones(spark, d):
     return components.label_zones(_marked(spark, d), SIDE).select("r", "c", "zone")
 
 
-@query(f"WITH RECURSIVE {CELLS}, {_ZONE} SELECT zone, count(*) AS cells, round(sum(p), 3) AS strength FROM l JOIN m USING (r, c) GROUP BY zone HAVING count(*) >= 4 ORDER BY round(sum(p), 6) DESC, zone DESC LIMIT 30")
+@query(f"WITH RECURSIVE {CELLS}, {_ZONE} SELECT zone, count(*) AS cells, round(sum(p), 4) AS strength FROM l JOIN m USING (r, c) GROUP BY zone HAVING count(*) >= 4 ORDER BY round(sum(p), 6) DESC, zone DESC LIMIT 30")
 def strongest_zones(spark, d):
-    return components.strongest_zones(_marked(spark, d), "p", SIDE, 4, 30).select("zone", "cells", _rounded("strength", 3).alias("strength"))
+    return components.strongest_zones(_marked(spark, d), "p", SIDE, 4, 30).select("zone", "cells", _rounded("strength", 4).alias("strength"))
 
 
 # geometry
