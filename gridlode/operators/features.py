@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlode.functions.numeric import clip01, proximity, robust_01, rooted
+from gridlode.functions.numeric import clip01, proximity, quantiles, robust_01, rooted
+from gridlode.operators.components import label_zones
+from gridlode.operators.grid import smooth
 from gridlode.plans.materialize import materialize
 
 #: Root and quantile of the proximity of each factor.
@@ -56,3 +58,22 @@ def taxonomy_score(cells: DataFrame, distances: dict[str, str]) -> DataFrame:
     mean, spread = weighed.agg(F.avg("_c"), F.stddev_pop("_c")).first()
     out = weighed.withColumn("taxonomy_distance", F.col("_c") / F.lit((mean or 0.0) + 2.0 * (spread or 0.0))).drop("_c")
     return out.withColumn("geo_score", robust_01(out, -F.col("taxonomy_distance"), 0.02, 0.98))
+
+
+def prospectivity(cells: DataFrame, score: str, rows: int, columns: int) -> DataFrame:
+    """cells (r, c) with prospectivity, the twice smoothed score scaled by quantiles, and prognoz, its complement."""
+    smoothed = materialize(smooth(cells, score, rows, columns, 2))
+    out = cells.join(smoothed.select("r", "c", robust_01(smoothed, F.col(score), 0.02, 0.98).alias("prospectivity")), ["r", "c"])
+    return out.withColumn("prognoz", 1.0 - F.col("prospectivity"))
+
+
+def gold_zones(cells: DataFrame, score: str, magm: str, coincidence: str, columns: int, share: float = 0.98, least_cells: int = 4, most: int = 30) -> DataFrame:
+    """r, c, zone and rank of the strongest zones of cells in the top share; strength favours cells where factors meet."""
+    limit = quantiles(cells, F.col(score), [share])[0]
+    strength = F.col(score) * (0.5 + 0.5 * F.col(magm) + 0.5 * F.col(coincidence))
+    top = materialize(cells.where(F.col(score) >= limit).select("r", "c", strength.alias("strength")))
+    labelled = materialize(label_zones(top, columns))
+    zones = labelled.groupBy("zone").agg(F.count(F.lit(1)).alias("cells"), F.sum("strength").alias("total")).where(F.col("cells") >= least_cells)
+    best = zones.orderBy(F.round("total", 6).desc(), F.col("zone").desc()).limit(most)
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.round("total", 6).desc(), F.col("zone").desc())))  # most rows at most
+    return labelled.join(F.broadcast(ranked.select("zone", "rank")), "zone").select("r", "c", "zone", "rank")

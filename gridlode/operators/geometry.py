@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,24 @@ def segment_in_circle(x: Column, y: Column, radius: float, x1: Column, y1: Colum
     return F.when((a > 0) & (d > 0) & (hi > lo), (hi - lo) * F.sqrt(a)).otherwise(0.0)
 
 
+def cell_segment_distance(x: Column, y: Column, half: float, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Least distance between a segment and the square cell of half that side around x, y; 0 where they touch."""
+
+    def slab(at: Column, start: Column, step: Column) -> tuple[Column, Column]:
+        within = F.abs(start - at) <= half
+        a, b = F.try_divide(at - half - start, step), F.try_divide(at + half - start, step)
+        flat = step == 0
+        lo = F.when(flat, F.when(within, 0.0).otherwise(2.0)).otherwise(F.least(a, b))
+        return lo, F.when(flat, F.when(within, 1.0).otherwise(-1.0)).otherwise(F.greatest(a, b))
+
+    (lx, hx), (ly, hy) = slab(x, x1, x2 - x1), slab(y, y1, y2 - y1)
+    touches = F.greatest(F.lit(0.0), lx, ly) <= F.least(F.lit(1.0), hx, hy)
+    beyond = lambda at, p: F.greatest(F.abs(p - at) - half, F.lit(0.0))
+    ends = [F.hypot(beyond(x, px), beyond(y, py)) for px, py in ((x1, y1), (x2, y2))]
+    corners = [point_segment_distance(x + i * half, y + j * half, x1, y1, x2, y2) for i in (-1, 1) for j in (-1, 1)]
+    return F.when(touches, 0.0).otherwise(F.least(*ends, *corners))
+
+
 def tiles_of(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long")))
 
@@ -43,14 +61,18 @@ def line_density(points: DataFrame, segments: DataFrame, radius: float, keys: li
     return points.join(summed, keys, "left").na.fill(0.0, ["density"])
 
 
-def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """points with distance to the nearest segment, searched in rings of doubled radius until every point has one."""
-    distance = point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys: list[str], half: float = 0.0) -> DataFrame:
+    """points with distance to the nearest segment, searched in rings of doubled radius until every point has one.
+
+    With half, points are the centres of square cells of half that side, and the cell's own distance counts.
+    """
+    ends = [F.col(k) for k in ("x1", "y1", "x2", "y2")]
+    distance = cell_segment_distance(F.col("x"), F.col("y"), half, *ends) if half else point_segment_distance(F.col("x"), F.col("y"), *ends)
     if segments.isEmpty():
         raise ValueError("there is no segment to measure to")
     left, found = points, None
     while True:
-        near = near_segments(left, segments, radius).groupBy(*keys).agg(F.min(distance).alias("distance")).where(F.col("distance") <= radius)
+        near = near_segments(left, segments, radius + half).groupBy(*keys).agg(F.min(distance).alias("distance")).where(F.col("distance") <= radius)
         found = near if found is None else found.unionByName(near)
         left = points.join(found, keys, "left_anti")
         if left.isEmpty():
@@ -58,6 +80,101 @@ def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys
         radius *= 2
 
 
+def cells_touched(cells: DataFrame, segments: DataFrame, half: float, keys: list[str]) -> DataFrame:
+    """keys of the cells (centres x, y) that a segment touches, their edges included."""
+    distance = cell_segment_distance(F.col("x"), F.col("y"), half, *[F.col(k) for k in ("x1", "y1", "x2", "y2")])
+    return near_segments(cells, segments, half).where(distance == 0).select(*keys).distinct()
+
+
+def box_edges(boxes: DataFrame) -> DataFrame:
+    """The four edges (geom_id, x1, y1, x2, y2) of boxes, counter-clockwise."""
+    ring = [("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0")]
+    edges = F.array(*[F.struct(*[F.col(k).alias(n) for k, n in zip(e, ("x1", "y1", "x2", "y2"), strict=True)]) for e in ring])
+    return boxes.select("geom_id", F.explode(edges).alias("e")).select("geom_id", "e.*")
+
+
+def _extents(edges: DataFrame, margin: float = 0.0) -> DataFrame:
+    ends = [f(g(k + "1", k + "2")) + m for f, g, m in ((F.min, F.least, -margin), (F.max, F.greatest, margin)) for k in ("x", "y")]
+    return edges.groupBy("geom_id").agg(*[e.alias(n) for e, n in zip(ends, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, size: float, keys: list[str]) -> DataFrame:
+    """keys and geom_id of polygons that hold the points, by the even-odd rule over the edges of all their rings.
+
+    A point meets only the edges in its own band of height size, so no polygon is gathered whole.
+    """
+    near = points_in_boxes(points.select(*keys, "x", "y"), _extents(edges), size).select(*keys, "x", "y", "geom_id")
+    bands = edges.withColumn("_band", tiles_of(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    met = near.withColumn("_band", F.floor(F.col("y") / size).cast("long")).join(bands, ["geom_id", "_band"])
+    straddles = (F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))
+    at = F.col("x1") + F.try_divide((F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
+    crossed = F.sum(F.when(straddles & (F.col("x") < at), 1).otherwise(0))
+    return met.groupBy(*keys, "geom_id").agg(crossed.alias("_n")).where("_n % 2 = 1").drop("_n")
+
+
+def distance_to_polygons(points: DataFrame, edges: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """points with distance to the nearest polygon, 0 within one."""
+    inside = points_in_polygons(points, edges, radius, keys).select(*keys, F.lit(True).alias("_in")).distinct()
+    measured = nearest_distance(points, edges, radius, keys).join(inside, keys, "left")
+    return measured.withColumn("distance", F.when(F.col("_in"), 0.0).otherwise(F.col("distance"))).drop("_in")
+
+
+def circle_under_edge(x: Column, y: Column, radius: float, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Signed area that a circle shares with the triangle of its centre and an edge; over a ring these add up to the shared area."""
+    px, py, qx, qy = x1 - x, y1 - y, x2 - x, y2 - y
+    dx, dy = qx - px, qy - py
+    a, b, c = dx * dx + dy * dy, 2 * (px * dx + py * dy), px * px + py * py - radius * radius
+    d = b * b - 4 * a * c
+    root = F.sqrt(F.greatest(d, F.lit(0.0)))
+    clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    lo, hi = clamp(F.try_divide(-b - root, 2 * a)), clamp(F.try_divide(-b + root, 2 * a))
+    sector = lambda ax, ay, bx, by: F.atan2(ax * by - ay * bx, ax * bx + ay * by) * (radius * radius / 2)
+    ux, uy, vx, vy = px + lo * dx, py + lo * dy, px + hi * dx, py + hi * dy
+    chord = sector(px, py, ux, uy) + (ux * vy - uy * vx) / 2 + sector(vx, vy, qx, qy)
+    return F.when(a == 0, 0.0).when((d > 0) & (hi > lo), chord).otherwise(sector(px, py, qx, qy))
+
+
+def polygon_density(points: DataFrame, edges: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """points with density: the area of polygons within the radius; overlapping polygons count each."""
+    near = points_in_boxes(points.select(*keys, "x", "y"), _extents(edges, radius), radius).select(*keys, "x", "y", "geom_id")
+    part = circle_under_edge(F.col("x"), F.col("y"), radius, *[F.col(k) for k in ("x1", "y1", "x2", "y2")])
+    shared = near.join(edges, "geom_id").groupBy(*keys, "geom_id").agg(F.abs(F.sum(part)).alias("a"))
+    return points.join(shared.groupBy(*keys).agg(F.sum("a").alias("density")), keys, "left").na.fill(0.0, ["density"])
+
+
+def density(points: DataFrame, shapes: DataFrame, radius: float, keys: list[str], measure: str) -> DataFrame:
+    """Length of segments or area of polygons (given by their edges) within the radius."""
+    if measure not in ("length", "area"):
+        raise ValueError(f"unknown measure: {measure}")
+    return (line_density if measure == "length" else polygon_density)(points, shapes, radius, keys)
+
+
+def node_distance(points: DataFrame, a: DataFrame, b: DataFrame, size: float, keys: list[str], otherwise: float) -> DataFrame:
+    """points with distance to the nearest crossing of two line layers; otherwise where nothing crosses."""
+    nodes = crossings(a, b, size)
+    nodes = nodes.select(F.col("a_id").alias("geom_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return points.withColumn("distance", F.lit(float(otherwise))) if nodes.isEmpty() else nearest_distance(points, nodes, size, keys)
+
+
+def build_grid(mask: DataFrame, size: float) -> DataFrame:
+    """cell_id, r, c, x, y (centres) of the square cells from the mask's lower left corner that touch the mask's polygons.
+
+    mask holds polygon edges. Cells are numbered by row, then column; the prefix sum runs over one row per grid row.
+    """
+    lo = mask.agg(*[F.min(F.least(k + "1", k + "2")).cast("double").alias(f"lo_{k}") for k in ("x", "y")], *[F.max(F.greatest(k + "1", k + "2")).cast("double").alias(f"hi_{k}") for k in ("x", "y")]).first()
+    spark = mask.sparkSession
+    if lo["lo_x"] is None:
+        return spark.createDataFrame([], "cell_id long, r long, c long, x double, y double")
+    rows, columns = (max(1, -int(-(lo[f"hi_{k}"] - lo[f"lo_{k}"]) // size)) for k in ("y", "x"))
+    every = spark.range(rows * columns).select(F.floor(F.col("id") / columns).cast("long").alias("r"), (F.col("id") % columns).alias("c"))
+    every = every.withColumns({"x": lo["lo_x"] + (F.col("c") + 0.5) * size, "y": lo["lo_y"] + (F.col("r") + 0.5) * size})
+    held = cells_touched(every, mask, size / 2, ["r", "c"]).unionByName(points_in_polygons(every, mask, size, ["r", "c"]).select("r", "c")).distinct()
+    kept = every.join(held, ["r", "c"], "left_semi")
+    before = kept.groupBy("r").count().select("r", F.coalesce(F.sum("count").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("r").orderBy("c")) - 1
+    return kept.join(before, "r").select((at + F.col("_before")).alias("cell_id"), "r", "c", "x", "y")
+
+
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """Points (a_id, b_id, x, y) where a segment of a crosses one of b; parallel ones don't."""
 

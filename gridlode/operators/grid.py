@@ -75,14 +75,35 @@ def coarsen(grid: DataFrame, value: str, factor: int) -> DataFrame:
 def bilinear(grid: DataFrame, value: str, points: DataFrame, row: Column, column: Column) -> DataFrame:
     """points with value interpolated at fractional cell centres; the weights of missing cells are dealt to the others."""
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in product((0, 1), repeat=2)])
-    placed = points.withColumns({"_y": row, "_x": column}).withColumns({"_r": F.floor("_y").cast("long"), "_c": F.floor("_x").cast("long")})
-    each = placed.withColumn("_k", F.explode(corners))
-    fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
+    placed = points.withColumns({"_y": row, "_x": column})
+    each = placed.select("_y", "_x").distinct().withColumn("_k", F.explode(corners))
+    fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
     w = F.when(F.col("_k.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("_k.b") == 1, fx).otherwise(1 - fx)
-    each = each.select(*points.columns, (F.col("_r") + F.col("_k.a")).alias("r_"), (F.col("_c") + F.col("_k.b")).alias("c_"), w.alias("w_")).where("w_ > 0")
-    found = each.join(grid.select(F.col("r").alias("r_"), F.col("c").alias("c_"), F.col(value).alias("v_")).where("v_ IS NOT NULL"), ["r_", "c_"])
-    weighed = found.groupBy(*points.columns).agg((F.sum(F.col("v_") * F.col("w_")) / F.sum("w_")).alias(value))
-    return points.join(weighed, points.columns, "left")
+    at = {"r_": F.floor("_y").cast("long") + F.col("_k.a"), "c_": F.floor("_x").cast("long") + F.col("_k.b"), "w_": w}
+    found = each.withColumns(at).where("w_ > 0").join(grid.select(F.col("r").alias("r_"), F.col("c").alias("c_"), F.col(value).alias("v_")).where("v_ IS NOT NULL"), ["r_", "c_"])
+    weighed = found.groupBy("_y", "_x").agg((F.sum(F.col("v_") * F.col("w_")) / F.sum("w_")).alias(value))
+    return placed.join(weighed, ["_y", "_x"], "left").drop("_y", "_x")
+
+
+def bilinear_angle(grid: DataFrame, value: str, points: DataFrame, row: Column, column: Column) -> DataFrame:
+    """points with an angle in degrees, interpolated by its sine and cosine, so that -179 and 179 meet at 180."""
+    parts = grid.select("r", "c", F.sin(F.radians(value)).alias("_sin"), F.cos(F.radians(value)).alias("_cos"))
+    both = bilinear(parts, "_cos", bilinear(parts, "_sin", points, row, column), row, column)
+    return both.withColumn(value, F.degrees(F.atan2("_sin", "_cos"))).drop("_sin", "_cos")
+
+
+def resample_area(grid: DataFrame, value: str, size: float, to: float, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
+    """Average on a grid of cells of size to, shifted by dx and dy: every cell counts by the area that they share."""
+    held = grid.where(F.col(value).isNotNull()).select("r", "c", F.col(value).alias("v"))
+    for axis, shift in (("r", dy), ("c", dx)):
+        lo = F.col(axis) * size - shift
+        held = held.withColumns({f"_lo{axis}": lo, f"_hi{axis}": lo + size})
+        first, last = F.floor(F.col(f"_lo{axis}") / to), F.ceil(F.col(f"_hi{axis}") / to) - 1
+        held = held.withColumn(f"_to{axis}", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        held = held.withColumn(f"_w{axis}", F.least(F.col(f"_hi{axis}"), (F.col(f"_to{axis}") + 1) * to) - F.greatest(F.col(f"_lo{axis}"), F.col(f"_to{axis}") * to))
+    w = F.col("_wr") * F.col("_wc")
+    shared = held.withColumn("w", w).where("w > 0")
+    return shared.groupBy(F.col("_tor").alias("r"), F.col("_toc").alias("c")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(value))
 
 
 def blocks(cells: DataFrame, x: Column, y: Column, size: float) -> DataFrame:

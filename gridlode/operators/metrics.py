@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlode.functions.numeric import quantiles
+from gridlode.plans.materialize import materialize
 
 
 def top_area(scored: DataFrame, areas: list[float], score: str = "score", label: str = "presence", background_only: bool = False) -> DataFrame:
@@ -76,3 +77,58 @@ def percentile_rank(scored: DataFrame, score: str, key: str) -> DataFrame:
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_part").orderBy(score, key)) - 1
     return ranged.join(F.broadcast(before), "_part").withColumn("rank01", (at + F.col("_before")) / n).drop("_part", "_before")
+
+
+def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, share and limit: linear-interpolated exact quantiles of every group, whatever its size.
+
+    The rows are sorted in ranges; a row's rank is its place in the range plus the rows of its group in earlier ranges.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ranged = materialize(held.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_k"))  # one row per group and range
+    group = Window.partitionBy(*keys)
+    before = sizes.withColumns({"_n": F.sum("_k").over(group), "_before": F.coalesce(F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
+    ranked = ranged.withColumn("_at", at).join(F.broadcast(before.drop("_k")), [*keys, "_part"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    each = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    rank = F.col("share") * (F.col("_n") - 1)
+    ends = each.where((F.col("_at") == F.floor(rank)) | (F.col("_at") == F.ceil(rank)))
+    lo, hi = F.min("_v"), F.max("_v")
+    return ends.groupBy(*keys, "share").agg((lo + (hi - lo) * F.max(rank - F.floor(rank))).alias("limit"))
+
+
+def criterial_by_fold(cells: DataFrame, columns: list[str], n: int, label: str = "presence", seed: str = "seed", fold: str = "fold") -> DataFrame:
+    """cells with score: the criterial index of each row, learnt per seed from the rows of all other folds. All folds are one job."""
+    y = F.col(label).cast("double")
+    sums = [f.alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg(c)), ("s", F.stddev_pop(c)), ("x", F.avg(F.col(c) * y)))]
+    others = cells.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.col("_of") != F.col(fold))
+    learnt = others.groupBy(seed, F.col("_of").alias(fold)).agg(F.avg(y).alias("_y"), *sums)
+    total = F.lit(0.0)
+    for i, c in enumerate(columns):
+        covariance = F.col(f"_x{i}") - F.col(f"_m{i}") * F.col("_y")
+        sign = F.when(F.abs(covariance) < 1e-12, 0.0).otherwise(F.signum(covariance))
+        total = total + sign * (F.col(c) - F.col(f"_m{i}")) / (F.col(f"_s{i}") + 1e-9)
+    # learnt has one row per seed and fold
+    return cells.join(F.broadcast(learnt), [seed, fold]).select(*cells.columns, (total / len(columns)).alias("score"))
+
+
+def top_area_by_group(scored: DataFrame, keys: list[str], areas: list[float], score: str = "score", label: str = "presence") -> DataFrame:
+    """keys, area, coverage and lift within each group; groups without presence are left out."""
+    limits = grouped_quantiles(scored, keys, score, [1.0 - a for a in areas])
+    table = F.create_map(*[F.lit(v) for a in areas for v in (1.0 - a, a)])
+    limits = limits.withColumn("area", table[F.col("share")])  # a row per group and area
+    hit = F.sum(F.when(F.col(score) >= F.col("limit"), 1).otherwise(0))
+    found = scored.where(F.col(label) == 1).join(F.broadcast(limits), keys).groupBy(*keys, "area").agg((hit / F.count(F.lit(1))).alias("coverage"))
+    return found.withColumn("lift", F.col("coverage") / F.col("area"))
+
+
+def rank_within(scored: DataFrame, keys: list[str], score: str, key: str) -> DataFrame:
+    """scored with rank01 from 0 to 1 within each group, equal scores ranked by key; ranges as in grouped_quantiles."""
+    ranged = materialize(scored.repartitionByRange(*keys, score, key).withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = sizes.select(*keys, "_part", F.sum("_k").over(group).alias("_n"), F.coalesce(F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(score, key)) - 1
+    ranked = ranged.withColumn("_at", at).join(F.broadcast(before), [*keys, "_part"])
+    return ranked.select(*scored.columns, ((F.col("_at") + F.col("_before")) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("rank01"))

@@ -11,7 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlode.operators.sampling import random_order
+from gridlode.functions.numeric import quantiles, robust_01
+from gridlode.operators.sampling import presence_background, random_order
+from gridlode.plans.materialize import materialize
 
 Estimator = Pipeline
 
@@ -49,8 +51,8 @@ def fit_score(estimator: Estimator, train: DataFrame, cells: DataFrame, name: st
     return scored.select(*cells.columns, vector_to_array("probability")[1].alias(name))
 
 
-def ensemble(cells: DataFrame, key: str, columns: list[str], rounds: int = 8, share: float = 0.7, seed: int = 42, **sizes: int) -> DataFrame:
-    """key, score (mean of all members) and spread: a forest and boosted trees per round, each on its own share of the background."""
+def ensemble(cells: DataFrame, key: str, columns: list[str], rounds: int = 8, share: float = 0.7, seed: int = 42, score_on: DataFrame | None = None, **sizes: int) -> DataFrame:
+    """key, score (mean of all members) and spread, of score_on or else of cells: a forest and boosted trees per round, each on its own share of the background."""
     members = []
     background = cells.where("presence = 0")
     take = round(share * background.count())
@@ -58,13 +60,27 @@ def ensemble(cells: DataFrame, key: str, columns: list[str], rounds: int = 8, sh
         drawn = background.orderBy(random_order(seed + k, F.col(key)), key).limit(take)
         train = cells.where("presence = 1").unionByName(drawn)
         for estimator in (forest(columns, trees=sizes.get("trees", 100), seed=seed + k), boosted(columns, rounds=sizes.get("boosts", 40), seed=seed + k)):
-            members.append(fit_score(estimator, train, cells).select(key, "score"))
+            members.append(fit_score(estimator, train, cells if score_on is None else score_on).select(key, "score"))
     return reduce(DataFrame.unionByName, members).groupBy(key).agg(F.avg("score").alias("score"), F.stddev_pop("score").alias("spread"))
 
 
 def reliable_negatives(cells: DataFrame, score: str, share: float = 0.6) -> DataFrame:
     """Positives, and those negatives that a first model scores in the lowest share."""
-    from gridlode.functions.numeric import quantiles
-
     limit = quantiles(cells.where("presence = 0"), F.col(score), [share])[0]
     return cells.where((F.col("presence") == 1) | (F.col(score) <= limit))
+
+
+def importances(estimator: Estimator, train: DataFrame, columns: list[str]) -> DataFrame:
+    """feature and importance of a fitted tree model, and kept: whether it is above the mean. One row per feature."""
+    weights = estimator.fit(balanced(train)).stages[-1].featureImportances.toArray()
+    rows = [(c, float(w), bool(w > weights.mean())) for c, w in zip(columns, weights, strict=True)]
+    return train.sparkSession.createDataFrame(rows, "feature string, importance double, kept boolean")
+
+
+def train_score(cells: DataFrame, key: str, columns: list[str], least: int = 5, background: int = 3000, seed: int = 42, **sizes: int) -> DataFrame:
+    """cells with ml_score, scaled by quantiles, and spread: the ensemble over a drawn background; one half with too few positives."""
+    if cells.where("presence = 1").limit(least).count() < least:
+        return cells.withColumns({"ml_score": F.lit(0.5), "spread": F.lit(0.0)})
+    train = presence_background(cells, key, background, seed)
+    scored = materialize(cells.join(ensemble(train, key, columns, seed=seed, score_on=cells, **sizes), key))
+    return scored.withColumns({"ml_score": robust_01(scored, F.col("score"), 0.02, 0.98), "spread": robust_01(scored, F.col("spread"), 0.02, 0.98)}).drop("score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,42 @@ def bootstrap_means(pairs: DataFrame, key: str, value: str, draws: int, seed: in
     drawn = pairs.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = drawn.withColumn("at", random_index(seed, n, F.col("draw"), F.col("j")))
     return drawn.join(F.broadcast(placed), "at").groupBy("draw").agg(F.avg("v").alias("mean"))
+
+
+def seeded_folds(blocks: DataFrame, n: int, seeds: list[int]) -> DataFrame:
+    """block, seed and fold: for every seed its own random order of the blocks, dealt round."""
+    each = blocks.select("block").distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    order = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string")).cast("binary"))
+    dealt = F.row_number().over(Window.partitionBy("seed").orderBy(order, "block"))  # a row per block
+    return each.withColumn("fold", ((dealt - 1) % n).cast("int"))
+
+
+def group_folds(cells: DataFrame, n: int, label: str | None = None) -> DataFrame:
+    """block and fold of like sizes: blocks by size (by positives first, with a label), dealt there and back; one row per block.
+
+    No block is split, and with n blocks or more no fold is empty.
+    """
+    positives = F.sum(F.col(label).cast("long")) if label else F.lit(0)
+    sized = cells.groupBy("block").agg(positives.alias("p"), F.count(F.lit(1)).alias("k"))
+    at = F.row_number().over(Window.orderBy(F.col("p").desc(), F.col("k").desc(), "block")) - 1
+    turn = at % (2 * n)
+    return sized.select("block", F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int").alias("fold"))
+
+
+def uniform_points(spark: SparkSession, n: int, box: tuple[float, float, float, float], seed: int) -> DataFrame:
+    """id, x and y of n points drawn evenly from the box (x0, y0, x1, y1)."""
+    x0, y0, x1, y1 = box
+    at = lambda axis: random_index(seed, 1 << 32, F.col("id"), F.lit(axis)) / float(1 << 32)
+    return spark.range(n).select("id", (x0 + (x1 - x0) * at("x")).alias("x"), (y0 + (y1 - y0) * at("y")).alias("y"))
+
+
+def paired_comparison(pairs: DataFrame, keys: list[str], a: str, b: str, draws: int, seed: int) -> DataFrame:
+    """n, mean_a, mean_b, diff, its 95 % interval (low, high), win_rate of b and whether the interval leaves out 0.
+
+    pairs is one row per fold and seed, the same folds for both models.
+    """
+    diff = pairs.select(F.concat_ws(":", *[F.lpad(F.col(k).cast("string"), 12, "0") for k in keys]).alias("at"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col(b) - F.col(a)).alias("d"))
+    drawn = bootstrap_means(diff, "at", "d", draws, seed)
+    ends = drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))  # draws values
+    whole = diff.agg(F.count("d").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("diff"), F.avg((F.col("d") > 0).cast("int")).alias("win_rate"))
+    return whole.crossJoin(F.broadcast(ends)).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
