@@ -115,10 +115,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_percent: in
     per_source = few_or_shuffled(cuts(sized, weights, share_percent, max_epochs))
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     rows = docs.select(*own, F.struct(random_key(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), size.alias("size")).alias("_at"), F.col(source_col).alias("_source"))
-    s = per_source.select(F.col("source").alias("_of"), "source_size", "target", "epochs", "cut", "part")
+    s = per_source.select(F.col("source").alias("_of"), "source_size", "target", F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
     joined = rows.join(s, F.col("_source").eqNullSafe(F.col("_of")), "left")
-    last = F.when(F.col("cut").isNull() | (F.col("_at") > F.col("cut")), F.lit(0)).when(F.col("_at") == F.col("cut"), F.col("part")).when(F.col("_at") < F.col("cut"), F.col("_at.size")).otherwise(F.col("part"))
-    return joined.select(*own, F.col("_at.size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("_at.size") + last).cast("long").alias("taken"))
+    last = F.when(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")), F.lit(0)).when(F.col("_at") == F.col("_cut"), F.col("_part")).when(F.col("_at") < F.col("_cut"), F.col("_at.size")).otherwise(F.col("_part"))
+    return joined.select(*own, F.col("_at.size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_at.size") + last).cast("long").alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
