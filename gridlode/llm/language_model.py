@@ -233,7 +233,7 @@ def _score(of: Vocabulary, flat: np.ndarray):
             for piece in pieces(batch, "text"):
                 rows = piece.num_rows
                 row, word, outcome, count, known, one, two = contexts(column_of(piece, "text"), of)
-                summed = lambda at, values: np.bincount(row[at], values[at], rows)  # noqa: E731, B023
+                summed = lambda at, values: np.bincount(row[at], values[at], rows).astype(np.float64)  # noqa: E731, B023  of nothing, bincount gives integers
                 everything = np.ones(len(row), bool)
                 log_count = np.log10(count + 0.5)
                 chance = (last[one, outcome] + before[two, outcome] - normaliser[one, two]) / np.log(10.0)
