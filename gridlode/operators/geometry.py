@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlode.plans.materialize import materialize
+
 
 def point_segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x2 - x1, y2 - y1
@@ -73,6 +75,7 @@ def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys
     left, found = points, None
     while True:
         near = near_segments(left, segments, radius + half).groupBy(*keys).agg(F.min(distance).alias("distance")).where(F.col("distance") <= radius)
+        near = materialize(near)  # or else every ring would search all rings before it again
         found = near if found is None else found.unionByName(near)
         left = points.join(found, keys, "left_anti")
         if left.isEmpty():
@@ -151,7 +154,7 @@ def density(points: DataFrame, shapes: DataFrame, radius: float, keys: list[str]
 
 def node_distance(points: DataFrame, a: DataFrame, b: DataFrame, size: float, keys: list[str], otherwise: float) -> DataFrame:
     """points with distance to the nearest crossing of two line layers; otherwise where nothing crosses."""
-    nodes = crossings(a, b, size)
+    nodes = materialize(crossings(a, b, size))
     nodes = nodes.select(F.col("a_id").alias("geom_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return points.withColumn("distance", F.lit(float(otherwise))) if nodes.isEmpty() else nearest_distance(points, nodes, size, keys)
 
