@@ -20,6 +20,7 @@ LOCAL_BONUS = {"tect_intersection": 0.38, "tect_magm_intersection": 0.37, "tect_
 
 def proximities(cells: DataFrame, distances: dict[str, str]) -> DataFrame:
     """cells with prox_<factor> of every factor, given its distance column."""
+    cells = materialize(cells)  # every factor's scale reads all of it
     return cells.withColumns({f"prox_{k}": proximity(cells, F.col(d), *PROXIMITY[k]) for k, d in distances.items()})
 
 
