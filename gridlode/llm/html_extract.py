@@ -3,9 +3,14 @@
 Each page's containers are scored by the clean text they hold; the best one's path of tags
 and classes, numbers generalised, is the page's vote. Votes are counted per host and path,
 so a host's pages are never brought together, and every page is then extracted again at the
-path that won on its host. Where a page has no container there, or less than half the text of
+path that won on its host. Where a page has no container there, or one that loses clean text of
 its own best, its own best is taken.
 
+The best container is widened to the ancestor that holds the clean text of its siblings; blocks
+beside it that are mostly links stay out. An element hides if a word of its class, id or role
+names what stands around an article; if only a part of the word does, it hides unless it holds
+most of the page's text. Where nothing is left, only what is hidden by attributes stays out.
+
 Defined cases: null or empty html has no text; markup that is cut off ends with the page; a
 null url, or one without a host, votes with all pages of that kind; pages that repeat vote
 each; further columns pass through, and those named like a result are replaced.
@@ -44,6 +49,12 @@ WHOLE, REMARKS = {"html", "body", "main", "article"}, {"comment", "comments", "r
 #: Factors of a container's score, and of one level of depth.
 FAVOUR = {"article": 3.0, "main": 2.0, "body": 0.7, "html": 0.5}
 ROOT_FAVOUR, HINT_FAVOUR, DEPTH_FAVOUR = 0.1, 1.5, 1.2
+#: Parts of words that tell the state of a container, not what it is.
+STATES = {"no", "has", "with", "without", "closed", "enabled", "disabled"}
+#: A container widens for a clean block of so many characters, or for this share of its own clean text.
+RUNNING, ADDED_SHARE = 60, 0.1
+#: How much hides: words only, parts of words too, and attributes only.
+BY_WORDS, BY_PARTS, BY_ATTRIBUTES = range(3)
 #: As many winning paths of hosts are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 100_000
 
@@ -73,14 +84,27 @@ def _named(attributes: str) -> tuple[list[str], bool]:
     return words, hidden
 
 
-def read_page(html: str) -> tuple[list[str], list[Container]]:
-    """Blocks of clean text in page order, and the containers that hold them."""
+def read_page(html: str) -> tuple[list[str], list[int], list[Container]]:
+    """Blocks of clean text in page order, their characters in links, and the containers that hold them."""
+    blocks, links, found, total, partly = _read(html, BY_WORDS)
+    spared = frozenset(at for at, size in partly.items() if 2 * size > total)
+    if any(size and at not in spared for at, size in partly.items()):
+        blocks, links, found, _, _ = _read(html, BY_PARTS, spared)
+    if not blocks:
+        blocks, links, found, _, _ = _read(html, BY_ATTRIBUTES)
+    return blocks, links, found
+
+
+def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[list[str], list[int], list[Container], int, dict[int, int]]:
+    """As read_page, with the characters read and those within each element that parts of words name, by its place."""
     blocks: list[str] = []
+    links: list[int] = []
     parts: list[str] = []
     root = Container("", ROOT_FAVOUR, 0, None)
     found, now = [root], root
-    stack: list[tuple[str, Container | None, bool]] = []  # tag, the container it opened, whether it hides what it holds
-    hiding = anchors = linked = at = 0
+    stack: list[tuple[str, Container | None, bool, int]] = []  # tag, the container it opened, whether it hides what it holds, its place if parts of words name it
+    partly: dict[int, int] = {}
+    hiding = anchors = linked = at = total = watched = 0
 
     def close_block() -> None:
         nonlocal linked
@@ -88,15 +112,19 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
         parts.clear()
         if text:
             blocks.append(text)
+            links.append(min(len(text), linked))
             now.size += len(text)
-            now.linked += min(len(text), linked)
+            now.linked += links[-1]
         linked = 0
 
     def close(n: int) -> None:
-        nonlocal now, hiding, anchors
+        nonlocal now, hiding, anchors, watched
         while len(stack) > n:
-            _, own, hides = stack.pop()
+            tag, own, hides, place = stack.pop()
             hiding -= hides
+            if place >= 0:
+                partly[place] += total
+                watched -= tag in INLINE
             if own is not None:
                 own.last, now, anchors = len(blocks), own.parent, 0
 
@@ -106,10 +134,23 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
                 close(k)
                 return
 
+    def judged(tag: str, words: list[str], hidden: bool) -> tuple[bool, int]:
+        """Whether the element hides, and its place if parts of words name it and don't hide it yet."""
+        if hidden or hide == BY_ATTRIBUTES:
+            return hidden, -1
+        if tag in WHOLE:
+            return any(re.split("[-_]+", w)[0] in REMARKS and STATES.isdisjoint(re.split("[-_]+", w)) for w in words), -1
+        if tag in AROUND or any(w in NAMES for w in words):
+            return True, -1
+        if not _partly_named(tag, words):
+            return False, -1
+        return (False, m.start()) if hide == BY_WORDS else (m.start() not in spared, -1)
+
     while m := _TAG.search(html, at):
         if not hiding and m.start() > at:
             parts.append(html[at : m.start()])
             linked += anchors * (m.start() - at)
+            total += len(parts[-1].strip())
         at = m.end()
         if not m[2]:
             continue
@@ -123,16 +164,18 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
             anchors = int(not ends)
         if tag in INLINE:
             if ends:
-                if hiding:
+                if hiding or watched:
                     end_of(tag)
             elif m[3] and tag not in VOID:
-                words, hidden = _named(m[3])
-                hides = hidden or _around(words)
-                if hides or hiding:
-                    stack.append((tag, None, hides))
+                hides, place = judged(tag, *_named(m[3]))
+                if hides or hiding or watched or place >= 0:
+                    stack.append((tag, None, hides, place))
                     hiding += hides
-            elif hiding and tag not in VOID:
-                stack.append((tag, None, False))
+                if place >= 0:
+                    partly[place] = -total
+                    watched += 1
+            elif (hiding or watched) and tag not in VOID:
+                stack.append((tag, None, False, -1))
             continue
         close_block()
         if ends:
@@ -143,12 +186,9 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
         if stack and stack[-1][0] in ("p", "li", "dt", "dd", "tr") and (stack[-1][0] in ("p", tag)):
             close(len(stack) - 1)  # its end tag was left out
         words, hidden = _named(m[3]) if m[3] else ([], False)
-        if tag in WHOLE:
-            hides = hidden or any(re.split("[-_]+", w)[0] in REMARKS for w in words)
-            if hiding and not hides and all(t in ("form", "header", "nav") for t, _, h in stack if h):
-                close(next(k for k, x in enumerate(stack) if x[2]))  # a menu left open, or a form around the page
-        else:
-            hides = hidden or tag in AROUND or _around(words)
+        hides, place = judged(tag, words, hidden)
+        if tag in WHOLE and hiding and not hides and all(t in ("form", "header", "nav") for t, _, h, _ in stack if h):
+            close(next(k for k, x in enumerate(stack) if x[2]))  # a menu left open, or a form around the page
         own = None
         if tag in CONTAINERS and not hides and not hiding:
             classes = "".join(f".{w}" for w in sorted({re.sub(r"\d+", "#", w) for w in words}))
@@ -156,18 +196,23 @@ def read_page(html: str) -> tuple[list[str], list[Container]]:
             own = Container(f"{now.path}/{tag}{classes}", FAVOUR.get(tag, HINT_FAVOUR if hinted else 1.0), len(blocks), now)
             found.append(own)
             now = own
-        stack.append((tag, own, hides))
+        stack.append((tag, own, hides, place))
+        if place >= 0:
+            partly[place] = -total
         hiding += hides
     if not hiding:
         parts.append(html[at:])
+        total += len(parts[-1].strip())
     close_block()
     close(0)
     root.last = len(blocks)
-    return blocks, found
+    return blocks, links, found, total, partly
 
 
-def _around(words: list[str]) -> bool:
-    return any(w in NAMES or any(p in NAMES for p in re.split("[-_]+", w)) for w in words)
+def _partly_named(tag: str, words: list[str]) -> bool:
+    """Whether a part of a word is a name; words of a container's state don't count."""
+    split = [re.split("[-_]+", w) for w in words]
+    return any(not NAMES.isdisjoint(ps) and (tag not in CONTAINERS or STATES.isdisjoint(ps)) for ps in split)
 
 
 def scored(containers: list[Container]) -> Container | None:
@@ -185,26 +230,47 @@ def scored(containers: list[Container]) -> Container | None:
     return best
 
 
+def _clean(blocks: list[str], links: list[int], i: int) -> bool:
+    return 2 * links[i] < len(blocks[i])
+
+
+def widened(best: Container, blocks: list[str], links: list[int]) -> Container:
+    """The outermost ancestor that adds running clean text, or a good share of clean text; else best."""
+    chosen, c, added, running = best, best, 0, False
+    while c.parent is not None:
+        for i in (*range(c.parent.first, c.first), *range(c.last, c.parent.last)):
+            if _clean(blocks, links, i):
+                added += len(blocks[i]) - links[i]
+                running = running or len(blocks[i]) >= RUNNING
+        c = c.parent
+        if running or added and added >= ADDED_SHARE * (best.size - best.linked):
+            chosen, added, running = c, 0, False
+    return chosen
+
+
 def extract(html: str | None, path: str | None) -> str:
     """The text at the path, or at the page's own best container."""
-    blocks, containers = read_page(html or "")
+    blocks, links, containers = read_page(html or "")
     best = scored(containers)
     if best is None:
         return " ".join(blocks)
-    at = [c for c in containers if c.path == path]
-    if 2 * sum(c.size for c in at) < best.size:
-        return " ".join(blocks[best.first : best.last])
-    chosen = sorted({i for c in at for i in range(c.first, c.last)})
-    return " ".join(blocks[i] for i in chosen)
+    wide = widened(best, blocks, links)
+    own = {i for i in range(wide.first, wide.last) if best.first <= i < best.last or _clean(blocks, links, i)}
+    chosen = {i for c in containers if c.path == path for i in range(c.first, c.last) if best.first <= i < best.last or _clean(blocks, links, i)}
+    if any(_clean(blocks, links, i) and i not in chosen for i in own):
+        chosen = own
+    return " ".join(blocks[i] for i in sorted(chosen))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple[str, str], int] = {}
         for host, html in zip(column_of(batch, "host").to_pylist(), column_of(batch, "html").to_pylist(), strict=True):
-            best = scored(read_page(html or "")[1])
+            blocks, links, containers = read_page(html or "")
+            best = scored(containers)
             if best is not None:
-                counts[host, best.path] = counts.get((host, best.path), 0) + 1
+                path = widened(best, blocks, links).path
+                counts[host, path] = counts.get((host, path), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "votes"])
 
 
