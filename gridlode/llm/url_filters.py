@@ -6,10 +6,11 @@ the urls that no rule fits.
 
 Per host, segments of a path are generalised: runs of digits, hexadecimal numbers and slugs
 become wildcards, and what is equal then is counted as one shape. From the root down, a
-branch keeps its segment if it has enough urls and differs from its siblings, by a test of
-two proportions, in the share of labelled urls or in the share of blocked ones; all others
-merge into one wildcard branch. A template is rejected where its smoothed share of blocked
-urls is at least one half. The tree works on counts of shapes; a host's urls are never
+branch keeps its segment if it differs from its siblings, by a test of two smoothed
+proportions that holds for small counts too, in the share of labelled urls or in the share of
+blocked ones; all others merge into a wildcard branch, and those without any label into one of
+their own, so none inherits its siblings' labels. A template is rejected where its smoothed
+share of blocked urls is at least one half. The tree works on counts of shapes; a host's urls are never
 brought together.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and
@@ -29,8 +30,10 @@ from gridlode.llm.storage import written
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: Path segments that make levels of their own; what follows is the last level.
 LEVELS = 4
-#: A branch keeps its segment from so many urls on, and where it differs by so many standard errors.
-LEAST_URLS, ERRORS = 20, 3.0
+#: A branch keeps its segment where it differs by so many standard errors.
+ERRORS = 3.0
+#: Wildcards of merged branches: those with labels or among no labels at all, and those without among labelled ones.
+MERGED, UNLABELLED = "*", "<unlabelled>"
 #: Labelled urls that a template is taken to have beforehand, and the blocked share among them.
 PRIOR_URLS, PRIOR_SHARE = 4.0, 0.25
 #: As many verdicts of templates are broadcast; more are joined by a shuffle.
@@ -67,26 +70,27 @@ def _share_differs(hits: str, of: str, parent: str) -> Column:
     """Whether hits/of of a branch is far from that of its siblings; parent is the prefix of the siblings' sums with its own."""
     own, own_hits = F.col(of).cast("double"), F.col(hits).cast("double")
     rest, rest_hits = F.col(f"{parent}{of}") - own, F.col(f"{parent}{hits}") - own_hits
-    pooled = F.col(f"{parent}{hits}") / F.col(f"{parent}{of}")
-    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), own) + F.try_divide(F.lit(1.0), rest))
-    gap = F.try_divide(own_hits, own) - F.try_divide(rest_hits, rest)
-    return F.coalesce(F.col(f"{parent}{of}") > 0, F.lit(False)) & F.coalesce(gap * gap > ERRORS**2 * spread, F.lit(False))
+    share, rest_share = (own_hits + 1) / (own + 2), (rest_hits + 1) / (rest + 2)
+    spread = share * (1 - share) / (own + 2) + rest_share * (1 - rest_share) / (rest + 2)
+    gap = share - rest_share
+    return F.coalesce((rest > 0) & (gap * gap > ERRORS**2 * spread), F.lit(False))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Template of every row (host, segments, n, labelled, blocked): the segments it keeps, "*" for the others."""
+    """Template of every row (host, segments, n, labelled, blocked): the segments it keeps, wildcards for the others."""
     out = shapes.withColumn("template", F.array().cast("array<string>"))
     for level in range(LEVELS):
         out = out.withColumn("segment", F.get("segments", F.lit(level)))
         at = ["host", "template"]
         branch = out.groupBy(*at, "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         total = branch.groupBy(*at).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        judged = branch.join(total, at).withColumn("rare", F.col("n") < LEAST_URLS)
-        own = ~F.col("rare") & (_share_differs("labelled", "n", "all_") | _share_differs("blocked", "labelled", "all_"))
-        keep = judged.select(*at, F.col("segment").alias("kept"), own.alias("own")).where("own AND kept IS NOT NULL")
+        judged = branch.join(total, at)
+        own = _share_differs("labelled", "n", "all_") | _share_differs("blocked", "labelled", "all_")
+        bare = (F.col("labelled") == 0) & (F.col("all_labelled") > 0)
+        keep = judged.select(*at, F.col("segment").alias("kept"), F.when(own, F.col("segment")).when(bare, UNLABELLED).alias("step")).where("step IS NOT NULL AND kept IS NOT NULL")
         o, k = out.alias("o"), keep.alias("k")
         out = o.join(k, (F.col("o.host") == F.col("k.host")) & (F.col("o.template") == F.col("k.template")) & (F.col("o.segment") == F.col("k.kept")), "left")
-        step = F.when(F.col("o.segment").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("k.kept", F.lit("*"))))
+        step = F.when(F.col("o.segment").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("k.step", F.lit(MERGED))))
         out = out.select("o.host", "o.segments", "o.n", "o.labelled", "o.blocked", F.concat("o.template", step).alias("template"))
     return out.select("host", "segments", "template", "n", "labelled", "blocked")
 

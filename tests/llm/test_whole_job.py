@@ -1,6 +1,6 @@
 """Whole jobs: what earlier versions left out."""
 
-from gridlode.llm import html_extract
+from gridlode.llm import html_extract, url_filters
 
 HALF, MORE = "The first half of the text tells of rivers and of stones, at length.", "The other half of it tells of houses and of roads, as long as that."
 
@@ -17,3 +17,18 @@ def test_wrappers_and_siblings_keep_their_text():
 def test_small_marked_parts_stay_out():
     page = f"<body><div class='post'><p>{HALF}</p><p>{MORE}</p></div><div class='ad-box'>Buy</div><div><a href=x>One more page of this site that is only a link to it, and long</a></div></body>"
     assert html_extract.extract(page, None) == f"{HALF} {MORE}"
+
+
+def test_small_unlabelled_branches_keep_the_prior(spark):
+    for n in (5, 40):
+        urls = [f"http://a.net/{lang}/{k}" for lang in ("es", "fr", "de", "en") for k in range(n)]
+        got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+        assert len(got) == 4 * n
+        assert all(r.verdict == ("block" if r.url[13:15] in ("es", "fr") else "allow") for r in got)
+
+
+def test_small_branches_with_other_labels_stay_apart(spark):
+    rules = [("block", "a.net/bad/1"), ("allow", "a.net/ok/1")]
+    urls = [*(f"http://a.net/bad/{k}" for k in range(10, 20)), *(f"http://a.net/ok/{k}" for k in range(10, 20)), "http://a.net/bad/2", "http://a.net/ok/2"]
+    got = {r.url: r.verdict for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert (got["http://a.net/bad/2"], got["http://a.net/ok/2"]) == ("block", "allow")
