@@ -1,9 +1,10 @@
 """Removal of repeated lines by a deletion-neighbourhood join.
 
-A line is the words between line ends; lines of fewer than LEAST_WORDS words stay. A line
-goes if an earlier one, by document id and line number, is equal or within one word of it:
-one word changed, added or left out. Equal lines form a class with its earliest place first,
-so very common lines cost one row per task.
+A line is the words between line ends. A line goes if an earlier one, by document id and line
+number, is equal or within one word of it: one word changed, added or left out. Lines of fewer
+than LEAST_WORDS words go for equal ones only, and only with short_lines, as in the query and
+the pipeline; else they stay. Equal lines form a class with its earliest place first, so very
+common lines cost one row per task.
 
 Lines within one word share their first or their last half, so only classes with a half in
 common are expanded: every variant with one word deleted in the other half becomes a hashed
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from gridlode.llm.storage import written
 from gridlode.llm.textcols import Words, as_long, byte_column, column_of, hash_words, mix, pieces
 
+#: Lines of fewer words have no variants.
 LEAST_WORDS = 5
 U64 = np.uint64
 _BASE = 0x9DDFEA08EB382D69
@@ -45,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Lines:
     """Lines with enough words: row, number within the text, first word and number of words; hashes of parts of lines."""
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, least: int = LEAST_WORDS) -> None:
         words: Words = hash_words(column)
         buf, offsets = byte_column(column)
         ends = np.flatnonzero(buf == 10)
@@ -53,7 +55,7 @@ class Lines:
         first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (words.row[1:] != words.row[:-1])])) if len(line) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate([first, [len(line)]]))
         self.n_lines = np.searchsorted(ends, offsets[1:]) - np.searchsorted(ends, offsets[:-1]) + 1
-        enough = count >= LEAST_WORDS
+        enough = count >= least
         self.first, self.count = first[enough], count[enough]
         self.row = words.row[self.first] if len(self.first) else np.zeros(0, np.int32)
         self.number = line[self.first] - np.searchsorted(ends, offsets[self.row]) if len(self.first) else np.zeros(0, np.int64)
@@ -73,10 +75,10 @@ class Lines:
         return closed(self.part(i, np.zeros(len(i), np.int64), self.count), self.count)
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of first and last halves, and their lines; the lowest bit tells last halves."""
-        i = np.arange(len(self.first))
+        """Hashes of first and last halves, and their lines, of those with LEAST_WORDS; the lowest bit tells last halves."""
+        i = np.flatnonzero(self.count >= LEAST_WORDS)
         found, lines = [], []
-        for size, of in ((self.count // 2, i), ((self.count - 1) // 2, i[self.count % 2 == 0])):
+        for size, of in ((self.count // 2, i), ((self.count - 1) // 2, i[self.count[i] % 2 == 0])):
             size = size[of]
             for side, start in ((0, np.zeros(len(of), np.int64)), (1, self.count[of] - size)):
                 found.append(closed(self.part(of, start, size), size) & ~U64(1) | U64(side))
@@ -102,19 +104,22 @@ def _list(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                lines = Lines(column_of(piece, "text"))
-                half, of = lines.halves()
-                order = np.argsort(of, kind="stable")
-                halves = _list(pa.array(as_long(half[order])), np.bincount(of, minlength=len(lines.first)))
-                row = pa.array(lines.row)
-                yield pa.RecordBatch.from_arrays(
-                    [column_of(piece, "id").take(row), column_of(piece, "text_key").take(row), pa.array(lines.number, pa.int64()), pa.array(as_long(lines.whole())), halves],
-                    names=["id", "text_key", "number", "line", "halves"],
-                )
+def _lines(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for piece in pieces(batch, "text"):
+                    lines = Lines(column_of(piece, "text"), least)
+                    half, of = lines.halves()
+                    order = np.argsort(of, kind="stable")
+                    halves = _list(pa.array(as_long(half[order])), np.bincount(of, minlength=len(lines.first)))
+                    row = pa.array(lines.row)
+                    yield pa.RecordBatch.from_arrays(
+                        [column_of(piece, "id").take(row), column_of(piece, "text_key").take(row), pa.array(lines.number, pa.int64()), pa.array(as_long(lines.whole())), halves],
+                        names=["id", "text_key", "number", "line", "halves"],
+                    )
+
+    return run
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +149,11 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _rebuilt(own: list[str], text_col: str):
+def _rebuilt(own: list[str], text_col: str, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, text_col):
-                lines = Lines(column_of(piece, text_col))
+                lines = Lines(column_of(piece, text_col), least)
                 texts, keep = column_of(piece, text_col).to_pylist(), column_of(piece, "_keep").to_pylist()
                 cut = np.searchsorted(lines.row, np.arange(piece.num_rows + 1))
                 removed = []
@@ -197,31 +202,32 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     return checked.where(_within_one_word("wa", "wb")).select("line").distinct()
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the text that is left, n_lines before and n_removed."""
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+    """The rows of docs with the text that is left, n_lines before and n_removed; with short_lines, equal lines of fewer than LEAST_WORDS words go too."""
+    least = 1 if short_lines else LEAST_WORDS
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*own)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text_key long, number long, line long, halves array<long>").fields])
     place = F.struct(F.col("id").isNull().alias("late"), "id", "text_key", "number")
-    classes = rows.mapInArrow(_lines, schema).groupBy("line").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
+    classes = rows.mapInArrow(_lines(least), schema).groupBy("line").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
     classes = written(classes, "lines")
     near = written(near_lines(docs, classes, id_col, text_col), "near_lines")
     kept = classes.join(near, "line", "left_anti").groupBy(F.col("place.id").alias("_id"), F.col("place.text_key").alias("_key")).agg(F.collect_list("place.number").alias("_keep"))
     joined = docs.withColumn("_own", F.xxhash64(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
     schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.select(*own, "_keep").mapInArrow(_rebuilt(own, text_col), schema)
+    return joined.select(*own, "_keep").mapInArrow(_rebuilt(own, text_col, least), schema)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = remove_repeated_lines(docs)
+    out = remove_repeated_lines(docs, short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go; every document stays, with its n_chars brought up to date."""
-    out = remove_repeated_lines(docs)
+    out = remove_repeated_lines(docs, short_lines=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

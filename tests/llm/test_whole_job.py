@@ -1,6 +1,9 @@
 """Whole jobs: what earlier versions left out."""
 
-from gridlode.llm import html_extract, url_filters
+from pyspark.sql import functions as F
+
+from gridlode.llm import html_extract, line_dedup, url_filters
+from tests.llm.test_line_dedup import random_rows, within_one
 
 HALF, MORE = "The first half of the text tells of rivers and of stones, at length.", "The other half of it tells of houses and of roads, as long as that."
 
@@ -32,3 +35,18 @@ def test_small_branches_with_other_labels_stay_apart(spark):
     urls = [*(f"http://a.net/bad/{k}" for k in range(10, 20)), *(f"http://a.net/ok/{k}" for k in range(10, 20)), "http://a.net/bad/2", "http://a.net/ok/2"]
     got = {r.url: r.verdict for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
     assert (got["http://a.net/bad/2"], got["http://a.net/ok/2"]) == ("block", "allow")
+
+
+def brute_lines(rows):
+    """Text left of each document: every equal line goes, and near ones of five words or more."""
+    lines = sorted((i, n, tuple(x.lower().split())) for i, t in rows for n, x in enumerate(t.split("\n")) if x.split())
+    gone = {(i, n) for j, (i, n, w) in enumerate(lines) if any(w == o or min(len(w), len(o)) >= 5 and within_one(w, o) for _, _, o in lines[:j])}
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+
+
+def test_short_lines_go_by_equality(spark, tmp_path):
+    rows = [*random_rows(7), (100, "all rights reserved.\nof, edti oner.\nALL rights  reserved."), (101, "x\nall rights reserved.\nall rights kept.\n\n\nx"), (102, "one two three four five"), (103, "one two three four")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(rows)
+    assert {r.doc_id: r.text for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()} == {i: (t, len(t)) for i, t in want.items()}
