@@ -476,8 +476,8 @@ def _modelled(estimator):
 
 
 for _name, _estimator in {
-    "forest_scores": lambda c: models.forest(c, trees=20),
-    "boosted_scores": lambda c: models.boosted(c, rounds=10),
+    "forest_scores": models.forest,
+    "boosted_scores": models.boosted,
     "logistic_scores": models.logistic,
     "maxent_scores": lambda c: models.logistic(c, degree=2, penalty=0.1),
 }.items():
@@ -486,11 +486,11 @@ for _name, _estimator in {
 
 @query()
 def ensemble_scores(spark, d):
-    return models.ensemble(tables.samples(spark, d), "cell_id", [f"f{i}" for i in range(13)], rounds=2, trees=10, boosts=5)
+    return models.ensemble(tables.samples(spark, d), "cell_id", [f"f{i}" for i in range(13)])
 
 
 @query()
 def reliable_negative_scores(spark, d):
     g, columns = tables.samples(spark, d), [f"f{i}" for i in range(13)]
     first = models.fit_score(models.logistic(columns), g, g, "first")
-    return models.fit_score(models.forest(columns, trees=10), models.reliable_negatives(first, "first"), g).select("cell_id", "score")
+    return models.fit_score(models.forest(columns), models.reliable_negatives(first, "first"), g).select("cell_id", "score")

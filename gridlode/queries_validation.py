@@ -122,4 +122,4 @@ def transfer_scores(spark, d):
 
 @query()
 def trained_scores(spark, d):
-    return models.train_score(tables.samples(spark, d), "cell_id", COLUMNS, background=300, rounds=2, trees=10, boosts=5).select("cell_id", "ml_score", "spread")
+    return models.train_score(tables.samples(spark, d), "cell_id", COLUMNS).select("cell_id", "ml_score", "spread")
