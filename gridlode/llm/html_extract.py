@@ -8,25 +8,35 @@ its own best, its own best is taken.
 
 The best container is widened to the ancestor that holds the clean text of its siblings; blocks
 beside it that are mostly links stay out. An element hides if a word of its class, id or role
-names what stands around an article; if only a part of the word does, it hides unless it holds
-most of the page's text. Where nothing is left, only what is hidden by attributes stays out.
+names what stands around an article. A compound hides by its head, the last part (cookie-notice),
+or by any part if its head is a mere holder (share-bar), unless it holds most of the page's text;
+share-price or related-work don't hide. Words that can also tell what a text is about hide
+containers only, not paragraphs. Where nothing is left, only what is hidden by attributes stays out.
 
 Defined cases: null or empty html has no text; markup that is cut off ends with the page; a
 null url, or one without a host, votes with all pages of that kind; pages that repeat vote
-each; further columns pass through, and those named like a result are replaced.
+each; of paths with equal votes the first in order wins; any depth of nesting and any length of
+page are read whole, in time that grows with the length; further columns pass through whatever
+their names, and those named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import join_hot
 from gridlode.llm.storage import written
 from gridlode.llm.textcols import column_of, pieces
 from gridlode.llm.url_filters import host_and_path
@@ -43,9 +53,13 @@ NAMES = set(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar topbar header masthead footer bottombar colophon copyright sidebar side aside complementary widget widgets related recommended recommendations "
     "comment comments commentlist disqus respond replies share sharing social login search searchform form hidden navbox toc contentinfo".split()
 )
+#: Heads of compounds that say nothing of what they hold, names that may as well be the matter of a text, and elements of running text.
+HOLDERS = set("box boxes bar bars block blocks wrap wrapper container area panel section links link list button buttons item items unit slot row column col left right top bottom inner outer primary secondary post posts article articles story stories content text group holder region zone frame image img icon icons head title label count main".split())
+MATTERS = {"social", "share", "sharing", "related", "side", "form", "search", "login", "menu", "alert", "header", "complementary", "recommended", "promotion"}
+RUNS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "span", "em", "strong", "b", "i", "td", "th", "dd", "dt"}
 HINTS = {"content", "article", "post", "entry", "main", "story", "body", "text"}
 #: Elements that classes don't hide, but for readers' comments.
-WHOLE, REMARKS = {"html", "body", "main", "article"}, {"comment", "comments", "reply"}
+WHOLE, REMARKS = {"html", "body", "main", "article"}, {"comment", "comments", "reply", "disqus"}
 #: Factors of a container's score, and of one level of depth.
 FAVOUR = {"article": 3.0, "main": 2.0, "body": 0.7, "html": 0.5}
 ROOT_FAVOUR, HINT_FAVOUR, DEPTH_FAVOUR = 0.1, 1.5, 1.2
@@ -63,15 +77,26 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*
 
 
 class Container:
-    """An open element that can hold an article: its path, factor, clean text and links so far."""
+    """An open element that can hold an article: the hash of its path, depth, factor, clean text and links so far."""
 
-    __slots__ = ("path", "favour", "first", "last", "size", "linked", "parent")
+    __slots__ = ("path", "depth", "favour", "first", "last", "size", "linked", "parent")
 
-    def __init__(self, path: str, favour: float, first: int, parent: Container | None) -> None:
-        self.path, self.favour, self.first, self.last, self.parent = path, favour, first, first, parent
+    def __init__(self, step: str, favour: float, first: int, parent: Container | None) -> None:
+        self.favour, self.first, self.last, self.parent = favour, first, first, parent
+        self.path, self.depth = (path_hash(parent.path, step), parent.depth + 1) if parent else ("", 0)
         self.size = self.linked = 0
 
 
+def path_hash(above: str, step: str) -> str:
+    """The path of an element by that of its parent: of one length at any depth."""
+    return hashlib.blake2b(f"{above}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def path_of(path: str) -> str:
+    """Hash of a written path of tags and classes, such as /body/div.post."""
+    return reduce(path_hash, path.strip("/").split("/"), "")
+
+
 def _named(attributes: str) -> tuple[list[str], bool]:
     """Words of class, id and role, and whether the element is hidden."""
     words, hidden = [], False
@@ -105,6 +130,7 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
     stack: list[tuple[str, Container | None, bool, int]] = []  # tag, the container it opened, whether it hides what it holds, its place if parts of words name it
     partly: dict[int, int] = {}
     hiding = anchors = linked = at = total = watched = 0
+    open_tags: Counter[str] = Counter()
 
     def close_block() -> None:
         nonlocal linked
@@ -121,6 +147,7 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
         nonlocal now, hiding, anchors, watched
         while len(stack) > n:
             tag, own, hides, place = stack.pop()
+            open_tags[tag] -= 1
             hiding -= hides
             if place >= 0:
                 partly[place] += total
@@ -128,8 +155,12 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
             if own is not None:
                 own.last, now, anchors = len(blocks), own.parent, 0
 
+    def open_one(tag: str, own: Container | None, hides: bool, place: int) -> None:
+        stack.append((tag, own, hides, place))
+        open_tags[tag] += 1
+
     def end_of(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
             if stack[k][0] == tag:
                 close(k)
                 return
@@ -140,7 +171,7 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
             return hidden, -1
         if tag in WHOLE:
             return any(re.split("[-_]+", w)[0] in REMARKS and STATES.isdisjoint(re.split("[-_]+", w)) for w in words), -1
-        if tag in AROUND or any(w in NAMES for w in words):
+        if tag in AROUND or any(w in NAMES and not (tag in RUNS and w in MATTERS) for w in words):
             return True, -1
         if not _partly_named(tag, words):
             return False, -1
@@ -169,13 +200,13 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
             elif m[3] and tag not in VOID:
                 hides, place = judged(tag, *_named(m[3]))
                 if hides or hiding or watched or place >= 0:
-                    stack.append((tag, None, hides, place))
+                    open_one(tag, None, hides, place)
                     hiding += hides
                 if place >= 0:
                     partly[place] = -total
                     watched += 1
             elif (hiding or watched) and tag not in VOID:
-                stack.append((tag, None, False, -1))
+                open_one(tag, None, False, -1)
             continue
         close_block()
         if ends:
@@ -193,10 +224,10 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
         if tag in CONTAINERS and not hides and not hiding:
             classes = "".join(f".{w}" for w in sorted({re.sub(r"\d+", "#", w) for w in words}))
             hinted = any(p in HINTS for w in words for p in re.split("[-_]+", w))
-            own = Container(f"{now.path}/{tag}{classes}", FAVOUR.get(tag, HINT_FAVOUR if hinted else 1.0), len(blocks), now)
+            own = Container(f"{tag}{classes}", FAVOUR.get(tag, HINT_FAVOUR if hinted else 1.0), len(blocks), now)
             found.append(own)
             now = own
-        stack.append((tag, own, hides, place))
+        open_one(tag, own, hides, place)
         if place >= 0:
             partly[place] = -total
         hiding += hides
@@ -210,9 +241,16 @@ def _read(html: str, hide: int, spared: frozenset[int] = frozenset()) -> tuple[l
 
 
 def _partly_named(tag: str, words: list[str]) -> bool:
-    """Whether a part of a word is a name; words of a container's state don't count."""
-    split = [re.split("[-_]+", w) for w in words]
-    return any(not NAMES.isdisjoint(ps) and (tag not in CONTAINERS or STATES.isdisjoint(ps)) for ps in split)
+    """Whether a compound is named by its head, or by a part before a head that says nothing; words of a container's state don't count."""
+
+    def named(parts: list[str]) -> bool:
+        head = parts[-1]
+        if head in NAMES or not REMARKS.isdisjoint(parts):
+            return True
+        return (head in HOLDERS or head.isdigit()) and not NAMES.isdisjoint(parts)
+
+    split = [[p for p in re.split("[-_]+", w) if p] for w in words]
+    return any(len(ps) > 1 and named(ps) and (tag not in CONTAINERS or STATES.isdisjoint(ps)) for ps in split)
 
 
 def scored(containers: list[Container]) -> Container | None:
@@ -221,12 +259,12 @@ def scored(containers: list[Container]) -> Container | None:
         if c.parent is not None:
             c.parent.size += c.size
             c.parent.linked += c.linked
-    best, most = None, 0.0
+    best, most = None, float("-inf")
     for c in containers:
-        depth = c.path.count("/")
-        score = max(0, c.size - c.linked) * c.favour * DEPTH_FAVOUR**depth if c.size else 0.0
-        if score > most:
-            best, most = c, score
+        if c.size > c.linked:
+            score = log((c.size - c.linked) * c.favour) + c.depth * log(DEPTH_FAVOUR)
+            if score > most:
+                best, most = c, score
     return best
 
 
@@ -249,7 +287,8 @@ def widened(best: Container, blocks: list[str], links: list[int]) -> Container:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The text at the path, or at the page's own best container."""
+    """The text at the path (a hash, or written out), or at the page's own best container."""
+    path = path_of(path) if path and path.startswith("/") else path
     blocks, links, containers = read_page(html or "")
     best = scored(containers)
     if best is None:
@@ -283,24 +322,26 @@ def winning_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The rows of pages with text and n_chars."""
-    own = [c for c in pages.columns if c not in ("text", "n_chars")]
-    paths = winning_paths(pages, url_col, html_col)
+    held = Held(pages, url=url_col, html=html_col)
+    paths = winning_paths(held.rows, held["url"], held["html"]).select("host", F.col("path").alias("winner"))
+    rows = held.rows.select("*", host_and_path(F.col(held["url"]))[0].alias("host"))
     if paths.count() <= MAX_BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
-    rows = pages.select(*own, host_and_path(F.col(url_col))[0].alias("_host"), F.col(html_col).alias("_html"))
-    rows = rows.join(paths.select(F.col("host").alias("_of"), F.col("path").alias("_path")), F.col("_host") == F.col("_of"), "left").drop("_host", "_of")
+        rows = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        rows = join_hot(rows, paths, ["host"], F.col(held["url"]), "left")
+
+    columns, html = held.columns, held["html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "_html"):
-                texts = [extract(h, p) for h, p in zip(column_of(piece, "_html").to_pylist(), column_of(piece, "_path").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in own), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*own, "text", "n_chars"])
+            for piece in pieces(batch, html):
+                texts = [extract(h, p) for h, p in zip(column_of(piece, html).to_pylist(), column_of(piece, "winner").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    schema = T.StructType([*[pages.schema[c] for c in own], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    schema = held.fields(T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
+    return held.given(rows.select(*columns, "winner").mapInArrow(run, schema), "text", "n_chars")
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    kept = main_text(pages.withColumn("source_html", F.col("html")).drop("html"), html_col="source_html")
-    return kept.select("page_id", "url", "text", "n_chars")
+    return main_text(pages).select("page_id", "url", "text", "n_chars")

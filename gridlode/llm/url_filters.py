@@ -10,13 +10,15 @@ branch keeps its segment if it differs from its siblings, by a test of two smoot
 proportions that holds for small counts too, in the share of labelled urls or in the share of
 blocked ones; all others merge into a wildcard branch, and those without any label into one of
 their own, so none inherits its siblings' labels. A template is rejected where its smoothed
-share of blocked urls is at least one half. The tree works on counts of shapes; a host's urls are never
-brought together.
+share of blocked urls is at least one half of all its urls: urls that rules allow speak against it,
+and so do those that no rule decides, as nothing is known against them. The tree works on counts
+of shapes; a host's urls are never brought together, and hot hosts are dealt over tasks.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and
-is judged with all others of its kind; without any label every template is allowed; rows
-that repeat count each; further columns pass through, and those named like a result are
-replaced.
+is judged with all others of its kind; without any label every template is allowed; a share of
+exactly one half rejects; rows that repeat count each; a very long path has its first LEVELS - 1
+segments and all the rest as one more; further columns pass through whatever their names, and
+those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import join_hot
 from gridlode.llm.storage import written
 
 #: Fixed values: (verdict, rule); a rule is a host and the start of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Path segments that make levels of their own; what follows is the last level.
-LEVELS = 4
+#: Path segments that make levels of their own; what follows is the last level. No more levels are grown than the paths have.
+LEVELS = 16
 #: A branch keeps its segment where it differs by so many standard errors.
 ERRORS = 3.0
 #: Wildcards of merged branches: those with labels or among no labels at all, and those without among labelled ones.
 MERGED, UNLABELLED = "*", "<unlabelled>"
-#: Labelled urls that a template is taken to have beforehand, and the blocked share among them.
+#: Urls that a template is taken to have beforehand, and the blocked share among them.
 PRIOR_URLS, PRIOR_SHARE = 4.0, 0.25
 #: As many verdicts of templates are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SHAPES = 200_000
@@ -79,41 +83,44 @@ def _share_differs(hits: str, of: str, parent: str) -> Column:
 def templates(shapes: DataFrame) -> DataFrame:
     """Template of every row (host, segments, n, labelled, blocked): the segments it keeps, wildcards for the others."""
     out = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(LEVELS):
+    at = ["host", "template"]
+    for level in range(shapes.agg(F.max(F.size("segments"))).first()[0] or 0):
         out = out.withColumn("segment", F.get("segments", F.lit(level)))
-        at = ["host", "template"]
-        branch = out.groupBy(*at, "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        branch = written(out.groupBy(*at, "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "branches")
         total = branch.groupBy(*at).agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        judged = branch.join(total, at)
+        judged = join_hot(branch, total, at, F.col("segment"))
         own = _share_differs("labelled", "n", "all_") | _share_differs("blocked", "labelled", "all_")
         bare = (F.col("labelled") == 0) & (F.col("all_labelled") > 0)
-        keep = judged.select(*at, F.col("segment").alias("kept"), F.when(own, F.col("segment")).when(bare, UNLABELLED).alias("step")).where("step IS NOT NULL AND kept IS NOT NULL")
-        o, k = out.alias("o"), keep.alias("k")
-        out = o.join(k, (F.col("o.host") == F.col("k.host")) & (F.col("o.template") == F.col("k.template")) & (F.col("o.segment") == F.col("k.kept")), "left")
-        step = F.when(F.col("o.segment").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("k.step", F.lit(MERGED))))
-        out = out.select("o.host", "o.segments", "o.n", "o.labelled", "o.blocked", F.concat("o.template", step).alias("template"))
+        keep = judged.select(*at, "segment", F.when(own, F.col("segment")).when(bare, UNLABELLED).alias("step")).where("step IS NOT NULL AND segment IS NOT NULL")
+        joined = join_hot(out, keep, [*at, "segment"], F.col("segments"), "left")
+        step = F.when(F.col("segment").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("step", F.lit(MERGED))))
+        out = written(joined.select("host", "segments", "n", "labelled", "blocked", F.concat("template", step).alias("template")), "templates")
     return out.select("host", "segments", "template", "n", "labelled", "blocked")
 
 
+def verdicts(grown: DataFrame) -> DataFrame:
+    """host, template and rejected: whether the smoothed share of blocked urls among all of the template is one half at least."""
+    share = (F.sum("blocked") + PRIOR_URLS * PRIOR_SHARE) / (F.sum("n") + PRIOR_URLS)
+    return grown.groupBy("host", "template").agg((share >= 0.5).alias("rejected"))
+
+
 def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """The rows of pages with host, path, rule, verdict and template."""
-    own = [c for c in pages.columns if c not in (*RESULTS, "template")]
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(*own, host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)).withColumn("_segments", shape(F.col("path")))
-    labelled, blocked = F.col("_rule").isNotNull(), F.coalesce(F.col("_rule.verdict") == "block", F.lit(False))
-    counted = rows.groupBy("host", F.col("_segments").alias("segments")).agg(F.count(F.lit(1)).alias("n"), F.sum(labelled.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("blocked"))
-    grown = written(templates(written(counted, "shapes")), "templates")
-    purity = (F.sum("blocked") + PRIOR_URLS * PRIOR_SHARE) / (F.sum("labelled") + PRIOR_URLS)
-    verdicts = grown.groupBy("host", "template").agg((purity >= 0.5).alias("rejected"))
-    by_shape = written(grown.select("host", "template", "segments").join(verdicts, ["host", "template"]), "verdicts")
-    if by_shape.count() <= MAX_BROADCAST_SHAPES:
-        by_shape = F.broadcast(by_shape)
-    r, v = rows.alias("r"), by_shape.alias("v")
-    joined = r.join(v, (F.col("r.host") == F.col("v.host")) & (F.col("r._segments") == F.col("v.segments")), "left")
-    verdict = F.coalesce(F.col("r._rule.verdict"), F.when(F.col("v.rejected"), "block").otherwise("allow"))
-    template = F.concat(F.lit("/"), F.array_join("v.template", "/"))
-    return joined.select(*[f"r.{c}" for c in own], "r.host", "r.path", F.col("r._rule.rule").alias("rule"), verdict.alias("verdict"), template.alias("template"))
+    held = Held(pages, url=url_col)
+    host, path = host_and_path(F.col(held["url"]))
+    rows = held.rows.select("*", host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("ruled", longest_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)).withColumn("segments", shape(F.col("path")))
+    labelled, blocked = F.col("ruled").isNotNull(), F.coalesce(F.col("ruled.verdict") == "block", F.lit(False))
+    counted = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled.cast("long")).alias("labelled"), F.sum(blocked.cast("long")).alias("blocked"))
+    grown = templates(written(counted, "shapes"))
+    by_shape = written(join_hot(grown, verdicts(grown), ["host", "template"], F.col("segments")).select("host", "segments", "template", "rejected"), "verdicts")
+    # beyond the bound, the rows of hot shapes are dealt over tasks
+    few = by_shape.count() <= MAX_BROADCAST_SHAPES
+    joined = rows.join(F.broadcast(by_shape), ["host", "segments"], "left") if few else join_hot(rows, by_shape, ["host", "segments"], F.col(held["url"]), "left")
+    verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
+    template = F.concat(F.lit("/"), F.array_join("template", "/"))
+    out = joined.select(*held.columns, "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"), template.alias("template"))
+    return held.given(out, *RESULTS, "template")
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
