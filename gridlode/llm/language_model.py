@@ -1,19 +1,25 @@
-"""Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
-
-Tokens are words and one end per text. The CLASSES - 2 most frequent words, the end, and one
-class of all other words are the model's outcomes: the score of an outcome is the product of
-its vector with the sum of the two preceding words' vectors, each weighted by its distance,
-plus a bias. Every task trains on its own share of all training texts, from one start, and
-the parameters are averaged by tokens, sixteen tasks at a time. Because the model is bilinear, the
-scores of all outcomes after all pairs of words are two tables, and the exact normaliser of
-every pair is one matrix product of them. Words of the other class share its probability in
-proportion to their counts, so all known words and one unknown word sum to one.
-
-Counts cover all training texts. The HEAD most frequent words' counts are broadcast, which
-bounds the broadcast; all other words are looked up by a join.
-
-Defined cases: a null or empty text is its end alone; rows without an id are neither held
-out nor trained on; rows that repeat count each; without training texts every word is
+"""Language-model scores from a class-factored log-bilinear model trained with noise-contrastive estimation.
+
+Tokens are words and one end per text. Every frequent word is a unit of its own; all rarer words
+share units by their last letters. Units are dealt to classes of like mass. A context is the sum of
+the preceding units' vectors, each weighted by its distance. The probability of a word is that of
+its class, times that of its unit within the class, both softmaxes of products with the context,
+times the word's share of its unit by counts. The first two are normalised by matrix products over all classes
+and over the units of the class, so all known words and one unknown word of every ending sum to one.
+
+The vocabulary of units grows with the corpus: a word has its own vectors from LEAST_COUNT
+occurrences on, as long as there are no more than OWN_UNITS such words, which bounds a task's
+memory; beyond that the least count doubles. Counts cover all training texts. The most
+frequent words' counts are broadcast, at most HEAD; all other words are looked up by a join.
+
+Training goes over all training texts ROUNDS times. How many tasks share a round depends on the
+number of tokens, not on how the input is split: every task has about TASK_TOKENS, if the
+input's partitions are smaller than that. A task starts at the average of the round before, and
+every vector is averaged by how often each task met it. Only one set of parameters comes to the driver.
+
+Defined cases: a null or empty text is its end alone; a very long text is scored whole, in pieces
+of bounded size; rows without an id are neither held out nor trained on; rows that repeat count
+each; words of equal counts are in the order of their hashes; without training texts every word is
 unknown; an empty table gives an empty result; further columns are left out.
 """
 
@@ -28,229 +34,359 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlode.llm.storage import written
-from gridlode.llm.textcols import as_long, column_of, hash_words, pieces, stream
+from gridlode.llm.textcols import Words, as_long, column_of, hash_words, mix, pieces, stream
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES, WIDTH, HEAD = 1024, 32, 262_144
-BATCH, NOISE, RATE, SEED = 8192, 32, 0.03, 17
+#: Words with own units, endings that rarer words share, and counts that are broadcast.
+LEAST_COUNT, OWN_UNITS, ENDINGS, HEAD = 8, 49_152, 4096, 262_144
+#: Units of a class at most, and classes that would have like mass.
+CLASS_UNITS, CLASSES = 512, 192
+WIDTH, CONTEXT = 16, 3
+ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 2048, 1, 25, 0.15, 17
+#: Tokens scored at a time.
+CHUNK = 16_384
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
 #: Parameter sets that one task averages.
 FAN_IN = 16
 END = -1
-#: Places of outcomes and contexts: the frequent words come first.
-END_CLASS, OTHER_CLASS, START = CLASSES - 2, CLASSES - 1, CLASSES
+LETTERS = 3
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def endings(words: Words) -> np.ndarray:
+    """Number of the ending of each word, by its last LETTERS bytes."""
+    value = np.zeros(len(words.end), np.uint64)
+    for k in range(1, LETTERS + 1):
+        at = words.end - k
+        inside = at >= words.start
+        byte = np.where(inside, words.buf[np.maximum(at, 0)], 0) if len(words.buf) else np.zeros(len(at), np.uint8)
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)  # A-Z count as a-z
+        value = value * np.uint64(256) + byte.astype(np.uint64)
+    return (mix(value) % np.uint64(ENDINGS)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        word, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        return word, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word, first, at = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+        return word, np.concatenate([e for _, e, _ in held])[first], np.bincount(at, np.concatenate([n for _, _, n in held])).astype(np.int64)
+
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["word", "ending", "n"])
 
     for batch in batches:
         for piece in pieces(batch, "text"):
-            held.append(np.unique(as_long(hash_words(column_of(piece, "text")).hash), return_counts=True))
-            held.append((np.array([END]), np.array([piece.num_rows])))
-            size += len(held[-2][0]) + 1
+            words = hash_words(column_of(piece, "text"))
+            word, first, n = np.unique(as_long(words.hash), return_index=True, return_counts=True)
+            held.append((word, endings(words)[first], n))
+            held.append((np.array([END]), np.array([0]), np.array([piece.num_rows])))
+            size += len(word) + 1
         if size > HELD_WORDS:
             held = [merged()]
             size = len(held[0][0])
             if size > HELD_WORDS // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["word", "n"])
+                yield passed()
                 held, size = [], 0
     if held:
-        word, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+        held = [merged()]
+        yield passed()
 
 
 @dataclass
 class Vocabulary:
-    """Counts of the most frequent words, in order of their hashes, and totals of all."""
+    """Frequent words in order of their hashes with count and unit (-1: its ending's), units in order of their classes, and totals."""
 
     word: np.ndarray
     n: np.ndarray
-    outcome: np.ndarray
+    unit: np.ndarray
+    ending: np.ndarray
+    end: int
+    first: np.ndarray
+    prior: np.ndarray
+    mass: np.ndarray
     tokens: int
     types: int
-    prior: np.ndarray
-    others: float
 
-    def outcomes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Outcome and count of each word, and whether it is among the most frequent."""
+    @property
+    def units(self) -> int:
+        return len(self.prior)
+
+    def look_up(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit and count of each word, given its ending, and whether its count is at hand."""
         if not len(self.word):
-            return np.full(len(words), OTHER_CLASS), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+            return self.ending[ends], np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         at = np.minimum(np.searchsorted(self.word, words), len(self.word) - 1)
         known = self.word[at] == words
-        return np.where(known, self.outcome[at], OTHER_CLASS), np.where(known, self.n[at], 0), known
+        unit = np.where(known, self.unit[at], -1)
+        return np.where(unit < 0, self.ending[ends], unit), np.where(known, self.n[at], 0), known
+
+
+def least_count(sizes: dict[int, int], most: int, least: int) -> int:
+    """The least power of two, or `least`, such that no more than `most` words occur so often; sizes holds words by the power of two below their counts."""
+    while sum(k for p, k in sizes.items() if 2 ** (p + 1) > least) > most:
+        least = 1 << least.bit_length()
+    return least
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """counts: word (hash) and n. At most HEAD rows come to the driver."""
+    """counts: word (hash), ending and n. At most HEAD words, and one row per ending, come to the driver."""
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
-    head = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-    word, n = head["word"].to_numpy(), head["n"].to_numpy()
-    tokens, types = int(total["n"] or 0), int(total["types"])
-    is_end = word == END
-    outcome = np.full(len(word), OTHER_CLASS)
-    frequent = np.flatnonzero(~is_end)[: CLASSES - 2]
-    outcome[frequent], outcome[is_end] = np.arange(len(frequent)), END_CLASS
-    in_class = outcome != OTHER_CLASS
-    others = tokens - int(n[in_class].sum()) + 0.5 * (types - int(in_class.sum()) + 1)
-    prior = np.full(CLASSES, 0.5)
-    prior[outcome[in_class]] += n[in_class]
-    prior[OTHER_CLASS] = others
-    order = np.argsort(word)
-    return Vocabulary(word[order], n[order], outcome[order], tokens, types, prior / prior.sum(), others)
+    by_power = counts.groupBy(F.floor(F.log2(F.col("n"))).alias("p")).count().collect()  # 64 rows at most
+    sizes = {int(r["p"]): r["count"] for r in by_power}
+    head_count, own_count = least_count(sizes, HEAD, 1), least_count(sizes, OWN_UNITS, LEAST_COUNT)
+    head = counts.where((F.col("n") >= head_count) | (F.col("word") == END)).toArrow().sort_by("word")
+    word, n, ending = (head[c].to_numpy() for c in ("word", "n", "ending"))
+    own = (n >= own_count) | (word == END)
+    shared = np.full(ENDINGS, 0.5)  # one unknown word of each ending
+    for r in counts.where((F.col("n") < own_count) & (F.col("word") != END)).groupBy("ending").agg(F.sum(F.col("n") + 0.5).alias("n")).collect():
+        shared[r["ending"]] += r["n"]
+    mass = np.concatenate([n[own] + 0.5, shared])
+    order = np.lexsort((np.arange(len(mass)), -mass))
+    mass = mass[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    share = np.sqrt(mass)
+    share = np.cumsum(share) / share.sum()
+    group = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
+    starts = [0]
+    for at in np.flatnonzero(np.diff(group)) + 1:
+        starts.append(int(at))
+    starts.append(len(mass))
+    first = np.unique(np.concatenate([np.append(np.arange(a, b, CLASS_UNITS), b) for a, b in zip(starts, starts[1:], strict=False)]))
+    unit = np.full(len(word), -1)
+    unit[own] = place[: int(own.sum())]
+    at_end = place[: int(own.sum())][word[own] == END]
+    end = int(at_end[0]) if len(at_end) else int(place[-1])
+    return Vocabulary(word, n, unit, place[int(own.sum()) :], end, first, mass / mass.sum(), mass, int(total["n"] or 0), int(total["types"]))
 
 
 class Model:
-    """Vectors of contexts and outcomes, weights of the two distances, and biases."""
+    """Vectors and biases of contexts, units and classes, weights of the distances, and sums of squared steps by row."""
 
-    SHAPES = ((CLASSES + 1, WIDTH), (CLASSES, WIDTH), (2, WIDTH), (CLASSES,))
-
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat, at = flat, 0
-        parts = []
-        for shape in self.SHAPES:
-            parts.append(flat[at : at + int(np.prod(shape))].reshape(shape))
-            at += int(np.prod(shape))
-        self.context, self.target, self.distance, self.bias = parts
+    def __init__(self, rows: dict[str, np.ndarray]) -> None:
+        self.rows = rows
+        self.context, self.target, self.kind = rows["context"], rows["target"], rows["kind"]
+        self.distance = rows["distance"]
 
     @classmethod
-    def start(cls, prior: np.ndarray) -> Model:
-        size = sum(int(np.prod(s)) for s in cls.SHAPES)
-        uniform = (stream(SEED, size) >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5
-        model = cls((uniform * 0.2).astype(np.float32))
-        model.distance[:] = 1.0
-        model.bias[:] = np.log(prior)
-        return model
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of outcomes by the last word with the bias, by the word before, and the log normaliser of each pair."""
-        last = (self.context * self.distance[0]) @ self.target.T + self.bias
-        before = (self.context * self.distance[1]) @ self.target.T
-        a, b = last.max(axis=1, keepdims=True), before.max(axis=1, keepdims=True)
-        return last, before, np.log(np.exp(last - a) @ np.exp(before - b).T) + a + b.T
-
-
-def contexts(column: pa.Array, of: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Row, word, outcome, count, whether frequent, and the outcomes one and two before, of every token."""
+    def start(cls, of: Vocabulary) -> Model:
+        """The last two columns of a row are its bias and its sum of squares."""
+        rows = {"context": of.units + 1, "target": of.units, "kind": len(of.first) - 1, "distance": CONTEXT}
+        made = {}
+        for salt, (name, n) in enumerate(rows.items()):
+            uniform = (stream(SEED + salt, n * WIDTH) >> np.uint64(11)).astype(np.float64) / 2.0**53 - 0.5
+            made[name] = np.concatenate([(uniform * 0.2).reshape(n, WIDTH), np.zeros((n, 2))], axis=1).astype(np.float32)
+            made[name][:, -1] = 1e-3
+        made["distance"][:, :WIDTH] = 1.0 / np.arange(1, CONTEXT + 1)[:, None]
+        in_class = np.add.reduceat(of.prior, of.first[:-1])
+        made["kind"][:, WIDTH] = np.log(in_class)
+        made["target"][:, WIDTH] = np.log(of.prior / np.repeat(in_class, np.diff(of.first)))
+        return cls(made)
+
+    def before(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the preceding units, and their weighted sum."""
+        r = self.context[contexts, :WIDTH]
+        return r, np.einsum("bnw,nw->bw", r, self.distance[:, :WIDTH])
+
+
+def read_tokens(column: pa.Array, of: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Row, word, unit, count, whether the count is at hand, and the units before (nearest first), of every token."""
     words = hash_words(column)
-    rows = len(column)
-    n = words.count
+    rows, n = len(column), words.count
     ends = np.cumsum(n + 1) - 1
-    word = np.full(int(n.sum()) + rows, END, dtype=np.int64)
-    inner = np.ones(len(word), bool)
+    size = int(n.sum()) + rows
+    inner = np.ones(size, bool)
     inner[ends] = False
-    word[inner] = as_long(words.hash)
+    word, ending = np.full(size, END, dtype=np.int64), np.zeros(size, np.int64)
+    word[inner], ending[inner] = as_long(words.hash), endings(words)
     row = np.repeat(np.arange(rows), n + 1)
-    outcome, count, known = of.outcomes(word)
-    outcome[ends] = END_CLASS
-    one = np.concatenate([[START], outcome[:-1]])
-    two = np.concatenate([[START, START], outcome[:-2]])[: len(outcome)]
-    starts = ends - n
-    one[starts] = START
-    two[starts] = START
-    second = starts[n > 0] + 1
-    two[second] = START
-    return row, word, outcome, count, known, one, two
-
-
-def _train(of: Vocabulary):
+    unit, count, known = of.look_up(word, ending)
+    unit[ends] = of.end
+    place = np.arange(size) - np.repeat(ends - n, n + 1)
+    before = np.full((size, CONTEXT), of.units)
+    for k in range(1, CONTEXT + 1):
+        has = np.flatnonzero(place >= k)
+        before[has, k - 1] = unit[has - k]
+    return row, word, unit, count, known, before
+
+
+class Trainer:
+    """Steps of one task from given parameters; every row that it meets is counted."""
+
+    def __init__(self, of: Vocabulary, model: Model, round_: int) -> None:
+        self.of, self.model, self.random = of, model, np.random.default_rng([SEED, round_])
+        self.met = {name: np.zeros(len(rows), np.float32) for name, rows in model.rows.items()}
+        self.kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+        self.cumulated = np.concatenate([[0.0], np.cumsum(of.prior)])
+        self.in_class = np.add.reduceat(of.prior, of.first[:-1])
+        self.log_within = np.log(NOISE * of.prior / self.in_class[self.kind_of]).astype(np.float32)
+        self.log_class = np.log(CLASS_NOISE * self.in_class).astype(np.float32)
+        self.alone = np.diff(of.first) == 1
+
+    def move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
+        """One step of the rows at; gradient holds vectors and biases, rows that repeat are summed."""
+        order = np.argsort(at, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+        rows = at[order][cut]
+        total = np.add.reduceat(gradient[order], cut, axis=0)
+        table = self.model.rows[name]
+        squares = table[rows, -1] + np.square(total).mean(axis=1)
+        table[rows, -1] = squares
+        table[rows, : WIDTH + 1] -= RATE / np.sqrt(squares)[:, None] * total
+        self.met[name][rows] += np.diff(np.append(cut, len(at)))
+
+    def step(self, unit: np.ndarray, before: np.ndarray) -> None:
+        model, kind = self.model, self.kind_of[unit]
+        r, h = model.before(before)
+        h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias counts as one more column
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(CLASS_NOISE), side="right") - 1, self.of.units - 1)
+        noise = self.kind_of[drawn]
+        q, qn = model.kind[kind, : WIDTH + 1], model.kind[noise, : WIDTH + 1]
+        sure = -1.0 / (1.0 + np.exp(np.clip((h1 * q).sum(axis=1) - self.log_class[kind], -30, 30)))
+        other = 1.0 / (1.0 + np.exp(np.clip(self.log_class[noise] - h1 @ qn.T, -30, 30)))
+        gh = sure[:, None] * q[:, :WIDTH] + other @ qn[:, :WIDTH]
+        kinds = np.concatenate([kind, noise]), np.concatenate([sure[:, None] * h1, other.T @ h1])
+        several = np.flatnonzero(~self.alone[kind])
+        u, k, hs = unit[several], kind[several], h1[several]
+        low = self.cumulated[self.of.first[k]][:, None]
+        high = self.cumulated[self.of.first[k + 1]][:, None]
+        drawn = np.searchsorted(self.cumulated, low + (high - low) * self.random.random((len(k), NOISE)), side="right") - 1
+        drawn = np.clip(drawn, self.of.first[k][:, None], self.of.first[k + 1][:, None] - 1)
+        q, qn = model.target[u, : WIDTH + 1], model.target[drawn, : WIDTH + 1]
+        sure = -1.0 / (1.0 + np.exp(np.clip((hs * q).sum(axis=1) - self.log_within[u], -30, 30)))
+        other = 1.0 / (1.0 + np.exp(np.clip(self.log_within[drawn] - np.einsum("bw,bnw->bn", hs, qn), -30, 30)))
+        gh[several] += sure[:, None] * q[:, :WIDTH] + np.einsum("bn,bnw->bw", other, qn[:, :, :WIDTH])
+        targets = np.concatenate([u, drawn.ravel()]), np.concatenate([sure[:, None] * hs, (other[:, :, None] * hs[:, None, :]).reshape(-1, WIDTH + 1)])
+        weighed = gh[:, None, :] * model.distance[:, :WIDTH]
+        none = np.zeros((weighed.shape[0] * CONTEXT, 1), np.float32)
+        contexts = before.ravel(), np.concatenate([weighed.reshape(-1, WIDTH), none], axis=1)
+        distances = np.concatenate([np.einsum("bw,bnw->nw", gh, r), np.zeros((CONTEXT, 1), np.float32)], axis=1)
+        self.move("kind", *kinds)
+        if len(several):
+            self.move("target", *targets)
+        self.move("context", *contexts)
+        self.move("distance", np.arange(CONTEXT), distances / len(unit))
+
+
+def _packed(rows: dict[str, np.ndarray], met: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The rows that were met, of every table, with how often."""
+    names = sorted(rows)
+    at = [np.flatnonzero(met[n]) for n in names]
+    cells = [
+        pa.array(names), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([met[n][a].astype(np.float32).tobytes() for n, a in zip(names, at, strict=True)], pa.binary()),
+        pa.array([rows[n][a].astype(np.float32).tobytes() for n, a in zip(names, at, strict=True)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(cells, names=["name", "at", "met", "rows"])
+
+
+def _added(total: dict[str, np.ndarray], met: dict[str, np.ndarray], name: str, at: bytes, often: bytes, rows: bytes) -> None:
+    """Adds one packed table to weighted sums."""
+    at, often = np.frombuffer(at, np.int32), np.frombuffer(often, np.float32)
+    total[name][at] += np.frombuffer(rows, np.float32).reshape(len(at), -1) * often[:, None]
+    met[name][at] += often
+
+
+def _train(of: Vocabulary, tables, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.start(of.prior)
-        squares = np.full(len(model.flat), 1e-7, np.float32)
-        log_noise = np.log(NOISE * of.prior).astype(np.float32)
-        cumulated = np.cumsum(of.prior)
-        seen = steps = 0
-        width = np.arange(WIDTH)
-        gradient = Model(np.zeros_like(model.flat))
-
-        def scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-            return np.bincount((at[:, None] * WIDTH + width).ravel(), values.ravel(), rows * WIDTH).reshape(rows, WIDTH)
-
+        trainer = Trainer(of, Model({n: t.copy() for n, t in tables.items()}), round_)
+        seen = False
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, _, outcome, _, _, one, two = contexts(column_of(piece, "text"), of)
-                for lo in range(0, len(outcome), BATCH):
-                    w, c1, c2 = outcome[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH]
-                    steps += 1
-                    noise = np.searchsorted(cumulated, (stream(SEED + steps, NOISE) >> np.uint64(11)).astype(np.float64) / 2.0**53).clip(0, CLASSES - 1)
-                    v1, v2, q, qn = model.context[c1], model.context[c2], model.target[w], model.target[noise]
-                    p = v1 * model.distance[0] + v2 * model.distance[1]
-                    sure = (p * q).sum(axis=1) + model.bias[w] - log_noise[w]
-                    other = p @ qn.T + model.bias[noise] - log_noise[noise]
-                    gs = -1.0 / (1.0 + np.exp(np.clip(sure, -30, 30)))
-                    gn = 1.0 / (1.0 + np.exp(-np.clip(other, -30, 30)))
-                    gp = gs[:, None] * q + gn @ qn
-                    gradient.context[:] = scatter(np.concatenate([c1, c2]), np.concatenate([gp * model.distance[0], gp * model.distance[1]]), CLASSES + 1)
-                    gradient.target[:] = scatter(np.concatenate([w, noise]), np.concatenate([gs[:, None] * p, gn.T @ p]), CLASSES)
-                    gradient.distance[0], gradient.distance[1] = (gp * v1).sum(axis=0), (gp * v2).sum(axis=0)
-                    gradient.bias[:] = np.bincount(np.concatenate([w, noise]), np.concatenate([gs, gn.sum(axis=0)]), CLASSES)
-                    flat = gradient.flat / len(w)
-                    squares += flat * flat
-                    model.flat -= RATE * flat / np.sqrt(squares)
-                seen += len(outcome)
+                _, _, unit, _, _, before = read_tokens(column_of(piece, "text"), of)
+                for lo in range(0, len(unit), BATCH):
+                    trainer.step(unit[lo : lo + BATCH], before[lo : lo + BATCH])
+                    seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat.tobytes()], pa.binary())], names=["tokens", "model"])
+            yield _packed(trainer.model.rows, trainer.met)
 
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, weighted = 0, None
-    for batch in batches:
-        for tokens, flat in zip(column_of(batch, "tokens").to_pylist(), column_of(batch, "model").to_pylist(), strict=True):
-            part = np.frombuffer(flat, np.float32).astype(np.float64) * tokens
-            total, weighted = total + tokens, part if weighted is None else weighted + part
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(weighted / total).astype(np.float32).tobytes()], pa.binary())], names=["tokens", "model"])
+def _average(shapes: dict[str, tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = {n: np.zeros(s) for n, s in shapes.items()}, {n: np.zeros(s[0]) for n, s in shapes.items()}
+        for batch in batches:
+            for cells in zip(*(column_of(batch, c).to_pylist() for c in ("name", "at", "met", "rows")), strict=True):
+                _added(total, met, *cells)
+        if any(m.any() for m in met.values()):
+            yield _packed({n: t / np.maximum(met[n], 1e-30)[:, None] for n, t in total.items()}, met)
+
+    return run
 
 
 def train(texts: DataFrame, of: Vocabulary) -> Model:
-    """One model of all texts; what comes to the driver is one set of parameters."""
-    schema = "tokens long, model binary"
-    models = written(texts.select("text").mapInArrow(_train(of), schema), "models")
-    left = models.count()
-    while left > 1:
-        left = -(-left // FAN_IN)
-        models = written(models.repartition(left).mapInArrow(_average, schema), "models")
-    row = models.first()
-    return Model(np.frombuffer(row["model"], np.float32).copy()) if row else Model.start(of.prior)
-
-
-def _score(of: Vocabulary, flat: np.ndarray):
+    """One model of all texts."""
+    schema = "name string, at binary, met binary, rows binary"
+    model = Model.start(of)
+    tasks = max(1, -(-of.tokens // TASK_TOKENS))
+    for round_ in range(ROUNDS):
+        made = written(texts.select("text").coalesce(tasks).mapInArrow(_train(of, model.rows, round_), schema), "models")
+        left = made.count() // len(model.rows)
+        shapes = {n: t.shape for n, t in model.rows.items()}
+        while left > 1:
+            left = -(-left // FAN_IN)
+            made = written(made.repartition(left).mapInArrow(_average(shapes), schema), "models")
+        for cells in made.collect():  # one set of parameters
+            at = np.frombuffer(cells["at"], np.int32)
+            model.rows[cells["name"]][at] = np.frombuffer(cells["rows"], np.float32).reshape(len(at), -1)
+    return model
+
+
+def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the units' probabilities after their contexts."""
+    kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+    out = np.empty(len(unit), np.float64)
+    for lo in range(0, len(unit), CHUNK):
+        u, kind = unit[lo : lo + CHUNK], kind_of[unit[lo : lo + CHUNK]]
+        h = model.before(before[lo : lo + CHUNK])[1]
+        s = h @ model.kind[:, :WIDTH].T + model.kind[:, WIDTH]
+        most = s.max(axis=1)
+        got = s[np.arange(len(u)), kind] - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
+        order = np.argsort(kind, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            a, b = of.first[kind[at[0]]], of.first[kind[at[0]] + 1]
+            if b - a > 1:
+                s = h[at] @ model.target[a:b, :WIDTH].T + model.target[a:b, WIDTH]
+                most = s.max(axis=1)
+                got[at] += s[np.arange(len(at)), u[at] - a] - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
+        out[lo : lo + CHUNK] = got
+    return out
+
+
+def _score(of: Vocabulary, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before, normaliser = Model(flat).tables()
+        model = Model(tables)
+        log_mass = np.log10(of.mass)
+        own = np.zeros(of.units, bool)
+        own[of.unit[of.unit >= 0]] = True
+        own[of.end] = True
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = piece.num_rows
-                row, word, outcome, count, known, one, two = contexts(column_of(piece, "text"), of)
+                row, word, unit, count, known, before = read_tokens(column_of(piece, "text"), of)
                 summed = lambda at, values: np.bincount(row[at], values[at], rows).astype(np.float64)  # noqa: E731, B023  of nothing, bincount gives integers
-                everything = np.ones(len(row), bool)
                 log_count = np.log10(count + 0.5)
-                chance = (last[one, outcome] + before[two, outcome] - normaliser[one, two]) / np.log(10.0)
-                other = outcome == OTHER_CLASS
-                score = summed(everything, chance) + summed(other & known, log_count) - np.bincount(row[other], minlength=rows) * np.log10(of.others)
-                rare = np.flatnonzero(~known)
+                shared = ~own[unit]
+                score = summed(np.ones(len(row), bool), log_chances(model, of, unit, before) / np.log(10.0)) + summed(shared & known, log_count) - summed(shared, log_mass[unit])
+                rare = np.flatnonzero(~known & (word != END))
                 rare = rare[np.lexsort((word[rare], row[rare]))]
                 first = np.flatnonzero(np.concatenate([[True], (word[rare][1:] != word[rare][:-1]) | (row[rare][1:] != row[rare][:-1])])) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.concatenate([first, [len(rare)]]))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[rare[first]], minlength=rows))]).astype(np.int32))
                 words = pa.StructArray.from_arrays([pa.array(word[rare[first]]), pa.array(times.astype(np.int32))], names=["word", "times"])
+                ends = np.flatnonzero((word == END) & ~known)  # nothing was trained on
                 yield pa.RecordBatch.from_arrays(
                     [
                         column_of(piece, "id"),
                         pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
                         pa.array(np.bincount(row[known], minlength=rows).astype(np.int64)),
-                        pa.array(summed(known, log_count)),
+                        pa.array(summed(known, log_count) + np.bincount(row[ends], minlength=rows) * np.log10(0.5)),
                         pa.array(score),
                         pa.ListArray.from_arrays(offsets, words),
                     ],
@@ -264,12 +400,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per document: its id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.where(fold(F.col("id")) != HELD_OUT).select("text")
-    counts = written(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = texts.mapInArrow(_count, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    counts = written(counts, "counts")
     of = vocabulary(counts)
     model = train(texts, of)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,times:int>>"
-    scored = written(rows.mapInArrow(_score(of, model.flat), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = written(rows.mapInArrow(_score(of, model.rows), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     looked_up = rare.join(counts, "word", "left")
     known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
