@@ -2,18 +2,20 @@
 
 Of every six consecutive five-word hashes the least is a fingerprint, on both sides. Any
 shared span of ten words holds six such hashes, so the same one is least on both sides and
-is found. Around each matching fingerprint the windows that can hold it are compared, first
-by hash and then by their words, which extends the hit to the whole shared span.
+is found. Items of fewer than ten words are probed by the hash of all their words.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (its words are
-counted first); a larger benchmark makes more blocks, which run one after the other in the
-same tasks over every document. Documents are never shuffled.
+The fingerprints of the benchmark are set in a bitmap of FILTER_BITS, which has one size
+whatever the benchmark is and is sent to all tasks. A document's fingerprints that it lets pass
+mark the windows around them; only these leave the task. They are joined with the benchmark's
+windows by their words, so the bitmap's false matches and equal hashes end there, and all
+matched windows of a text, put together, are the whole shared span. Equal texts are searched once
+each but looked up once, by two 64-bit hashes of the text.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is no
 window; an item of fewer than ten words is one window; item ids that are null are left out
 of the lists of items, though their windows hit; ids that repeat count once; an empty
-benchmark hits nothing; further columns of docs pass through, and those named like a result
-are replaced.
+benchmark hits nothing; a very long text is searched whole; rows that repeat have equal results;
+further columns of docs pass through whatever their names, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,81 +24,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridlode.llm.textcols import ALNUM, Words, column_of, hash_words, mix, pieces, runs
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import join_hot
+from gridlode.llm.storage import written
+from gridlode.llm.textcols import ALNUM, Words, as_long, column_of, hash_words, pieces, runs
 
 WINDOW, GRAM = 10, 5
 SLIDE = WINDOW - GRAM + 1
-BLOCK_WORDS = 2_000_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
-
-class Block:
-    """Windows and fingerprints of some items, in sorted arrays."""
-
-    def __init__(self, ids: list, texts: list) -> None:
-        words = hash_words(pa.array([t or "" for t in texts], pa.string()), ALNUM)
-        n, grams, hashes, lengths, starts = words.count, [], [], [], []
-        for length in sorted({int(min(x, WINDOW)) for x in n if x}):
-            found, at = runs(words, length)
-            if length < WINDOW:  # only items of just so many words
-                found, at = found[n[words.row[at]] == length], at[n[words.row[at]] == length]
-            hashes.append(found), starts.append(at), lengths.append(np.full(len(at), length))
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        start = np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int64)
-        length = np.concatenate([np.zeros(0, np.int64), *lengths]).astype(np.int64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.length = self.hash[order], length[order]
-        self.words = [_words(words, s, k) for s, k in zip(start[order], self.length, strict=True)]
-        self.item = [None if ids[i] is None else str(ids[i]) for i in words.row[start[order]]]
-        self.short = sorted(set(self.length[self.length < WINDOW].tolist()))
-        grams, at = runs(words, GRAM)
-        self.fingerprints = np.unique(grams[winnow(grams, words.row[at])])
-
-    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """First words and lengths of the windows of the text that may be a benchmark window."""
-        starts, lengths = [], []
-        grams, at = runs(words, GRAM)
-        if len(grams) and len(self.fingerprints):
-            chosen = winnow(grams, words.row[at])
-            hit = at[chosen][member(grams[chosen], self.fingerprints)]
-            near = np.unique((hit[:, None] - np.arange(SLIDE)).ravel())
-            near = near[(near >= 0) & (near + WINDOW <= len(words.hash))]
-            near = near[words.row[near] == words.row[near + WINDOW - 1]] if len(near) else near
-            starts.append(near), lengths.append(np.full(len(near), WINDOW))
-        for n in self.short:
-            _, at = runs(words, n)
-            starts.append(at), lengths.append(np.full(len(at), n))
-        return np.concatenate([np.zeros(0, np.int64), *starts]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *lengths]).astype(np.int64)
-
-    def hits(self, words: Words) -> Iterator[tuple[int, int, int, str | None]]:
-        """Row, first and last word plus one, and item of each place where a window of the benchmark stands."""
-        starts, lengths = self.windows(words)
-        for n in np.unique(lengths):
-            at = starts[lengths == n]
-            h = np.zeros(len(at), np.uint64)
-            for i in range(n):
-                h = h * np.uint64(0x9DDFEA08EB382D69) + words.hash[at + i]
-            h = mix(h + np.uint64(n))
-            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            for i in np.flatnonzero(hi > lo):
-                said = _words(words, at[i], n)
-                for j in range(lo[i], hi[i]):
-                    if self.length[j] == n and self.words[j] == said:
-                        yield int(words.row[at[i]]), int(at[i]), int(at[i] + n), self.item[j]
-
-
-def _words(words: Words, start: int, n: int) -> bytes:
-    return b" ".join(words.text(i) for i in range(start, start + n)).lower()
-
-
-def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(of, values)
-    return of[np.minimum(at, len(of) - 1)] == values
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bits of the filter (16 MiB), and of each of its blocks, which Spark's bitmap functions fix.
+FILTER_BITS, BLOCK_BITS = 1 << 27, 32_768
+#: Bytes of results that are broadcast to the documents; more are joined by a shuffle.
+MAX_BROADCAST_BYTES = 32 << 20
+RESULTS = ["n_words", "spans", "items"]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every item its windows (said, n), and the hashes that a document with one of them holds (probe)."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                words = hash_words(column_of(piece, "text"), ALNUM)
+                count, ids = words.count, column_of(piece, "id").to_pylist()
+                said, n, item, probe = [], [], [], []
+                for length in sorted({int(min(x, WINDOW)) for x in count if x}):
+                    found, at = runs(words, length)
+                    if length < WINDOW:  # only items of just so many words
+                        own = count[words.row[at]] == length
+                        found, at = found[own], at[own]
+                        probe += as_long(found).tolist()
+                    else:
+                        probe += [None] * len(at)
+                    said += [_said(words, i, length) for i in at]
+                    n += [length] * len(at)
+                    item += [ids[words.row[i]] for i in at]
+                grams, at = runs(words, GRAM)
+                prints = np.unique(grams[winnow(grams, words.row[at])])
+                said, n, item, probe = said + [None] * len(prints), n + [WINDOW] * len(prints), item + [None] * len(prints), probe + as_long(prints).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(n, pa.int32()), pa.array(item, pa.string()), pa.array(probe, pa.int64())], names=["said", "n", "item", "probe"])
+
+
+def _said(words: Words, start: int, n: int) -> str:
+    """The words of a window, A-Z as a-z."""
+    return b" ".join(words.text(i) for i in range(start, start + n)).lower().decode("utf-8", "surrogatepass")
 
 
 def winnow(grams: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -116,56 +90,104 @@ def winnow(grams: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.unique(best[whole_slide])
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [{"start": a, "end": b} for a, b in out]
+def bit_of(probe: Column) -> Column:
+    """Place of a hash in the filter."""
+    return F.pmod(probe, F.lit(FILTER_BITS))
+
+
+def bitmap(probes: DataFrame) -> np.ndarray:
+    """The filter of all probes: of FILTER_BITS, whatever their number."""
+    blocks = probes.select(bit_of(F.col("probe")).alias("bit")).groupBy((F.col("bit") / BLOCK_BITS).cast("long").alias("block"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in blocks.agg(F.expr(f"bitmap_construct_agg(bit % {BLOCK_BITS})").alias("bits")).collect():
+        out[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = as_long(hashes) % FILTER_BITS
+    return (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def _pass(held, text_col: str, columns: list[str]):
+def marked(words: Words, filter_: np.ndarray, short: list[int]) -> Iterator[tuple[np.ndarray, int]]:
+    """First words of the windows of each length that may stand in the benchmark."""
+    grams, at = runs(words, GRAM)
+    chosen = winnow(grams, words.row[at])
+    hit = at[chosen][passes(filter_, grams[chosen])]
+    near = np.unique((hit[:, None] - np.arange(SLIDE)).ravel())
+    near = near[(near >= 0) & (near + WINDOW <= len(words.hash))]
+    yield near[words.row[near] == words.row[near + WINDOW - 1]] if len(near) else near, WINDOW
+    for n in short:
+        found, at = runs(words, n)
+        yield at[passes(filter_, found)], n
+
+
+def _candidates(held, short: list[int]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        for batch in batches:
-            for piece in pieces(batch, text_col):
-                words = hash_words(column_of(piece, text_col), ALNUM)
-                spans: dict[int, set] = {}
-                items: dict[int, set] = {}
-                for row, start, end, item in block.hits(words):
-                    first = int(words.first[row])
-                    spans.setdefault(row, set()).add((start - first, end - first))
-                    items.setdefault(row, set()).update(() if item is None else (item,))
-                old = column_of(piece, "spans").to_pylist() if "spans" in piece.schema.names else [[]] * piece.num_rows
-                known = column_of(piece, "items").to_pylist() if "items" in piece.schema.names else [[]] * piece.num_rows
-                new = [_merged([*spans.get(i, ()), *((x["start"], x["end"]) for x in o)]) if i in spans else o for i, o in enumerate(old)]
-                found = [sorted({*items[i], *k}) if i in items else k for i, k in enumerate(known)]
-                kept = [column_of(piece, c) for c in columns]
-                spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(words.count, pa.int64()), pa.array(new, spans_type), pa.array(found, pa.list_(pa.string()))], names=[*columns, "n_words", "spans", "items"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for piece in pieces(batch, "text"):
+                    words = hash_words(column_of(piece, "text"), ALNUM)
+                    at, n, said = [], [], []
+                    for starts, length in marked(words, held.value, short):
+                        at += starts.tolist()
+                        n += [length] * len(starts)
+                        said += [_said(words, i, length) for i in starts]
+                    at = np.array(at, dtype=np.int64)
+                    row = words.row[at] if len(at) else np.zeros(0, np.int32)
+                    kept = [column_of(piece, c).take(pa.array(row)) for c in ("k1", "k2")]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(at - words.first[row]), pa.array(n, pa.int32()), pa.array(said, pa.string())], names=["k1", "k2", "start", "n", "said"])
 
     return search
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Block]:
-    counted = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    total = counted.agg(F.sum(F.regexp_count(F.lower("t"), F.lit(WORD)))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_WORDS))
-    dealt = counted.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(n)))
-    parts = ([tuple(x) for x in dealt.where(F.col("block") == i).select("id", "t").collect()] for i in range(n))
-    return [Block([x[0] for x in part], [x[1] for x in part]) for part in parts]
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that meet put together."""
+    last = lambda out: F.element_at(out, -1)
+    longer = lambda out, s: F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end")))
+    meets = lambda out, s: F.coalesce(s["start"] <= F.get(out, F.size(out) - 1)["end"], F.lit(False))
+    add = lambda out, s: F.when(meets(out, s), F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), longer(out, s))).otherwise(F.concat(out, F.array(s)))
+    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
+
+
+def keys_of(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def found_in(rows: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """k1, k2, spans and items of every text that holds a window of the benchmark."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
+    made = written(items.mapInArrow(_windows, "said string, n int, item string, probe long"), "windows")
+    short = [r["n"] for r in made.where(f"n < {WINDOW}").select("n").distinct().collect()]  # nine at most
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(made.where("probe IS NOT NULL")))
+    texts = rows.select(*keys_of(F.col(text_col)), F.col(text_col).alias("text"))
+    candidates = texts.mapInArrow(_candidates(held, sorted(short)), "k1 long, k2 long, start long, n int, said string")
+    candidates = written(candidates.distinct(), "candidates")
+    windows = made.where("said IS NOT NULL").groupBy("said").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hits = join_hot(candidates, windows, ["said"], F.struct("k1", "start"))
+    span = F.struct("start", (F.col("start") + F.col("n")).alias("end"))
+    each = hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return written(each.withColumn("spans", _merged(F.col("spans"))), "found")
+
+
+def overlap(held: Held, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The held rows with n_words, spans and items."""
+    found = found_in(held.rows, held["text"], benchmark, item_col, item_text_col)
+    size = found.agg(F.sum(32 + 16 * F.size("spans") + F.length(F.array_join("items", "  ")))).first()[0] or 0
+    keyed = held.rows.select("*", *keys_of(F.col(held["text"])))
+    if size <= MAX_BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(found), ["k1", "k2"], "left")
+    else:
+        joined = join_hot(keyed, found, ["k1", "k2"], F.xxhash64(*[c for c in held.columns if c != held["text"]], F.lit(1)), "left")
+    words = F.coalesce(F.regexp_count(F.col(held["text"]), F.lit(WORD)), F.lit(0)).cast("long")
+    none = [F.coalesce(c, F.array()).alias(c) for c in ("spans", "items")]
+    return joined.select(*held.columns, words.alias("n_words"), *none)
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs with n_words, spans (merged, in words) and items (ids as strings, sorted)."""
-    spark, own = docs.sparkSession, [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    out = docs.select(*own)
-    for block in blocks(benchmark, item_col, item_text_col):
-        schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), text_col, own), schema)
-    return out
+    held = Held(docs, text=text_col)
+    return held.given(overlap(held, benchmark, item_col, item_text_col), *RESULTS)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -183,9 +205,13 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that share a window with the benchmark go."""
-    found = find_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    """Pipeline stage: documents that share a window with the benchmark go.
+
+    All columns stay as they are, whatever their names; null, empty, repeated and very long texts
+    and an empty table are treated as by the operator.
+    """
+    held = Held(docs, text="text")
+    return held.given(overlap(held, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("spans") == 0))
 
 
 #: DuckDB SQL of op4_decontaminate.
