@@ -14,8 +14,9 @@ pairs. The word edit distance of every match is verified before a line goes.
 
 Defined cases: a null or empty text has no lines and stays as it is; documents without an id
 come last; rows that repeat in id and text are one document and are treated alike; a document
-whose lines all go stays with the text that is left, which may be empty; an empty table gives
-an empty result.
+whose lines all go stays with the text that is left, which may be empty; a very long text is read
+whole; an empty table gives an empty result; further columns pass through whatever their names,
+and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import join_hot
 from gridlode.llm.storage import written
 from gridlode.llm.textcols import Words, as_long, byte_column, column_of, hash_words, mix, pieces
 
@@ -154,7 +157,7 @@ def _rebuilt(own: list[str], text_col: str, least: int):
         for batch in batches:
             for piece in pieces(batch, text_col):
                 lines = Lines(column_of(piece, text_col), least)
-                texts, keep = column_of(piece, text_col).to_pylist(), column_of(piece, "_keep").to_pylist()
+                texts, keep = column_of(piece, text_col).to_pylist(), column_of(piece, "keep").to_pylist()
                 cut = np.searchsorted(lines.row, np.arange(piece.num_rows + 1))
                 removed = []
                 for r, text in enumerate(texts):
@@ -183,7 +186,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     half = classes.select("line", F.explode("halves").alias("half"))
     met = half.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("half")
     side = F.pmod("half", F.lit(2))
-    open_lines = half.join(met, "half").groupBy("line").agg(F.max(side == 0).alias("first"), F.max(side == 1).alias("last"))
+    open_lines = join_hot(half, met, ["half"], F.col("line")).groupBy("line").agg(F.max(side == 0).alias("first"), F.max(side == 1).alias("last"))
     wanted = classes.join(open_lines, "line").select("place.id", "place.text_key", F.struct("place.number", "first", "last").alias("w"))
     wanted = wanted.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("w").alias("wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
@@ -194,29 +197,36 @@ def near_lines(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     keys = keys.withColumn("at", at)
     kinds = [F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"k{k}") for k in range(3)]
     least = keys.groupBy("key").agg(*kinds, F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key", "k0", "k1", "k2")
-    joined = keys.select("line", "key", "kind", "at").join(least, "key")
+    joined = join_hot(keys.select("line", "key", "kind", "at"), least, ["key"], F.col("line"))
     earlier = F.when(F.col("kind") == 0, F.col("k1")).when(F.col("kind") == 1, F.col("k0")).otherwise(F.col("k2"))
     pairs = joined.withColumn("earlier", earlier).where("earlier < at").select("line", F.col("earlier.line").alias("other")).distinct()
     words = keys.where("kind = 0").select("line", "words")
-    checked = pairs.join(words.withColumnRenamed("words", "wa"), "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("wb")), "other")
+    checked = join_hot(written(pairs, "line_pairs"), words.select(F.col("line").alias("other"), F.col("words").alias("wb")), ["other"], F.col("line"))
+    checked = checked.join(words.withColumnRenamed("words", "wa"), "line")
     return checked.where(_within_one_word("wa", "wb")).select("line").distinct()
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """The rows of docs with the text that is left, n_lines before and n_removed; with short_lines, equal lines of fewer than LEAST_WORDS words go too."""
+def without_repeats(held: Held, short_lines: bool) -> DataFrame:
+    """The held rows with the text that is left, n_lines and n_removed."""
     least = 1 if short_lines else LEAST_WORDS
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*own)
+    id_col, text_col = held["id"], held["text"]
+    docs = held.rows
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("text_key long, number long, line long, halves array<long>").fields])
     place = F.struct(F.col("id").isNull().alias("late"), "id", "text_key", "number")
     classes = rows.mapInArrow(_lines(least), schema).groupBy("line").agg(F.min(place).alias("place"), F.first("halves").alias("halves"))
     classes = written(classes, "lines")
     near = written(near_lines(docs, classes, id_col, text_col), "near_lines")
-    kept = classes.join(near, "line", "left_anti").groupBy(F.col("place.id").alias("_id"), F.col("place.text_key").alias("_key")).agg(F.collect_list("place.number").alias("_keep"))
-    joined = docs.withColumn("_own", F.xxhash64(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.select(*own, "_keep").mapInArrow(_rebuilt(own, text_col, least), schema)
+    kept = classes.join(near, "line", "left_anti").groupBy(F.col("place.id").alias("id"), F.col("place.text_key").alias("key")).agg(F.collect_list("place.number").alias("keep"))
+    joined = docs.withColumn("own_key", F.xxhash64(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    schema = held.fields(T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()))
+    return joined.select(*held.columns, "keep").mapInArrow(_rebuilt(held.columns, text_col, least), schema)
+
+
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+    """The rows of docs with the text that is left, n_lines before and n_removed; with short_lines, equal lines of fewer than LEAST_WORDS words go too."""
+    held = Held(docs, id=id_col, text=text_col)
+    return held.given(without_repeats(held, short_lines), "n_lines", "n_removed")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -226,8 +236,14 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go; every document stays, with its n_chars brought up to date."""
-    out = remove_repeated_lines(docs, short_lines=True)
+    """Pipeline stage: repeated lines go; every document stays, with its n_chars brought up to date.
+
+    All other columns stay as they are, whatever their names; null, empty, repeated and very long
+    texts and an empty table are treated as by the operator.
+    """
+    held = Held(docs, id="doc_id", text="text")
+    out = without_repeats(held, short_lines=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        at = held.columns[docs.columns.index("n_chars")]
+        out = out.withColumn(at, F.length(held["text"]).cast(docs.schema["n_chars"].dataType))
+    return held.given(out)

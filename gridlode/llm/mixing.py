@@ -8,8 +8,9 @@ shuffled and a hot source is spread over many buckets.
 
 Defined cases: a null text has no words; a null source is a source of its own, the last;
 rows without words take 0 words; repeated rows (same id and size) share the words left at
-the cut evenly, rounded down; an empty table gives an empty result; any other columns pass
-through, and those named like an added column are replaced by it.
+the cut evenly, rounded down; sources of equal size per weight are filled in the order of their
+names; a very long text counts with all its words; an empty table gives an empty result; any other
+columns pass through whatever their names, and those named like an added column are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import join_hot
 from gridlode.plans.materialize import materialize, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,17 +111,29 @@ def few_or_shuffled(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if per_source.count() <= MAX_BROADCAST_SOURCES else per_source
 
 
+def mixed(held: Held, weights: tuple[int, ...], share_percent: int, max_epochs: int) -> DataFrame:
+    """The held rows with size, source_size, target and taken."""
+    doc_id, source = F.col(held["id"]), F.col(held["source"])
+    size = word_count(F.col(held["text"]))
+    sized = materialize(held.rows.select(source.alias("source"), doc_id.alias("id"), random_key(doc_id).alias("key"), size.alias("size")))
+    per_source = cuts(sized, weights, share_percent, max_epochs)
+    few = per_source.count() <= MAX_BROADCAST_SOURCES
+    rows = held.rows.select(*held.columns, F.struct(random_key(doc_id).alias("key"), doc_id.alias("id"), size.alias("size")).alias("at"), named(source).alias("of"))
+    s = per_source.select(named(F.col("source")).alias("of"), "source_size", "target", "epochs", "cut", "part")
+    joined = rows.join(F.broadcast(s), "of", "left") if few else join_hot(rows, s, ["of"], doc_id, "left")
+    last = F.when(F.col("cut").isNull() | (F.col("at") > F.col("cut")), F.lit(0)).when(F.col("at") == F.col("cut"), F.col("part")).when(F.col("at") < F.col("cut"), F.col("at.size")).otherwise(F.col("part"))
+    return joined.select(*held.columns, F.col("at.size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("at.size") + last).cast("long").alias("taken"))
+
+
+def named(source: Column) -> Column:
+    """A key that is never null: whether the source is, and its name."""
+    return F.struct(source.isNull().alias("none"), F.coalesce(source.cast("string"), F.lit("")).alias("name"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_percent: int = 150, max_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs with size, source_size, target and taken: the words that the mix takes of each, repeats counted."""
-    size = word_count(F.col(text_col))
-    sized = materialize(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), random_key(F.col(id_col)).alias("key"), size.alias("size")))
-    per_source = few_or_shuffled(cuts(sized, weights, share_percent, max_epochs))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = docs.select(*own, F.struct(random_key(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), size.alias("size")).alias("_at"), F.col(source_col).alias("_source"))
-    s = per_source.select(F.col("source").alias("_of"), "source_size", "target", F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
-    joined = rows.join(s, F.col("_source").eqNullSafe(F.col("_of")), "left")
-    last = F.when(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")), F.lit(0)).when(F.col("_at") == F.col("_cut"), F.col("_part")).when(F.col("_at") < F.col("_cut"), F.col("_at.size")).otherwise(F.col("_part"))
-    return joined.select(*own, F.col("_at.size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_at.size") + last).cast("long").alias("taken"))
+    held = Held(docs, id=id_col, text=text_col, source=source_col)
+    return held.given(mixed(held, weights, share_percent, max_epochs), "size", "source_size", "target", "taken")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +142,11 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the mix takes, with their words to take; documents of which nothing is taken go."""
+    """Pipeline stage: the documents that the mix takes, with size, source_size, target and taken; documents of which nothing is taken go.
+
+    Other columns stay as they are, whatever their names; columns named like those four are replaced. Null, empty,
+    repeated and very long texts and an empty table are treated as by the operator.
+    """
     return mix(docs).where(F.col("taken") > 0)
 
 

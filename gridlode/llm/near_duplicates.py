@@ -12,11 +12,14 @@ components; then those members of one bucket that are still in different compone
 compared, where their rarest shingles meet early enough, so no link is lost to the choice of
 representatives, and a group of copies costs about as many comparisons as it has members.
 A similarity of 0.75 escapes all BANDS bands of BAND_ROWS values with a probability of 1e-10.
-Links are confirmed on the full sets.
+Links are confirmed on the full sets of 64-bit shingle hashes. Rows of hot buckets, representatives, shingles and
+labels are dealt over tasks.
 
 Defined cases: a null text or one without words is empty and linked with nothing; fewer than
 five words count as one shingle; rows without an id take part and take the least id of their
-group, null if it has none; rows that repeat are copies; an empty table gives an empty result.
+group, null if it has none; rows that repeat are copies, of which the first by a hash of all columns
+stays; of equally central classes the greater hash is compared with; a very long text has its whole
+set; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlode.llm.columns import Held
+from gridlode.llm.skew import Dealt, join_hot
 from gridlode.llm.storage import written
 from gridlode.llm.textcols import as_long, column_of, hash_words, mix, pieces, runs, whole
 from gridlode.plans.materialize import materialize
@@ -123,7 +128,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b").where((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
+    both = join_hot(pairs, b, ["b"], F.col("a")).join(a, "a").where((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -134,13 +139,13 @@ def apart(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     Of two linked sets in one order of elements, the first quarters meet. The order is by
     rarity, so a text's own words come first and those that a whole group shares seldom count.
     """
-    mixed = members.select("band", "node").join(labels, "node")
+    mixed = written(members.select("band", "node").join(labels, "node"), "labelled")
     differ = mixed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_nodes = mixed.join(differ, "band").groupBy("node").agg(F.min("label").alias("label"))
+    open_nodes = join_hot(mixed, differ, ["band"], F.col("node")).groupBy("node").agg(F.min("label").alias("label"))
     held = written(sets.join(open_nodes, "node"), "open")
     each = held.select("node", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    order = each.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+    order = join_hot(each, shared, ["s"], F.col("node")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
     own = F.col("n") - F.size("rare")
     quarter = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
     lead = held.select("node", "n", "label").join(order, "node").withColumn("take", (quarter - own).cast("int")).where("take > 0")
@@ -148,24 +153,24 @@ def apart(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     # as many elements are left from here on, which bounds what two sets share if this is the first that they share
     lead = written(lead.select("node", "n", "label", "e.s", (F.col("n") - F.col("own") - F.col("at")).alias("left")), "leads")
     several = lead.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s")
-    lead = lead.join(several, "s")
-    m, o = lead.alias("m"), lead.alias("o")
-    close = (100 * F.col("m.n") >= PERCENT * F.col("o.n")) & (100 * F.col("o.n") >= PERCENT * F.col("m.n"))
-    enough = (100 + PERCENT) * F.least("m.left", "o.left") >= PERCENT * (F.col("m.n") + F.col("o.n"))
-    pairs = m.join(o, (F.col("m.s") == F.col("o.s")) & (F.col("m.label") < F.col("o.label")) & close & enough)
-    return pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
+    lead = written(join_hot(lead, several, ["s"], F.col("node")), "leads")
+    other = lead.select("s", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label", "left")])
+    close = (100 * F.col("n") >= PERCENT * F.col("o_n")) & (100 * F.col("o_n") >= PERCENT * F.col("n"))
+    enough = (100 + PERCENT) * F.least("left", "o_left") >= PERCENT * (F.col("n") + F.col("o_n"))
+    pairs = join_hot(lead, other, ["s"], F.col("node")).where((F.col("label") < F.col("o_label")) & close & enough)
+    return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and label, the least node reachable: least labels spread over edges, and every label jumps to its own label."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct())
+    both = Dealt(materialize(both.distinct()), ["a"], F.col("b"))
     labels = materialize(nodes.select("node", F.col("node").alias("label")))
     while True:
-        from_edges = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "label")
-        spread = labels.unionByName(from_edges).groupBy("node").agg(F.min("label").alias("label"))
-        jump = spread.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        jumped = spread.join(jump, F.col("label") == F.col("at"), "left").select("node", F.least("label", "further").alias("label"))
+        from_edges = both.join(labels.withColumnRenamed("node", "a")).select(F.col("b").alias("node"), "label")
+        spread = materialize(labels.unionByName(from_edges).groupBy("node").agg(F.min("label").alias("label")))
+        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = join_hot(spread, jump, ["label"], F.col("node"), "left").select("node", F.least("label", "further").alias("label"))
         new = materialize(jumped)
         moved = new.withColumnRenamed("label", "new").join(labels, "node").where(F.col("new") != F.col("label")).limit(1).count()
         labels = new
@@ -185,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(grouped, "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    members = written(banded.join(buckets, "band"), "members")
+    members = written(join_hot(banded, buckets, ["band"], F.col("node")), "members")
     nodes = written(members.groupBy("node").agg(F.lit(1).alias("one")).select("node"), "nodes")
     found = classes.join(nodes, "node").select("node", "one.id", "one.text_key")
     texts = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).alias("text"))
@@ -194,10 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the member that meets most others is the nearest to the core of its bucket
     size = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    central = members.join(size, "band").groupBy("node").agg(F.sum("size").alias("meets"))
+    by_band = Dealt(members, ["band"], F.col("node"))
+    central = by_band.join(size).groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = members.join(central, "node")
     reps = ranked.groupBy("band").agg(F.max_by("node", F.struct("meets", "node")).alias("rep"))
-    stars = ranked.join(reps, "band").where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agree"))
+    stars = by_band.join(reps).where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agree"))
     best = stars.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "rep")), False), 1, REPS).alias("best"))
     first = written(linked(best.select(F.col("node").alias("a"), F.explode("best.rep").alias("b")), sets), "links")
     labels = components(first, nodes)
@@ -207,19 +213,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = classes.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", "check", "first_id", F.coalesce("label", "node").alias("label"))
     groups = materialize(groups)
     least = groups.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    known = groups.join(least, "label").select("node", "check", F.lit(True).alias("grouped"), "component_id")
-    out = rows.select("id", "text_key", "n_shingles", "node", "check").join(known, ["node", "check"], "left")
+    known = join_hot(groups, least, ["label"], F.col("node")).select("node", "check", F.lit(True).alias("grouped"), "component_id")
+    out = join_hot(rows.select("id", "text_key", "n_shingles", "node", "check"), known, ["node", "check"], F.col("id"), "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", "text_key", "n_shingles", component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the least id of each group; rows that repeat in id and text stay once."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_own", text_key(F.col(text_col)))
-    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    held = Held(docs, id=id_col, text=text_col)
+    found = near_duplicates(held.rows, held["id"], held["text"])
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", F.col("text_key").alias("key")).distinct()
+    keyed = held.rows.withColumn("own_key", text_key(F.col(held["text"])))
+    kept = keyed.join(stay, F.col(held["id"]).eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    whole = F.struct(*held.columns)
+    one = kept.groupBy(F.col(held["id"]).alias("id"), "own_key").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return held.given(one.select("row.*"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -229,7 +238,11 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays."""
+    """Pipeline stage: one document of each group stays, the one with the least id; texts without words all stay.
+
+    All columns stay as they are, whatever their names; null, empty, repeated and very long texts
+    and an empty table are treated as by the operator.
+    """
     return deduplicate(docs)
 
 

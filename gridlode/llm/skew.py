@@ -13,20 +13,34 @@ TASK_SHARE, LEAST = 0.25, 512
 MOST_HOT = 20_000
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
-    """big joined with small on keys; rows of big that share a hot key are dealt by the column `by`, small's are copied to each deal.
+class Dealt:
+    """A frame whose rows of hot keys are dealt over tasks by the column `by`, to be joined on those keys.
 
-    big is read twice and should be a written table. The hot keys come to the driver: at most MOST_HOT by their share.
-    how is inner, left, left_semi or left_anti.
+    The frame is read once more, to find its hot keys, and should be a written table. Those keys
+    come to the driver: at most MOST_HOT by their share.
     """
-    total = big.count()
-    even = max(LEAST, int(TASK_SHARE * total / shuffle_partitions(big.sparkSession)), total // MOST_HOT)
-    counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > even)
-    hot = counted.select(*keys, F.ceil(F.col("_n") / even).cast("int").alias("_deals")).collect()
-    if not hot:
-        return big.join(small, keys, how)
-    table = F.broadcast(big.sparkSession.createDataFrame(hot, counted.select(*keys, F.lit(1).alias("_deals")).schema))
-    deals = F.coalesce("_deals", F.lit(1))
-    dealt = big.join(table, keys, "left").withColumn("_deal", F.pmod(F.xxhash64(by, F.lit(3)), deals).cast("int")).drop("_deals")
-    copied = small.join(table, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
-    return dealt.join(copied, [*keys, "_deal"], how).drop("_deal")
+
+    def __init__(self, big: DataFrame, keys: list[str], by: Column) -> None:
+        self.big, self.keys, spark = big, keys, big.sparkSession
+        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        total = big.count()
+        even = max(LEAST, int(TASK_SHARE * total / shuffle_partitions(spark)), total // MOST_HOT)
+        hot = counted.where(F.col("_n") > even).select(*keys, F.ceil(F.col("_n") / even).cast("int").alias("_deals"))
+        rows = hot.collect() if total > LEAST else []
+        self.table = F.broadcast(spark.createDataFrame(rows, hot.schema)) if rows else None
+        if rows:
+            deal = F.pmod(F.xxhash64(by, F.lit(3)), F.coalesce("_deals", F.lit(1))).cast("int")
+            self.big = big.join(self.table, keys, "left").withColumn("_deal", deal).drop("_deals")
+
+    def join(self, small: DataFrame, how: str = "inner") -> DataFrame:
+        """Joined with small, whose rows of hot keys are copied to every deal; how is inner, left, left_semi or left_anti."""
+        if self.table is None:
+            return self.big.join(small, self.keys, how)
+        deals = F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1)
+        copied = small.join(self.table, self.keys, "left").withColumn("_deal", F.explode(deals)).drop("_deals")
+        return self.big.join(copied, [*self.keys, "_deal"], how).drop("_deal")
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """big joined with small on keys, as Dealt does."""
+    return Dealt(big, keys, by).join(small, how)

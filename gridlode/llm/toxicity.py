@@ -10,7 +10,9 @@ without a shuffle.
 Defined cases: a null or empty text has the score of the intercept; ids without a label
 and labels without a document are left out of the fit; where an id has several labels the
 highest counts; with no labelled row, or with one class only, the score is that class's
-smoothed share; further columns pass through, and those named like a result are replaced.
+smoothed share; a score of exactly one half is predicted as 1; rows that repeat have equal scores; a
+very long text is scored whole; an empty table gives an empty result; further columns pass through
+whatever their names, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlode.llm.columns import Held
 from gridlode.llm.textcols import ALNUM, Words, column_of, hash_words, mix, pieces
 from gridlode.plans.materialize import materialize
 
@@ -112,13 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.frombuffer(row["index"], np.int32), np.frombuffer(row["weight"], np.float32), row["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """The rows of docs with score, the probability of the label 1."""
-    own = [c for c in docs.columns if c != "score"]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+Weights = tuple[np.ndarray, np.ndarray, float]
+
+
+def scored(held: Held, model: Weights) -> DataFrame:
+    """The held rows with score."""
+    weights = held.rows.sparkSession.sparkContext.broadcast(model)
+    own, text_col = held.columns, held["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value, bias = held.value
+        at, value, bias = weights.value
         weight = np.zeros(1 << BITS, np.float32)
         weight[at] = value
         for batch in batches:
@@ -130,8 +136,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 p = 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in own), pa.array(p)], names=[*own, "score"])
 
-    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("score", T.DoubleType())])
-    return docs.select(*own).mapInArrow(run, schema)
+    return held.rows.mapInArrow(run, held.fields(T.StructField("score", T.DoubleType())))
+
+
+def score(docs: DataFrame, model: Weights, text_col: str = "text") -> DataFrame:
+    """The rows of docs with score, the probability of the label 1."""
+    held = Held(docs, text=text_col)
+    return held.given(scored(held, model), "score")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -142,6 +153,11 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored as toxic go."""
+    """Pipeline stage: documents scored as toxic go.
+
+    All columns stay as they are, whatever their names; null, empty, repeated and very long texts
+    and an empty table are treated as by the operator.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("score < 0.5").select(*docs.columns)
+    held = Held(docs, text="text")
+    return held.given(scored(held, model).where("score < 0.5"))
