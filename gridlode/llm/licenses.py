@@ -9,8 +9,9 @@ A row is judged within its task by column expressions alone; only the document f
 each licence word, a table of fixed size, is gathered.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; an
-empty table gives an empty result; rows that repeat are judged alike; further columns pass
-through, and those named like a result are replaced.
+empty table gives an empty result; rows that repeat are judged alike; of equally rare words the
+first in order is indexed; a very long text is scanned whole; further columns pass through whatever
+their names, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlode.llm.columns import Held
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases and their labels.
@@ -26,16 +29,43 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 TEMPLATES = [
     *((phrase, phrase, label) for phrase, label in PHRASES),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge", "mit"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge", "mit",
+    ),
     ("licensed under the apache license version 2 0", "apache license version 2", "apache-2"),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "see the license for the specific language governing permissions", "apache-2",
+    ),
     ("is licensed under the gnu general public license version 3", "gnu general public license version 3", "gpl-3"),
     ("is licensed under the gnu general public license version 2", "gnu general public license version 2", "gpl-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3", "gpl-3"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2", "gpl-2"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license for more details", "gpl"),
     ("under the terms of the gnu lesser general public license", "gnu lesser general public license", "lgpl"),
     ("under the terms of the gnu affero general public license", "gnu affero general public license", "agpl"),
     ("is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2", "mpl-2"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms with or without modification", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software", "bsd-3"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted", "isc"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "including commercial applications and to alter it and redistribute it freely", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license", "bsl-1"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2", "epl-2"),
+    ("this font software is licensed under the sil open font license version 1 1", "sil open font license", "ofl-1"),
+    ("under the terms of the artistic license 2 0", "artistic license 2", "artistic-2"),
     ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4", "cc-by"),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike", "cc-by-sa"),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial", "cc-by-nc"),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives", "cc-by-nd"),
     ("this work is dedicated to the public domain under cc0 1 0 universal", "public domain", "cc0"),
-]
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights", "cc0"),
+]
 #: Rare words of a template that must agree, and the share of its words that must stand in place.
 RARE_WORDS, LEAST_SHARE = 3, 0.8
 RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -48,7 +78,7 @@ def words_of(text: Column) -> Column:
 
 def document_frequency(worded: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Number of rows that hold each word of the vocabulary, which bounds what is gathered."""
-    held = F.array_intersect("_words", F.array(*[F.lit(w) for w in vocabulary]))
+    held = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
     counts = worded.select(F.explode(held).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in counts}
 
@@ -59,20 +89,19 @@ def rare_places(template: list[str], frequency: dict[str, int]) -> list[tuple[st
     return [(w, template.index(w)) for w in ranked[:RARE_WORDS]]
 
 
-def _stands(words: str, start: Column, phrase: list[str], offset: int = 0) -> Column:
-    fits = F.lit(True)
-    for i, word in enumerate(phrase):
-        fits = fits & F.coalesce(F.get(F.col(words), start + F.lit(offset + i)) == word, F.lit(False))
-    return fits
+def _literal(phrase: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in phrase])
 
 
 def _holds(phrase: list[str], offset: int):
-    return lambda start: _stands("_words", start, phrase, offset)
+    """Whether the phrase stands word for word so far behind a start."""
+    return lambda start: F.slice("words", start + F.lit(offset + 1), F.lit(len(phrase))) == _literal(phrase)
 
 
 def _share(template: list[str]):
-    """Share of the template's words that stand in place."""
-    return lambda start: sum((F.when(_stands("_words", start, [w], i), 1).otherwise(0) for i, w in enumerate(template)), F.lit(0)) / F.lit(float(len(template)))
+    """Share of the template's words that stand in place behind a start."""
+    here = lambda start: F.slice("words", start + 1, F.lit(len(template)))
+    return lambda start: F.size(F.filter(F.zip_with(here(start), _literal(template), lambda a, b: a.eqNullSafe(b)), lambda x: x)) / F.lit(float(len(template)))
 
 
 def _minus(offset: int):
@@ -91,7 +120,7 @@ def _starts(rare: list[tuple[str, int]]) -> Column:
     """Starts on which the template's rare words agree, in order and each once."""
     found = None
     for word, offset in rare:
-        at = F.transform(F.filter("_hits", _is(word)), _minus(offset))
+        at = F.transform(F.filter("hits", _is(word)), _minus(offset))
         at = F.filter(at, lambda s: s >= 0)
         found = at if found is None else F.array_intersect(found, at)
     return found
@@ -100,28 +129,28 @@ def _starts(rare: list[tuple[str, int]]) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """The rows of docs with their counts, first_word, last_word, base_labels, labels and score."""
     split = [(t.split(), k.split(), label) for t, k, label in (TEMPLATES if templates is None else templates)]
-    own = [c for c in docs.columns if c not in RESULTS]
-    worded = docs.select(*own).withColumn("_words", words_of(F.col(text_col)))
-    frequency = document_frequency(worded.select("_words"), sorted({w for t, _, _ in split for w in t} | {w for p, _ in PHRASES for w in p.split()}))
+    held = Held(docs, text=text_col)
+    worded = held.rows.withColumn("words", words_of(F.col(held["text"])))
+    frequency = document_frequency(worded.select("words"), sorted({w for t, _, _ in split for w in t} | {w for p, _ in PHRASES for w in p.split()}))
     index = [rare_places(t, frequency) for t, _, _ in split]
     base_index = [rare_places(p.split(), frequency) for p, _ in PHRASES]
     indexed = sorted({w for rare in (*index, *base_index) for w, _ in rare})
-    placed = F.transform("_words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("w"), i.alias("i"))))
-    out = worded.withColumn("_hits", F.filter(placed, lambda h: h.isNotNull()))
-    places = {f"_place{k}": F.filter(_starts(base_index[k]), _holds(phrase.split(), 0)) for k, (phrase, _) in enumerate(PHRASES)}
+    placed = F.transform("words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("w"), i.alias("i"))))
+    out = worded.withColumn("hits", F.filter(placed, lambda h: h.isNotNull()))
+    places = {f"place{k}": F.filter(_starts(base_index[k]), _holds(phrase.split(), 0)) for k, (phrase, _) in enumerate(PHRASES)}
     shares = {}
     for k, (template, key, _) in enumerate(split):
         verified = F.filter(_starts(index[k]), _holds(key, _offset(template, key)))
-        shares[f"_share{k}"] = F.array_max(F.transform(verified, _share(template)))
+        shares[f"share{k}"] = F.array_max(F.transform(verified, _share(template)))
     out = out.withColumns(places | shares)
     every = F.concat(*places)
     sorted_labels = lambda found: F.array_join(F.sort_array(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))), ",")
-    base = [F.when(F.size(f"_place{k}") > 0, label) for k, (_, label) in enumerate(PHRASES)]
-    good = {k: F.coalesce(F.col(f"_share{k}") >= LEAST_SHARE, F.lit(False)) for k in range(len(split))}
-    score = F.greatest(*[F.when(good[k], F.col(f"_share{k}")).otherwise(0.0) for k in good])
-    return out.select(
-        *own,
-        F.size("_words").cast("long").alias("n_words"),
+    base = [F.when(F.size(f"place{k}") > 0, label) for k, (_, label) in enumerate(PHRASES)]
+    good = {k: F.coalesce(F.col(f"share{k}") >= LEAST_SHARE, F.lit(False)) for k in range(len(split))}
+    score = F.greatest(*[F.when(good[k], F.col(f"share{k}")).otherwise(0.0) for k in good], F.lit(0.0))
+    out = out.select(
+        *held.columns,
+        F.size("words").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
@@ -129,6 +158,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str
         sorted_labels([*base, *(F.when(good[k], split[k][2]) for k in good)]).alias("labels"),
         score.alias("score"),
     )
+    return held.given(out, *RESULTS)
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
