@@ -202,15 +202,6 @@ def test_language_model(spark):
     assert language_model.score(frame(spark, [])).count() == 0
 
 
-def test_model_is_normalised():
-    import numpy as np
-
-    prior = np.full(language_model.CLASSES, 1 / language_model.CLASSES)
-    last, before, normaliser = language_model.Model.start(prior).tables()
-    for one, two in ((0, 5), (language_model.START, language_model.START), (17, 1023)):
-        assert np.exp(last[one] + before[two] - normaliser[one, two]).sum() == pytest.approx(1, abs=1e-4)
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a<b) "</p>"</script></head><body class="no-sidebar"><header><h1>Site</h1></header>
 <div class="cookie-notice">We use</div><div id="wrap"><div class="sidebar">Links <a href=x>foo</a></div><div class="post-12"><h1>Ti&amp;tle</h1><p>Para <b>bo</b>ld&#33; text<br>
 more <!-- x > y -->done.<p>Second &lt;b&gt; para %s with quite some text.<ul><li>one<li>two</ul><form><input>Name</form><div class="ad-box">Buy</div><section id="comments"><p>Nice!</p></section></div></div><footer>(c)</footer></body></html>"""
