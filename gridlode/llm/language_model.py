@@ -41,10 +41,12 @@ FOLDS, HELD_OUT = 5, 1
 LEAST_COUNT, OWN_UNITS, ENDINGS, HEAD = 8, 49_152, 4096, 262_144
 #: Units of a class at most, and classes that would have like mass.
 CLASS_UNITS, CLASSES = 512, 192
-WIDTH, CONTEXT = 16, 3
-ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 2048, 1, 25, 0.15, 17
-#: Tokens scored at a time.
-CHUNK = 16_384
+WIDTH, CONTEXT = 12, 2
+ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 2048, 1, 64, 0.15, 17
+#: Tokens scored at a time, and those of them whose classes are.
+CHUNK, PART = 65_536, 2048
+#: Logits are cut off here, so their exponentials stay finite; a part of the model, normalised like all else.
+MOST_LOGIT = 80.0
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
 #: Parameter sets that one task averages.
@@ -113,16 +115,38 @@ class Vocabulary:
     tokens: int
     types: int
 
+    def __post_init__(self) -> None:
+        """Hashes are spread evenly, so their leading bits tell nearly where they stand in the order."""
+        self.bits = max(1, len(self.word).bit_length() + 1)
+        slots = np.searchsorted(self._slot(self.word), np.arange((1 << self.bits) + 1))
+        self.slot, self.longest = slots, int(np.diff(slots).max()) if len(self.word) else 0
+
+    def _slot(self, words: np.ndarray) -> np.ndarray:
+        return (words >> (64 - self.bits)) + (1 << (self.bits - 1))
+
     @property
     def units(self) -> int:
         return len(self.prior)
 
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word stands, and whether it does."""
+        at = self.slot[self._slot(words)]
+        known = np.zeros(len(words), bool)
+        last = len(self.word) - 1
+        for _ in range(self.longest):
+            at = np.minimum(at, last)
+            known = self.word[at] == words
+            if known.all():
+                break
+            at = at + ((self.word[at] < words) & ~known)
+        at = np.minimum(at, last)
+        return at, self.word[at] == words
+
     def look_up(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit and count of each word, given its ending, and whether its count is at hand."""
         if not len(self.word):
             return self.ending[ends], np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = np.minimum(np.searchsorted(self.word, words), len(self.word) - 1)
-        known = self.word[at] == words
+        at, known = self.places(words)
         unit = np.where(known, self.unit[at], -1)
         return np.where(unit < 0, self.ending[ends], unit), np.where(known, self.n[at], 0), known
 
@@ -189,14 +213,46 @@ class Model:
         made["target"][:, WIDTH] = np.log(of.prior / np.repeat(in_class, np.diff(of.first)))
         return cls(made)
 
-    def before(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of the preceding units, and their weighted sum."""
-        r = self.context[contexts, :WIDTH]
-        return r, np.einsum("bnw,nw->bw", r, self.distance[:, :WIDTH])
+    def contexts(self, unit: np.ndarray, place: np.ndarray, lo: int, hi: int) -> Contexts:
+        return Contexts(self, unit, place, lo, hi)
+
+
+class Contexts:
+    """Units before the tokens lo:hi. A token is the context of the next ones, so its vector is read, and moved, once."""
+
+    def __init__(self, model: Model, unit: np.ndarray, place: np.ndarray, lo: int, hi: int) -> None:
+        self.model, self.n = model, hi - lo
+        start = len(model.context) - 1
+        self.unit = np.concatenate([np.full(max(0, CONTEXT - lo), start), unit[max(0, lo - CONTEXT) : hi]])
+        self.has = [(place[lo:hi] >= k)[:, None] for k in range(1, CONTEXT + 1)]
+        self.rows = model.context[self.unit, :WIDTH]
+        self.none = model.context[start, :WIDTH]
+
+    def vectors(self, k: int) -> np.ndarray:
+        """Vectors of the units k places before."""
+        return np.where(self.has[k - 1], self.rows[CONTEXT - k : CONTEXT - k + self.n], self.none)
+
+    def sum(self) -> np.ndarray:
+        out = self.vectors(1) * self.model.distance[0, :WIDTH]
+        for k in range(2, CONTEXT + 1):
+            out += self.vectors(k) * self.model.distance[k - 1, :WIDTH]
+        return out
+
+    def gradients(self, of_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units and gradients of their vectors, and gradients of the distances."""
+        out = np.zeros((len(self.unit) + 1, WIDTH + 1), np.float32)
+        distances = np.zeros((CONTEXT, WIDTH + 1), np.float32)
+        for k in range(1, CONTEXT + 1):
+            weighed = of_sum * self.model.distance[k - 1, :WIDTH]
+            inside = weighed * self.has[k - 1]
+            out[CONTEXT - k : CONTEXT - k + self.n, :WIDTH] += inside
+            out[-1, :WIDTH] += weighed.sum(axis=0) - inside.sum(axis=0)
+            distances[k - 1, :WIDTH] = (of_sum * self.vectors(k)).sum(axis=0)
+        return np.append(self.unit, len(self.model.context) - 1), out, distances
 
 
 def read_tokens(column: pa.Array, of: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Row, word, unit, count, whether the count is at hand, and the units before (nearest first), of every token."""
+    """Row, word, unit, count, whether the count is at hand, and place in its text, of every token."""
     words = hash_words(column)
     rows, n = len(column), words.count
     ends = np.cumsum(n + 1) - 1
@@ -209,11 +265,7 @@ def read_tokens(column: pa.Array, of: Vocabulary) -> tuple[np.ndarray, ...]:
     unit, count, known = of.look_up(word, ending)
     unit[ends] = of.end
     place = np.arange(size) - np.repeat(ends - n, n + 1)
-    before = np.full((size, CONTEXT), of.units)
-    for k in range(1, CONTEXT + 1):
-        has = np.flatnonzero(place >= k)
-        before[has, k - 1] = unit[has - k]
-    return row, word, unit, count, known, before
+    return row, word, unit, count, known, place
 
 
 class Trainer:
@@ -231,19 +283,25 @@ class Trainer:
 
     def move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
         """One step of the rows at; gradient holds vectors and biases, rows that repeat are summed."""
-        order = np.argsort(at, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-        rows = at[order][cut]
+        order = np.argsort(at.astype(np.int32))
+        at = at[order]
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        rows = at[cut]
         total = np.add.reduceat(gradient[order], cut, axis=0)
         table = self.model.rows[name]
-        squares = table[rows, -1] + np.square(total).mean(axis=1)
-        table[rows, -1] = squares
-        table[rows, : WIDTH + 1] -= RATE / np.sqrt(squares)[:, None] * total
+        moved = table[rows]
+        moved[:, -1] += np.einsum("rw,rw->r", total, total) / (WIDTH + 1)
+        total *= (RATE / np.sqrt(moved[:, -1]))[:, None]
+        moved[:, :-1] -= total
+        table[rows] = moved
         self.met[name][rows] += np.diff(np.append(cut, len(at)))
 
-    def step(self, unit: np.ndarray, before: np.ndarray) -> None:
-        model, kind = self.model, self.kind_of[unit]
-        r, h = model.before(before)
+    def step(self, units: np.ndarray, place: np.ndarray, lo: int, hi: int) -> None:
+        """One step over the tokens lo:hi."""
+        model, unit = self.model, units[lo:hi]
+        kind = self.kind_of[unit]
+        contexts = model.contexts(units, place, lo, hi)
+        h = contexts.sum()
         h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias counts as one more column
         drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(CLASS_NOISE), side="right") - 1, self.of.units - 1)
         noise = self.kind_of[drawn]
@@ -263,14 +321,11 @@ class Trainer:
         other = 1.0 / (1.0 + np.exp(np.clip(self.log_within[drawn] - np.einsum("bw,bnw->bn", hs, qn), -30, 30)))
         gh[several] += sure[:, None] * q[:, :WIDTH] + np.einsum("bn,bnw->bw", other, qn[:, :, :WIDTH])
         targets = np.concatenate([u, drawn.ravel()]), np.concatenate([sure[:, None] * hs, (other[:, :, None] * hs[:, None, :]).reshape(-1, WIDTH + 1)])
-        weighed = gh[:, None, :] * model.distance[:, :WIDTH]
-        none = np.zeros((weighed.shape[0] * CONTEXT, 1), np.float32)
-        contexts = before.ravel(), np.concatenate([weighed.reshape(-1, WIDTH), none], axis=1)
-        distances = np.concatenate([np.einsum("bw,bnw->nw", gh, r), np.zeros((CONTEXT, 1), np.float32)], axis=1)
+        at, rows, distances = contexts.gradients(gh)
         self.move("kind", *kinds)
         if len(several):
             self.move("target", *targets)
-        self.move("context", *contexts)
+        self.move("context", at, rows)
         self.move("distance", np.arange(CONTEXT), distances / len(unit))
 
 
@@ -298,9 +353,9 @@ def _train(of: Vocabulary, tables, round_: int):
         seen = False
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, _, unit, _, _, before = read_tokens(column_of(piece, "text"), of)
+                _, _, unit, _, _, place = read_tokens(column_of(piece, "text"), of)
                 for lo in range(0, len(unit), BATCH):
-                    trainer.step(unit[lo : lo + BATCH], before[lo : lo + BATCH])
+                    trainer.step(unit, place, lo, min(len(unit), lo + BATCH))
                     seen = True
         if seen:
             yield _packed(trainer.model.rows, trainer.met)
@@ -338,24 +393,30 @@ def train(texts: DataFrame, of: Vocabulary) -> Model:
     return model
 
 
-def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the units' probabilities after their contexts."""
+def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the units' probabilities after those before them in their texts."""
     kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+    kinds, targets = np.ascontiguousarray(model.kind[:, : WIDTH + 1].T), model.target[:, : WIDTH + 1]
     out = np.empty(len(unit), np.float64)
+
+    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        logits = h @ table
+        np.minimum(logits, MOST_LOGIT, out=logits)
+        own = logits[np.arange(len(at)), at]
+        np.exp(logits, out=logits)
+        return own - np.log(logits.sum(axis=1))
+
     for lo in range(0, len(unit), CHUNK):
-        u, kind = unit[lo : lo + CHUNK], kind_of[unit[lo : lo + CHUNK]]
-        h = model.before(before[lo : lo + CHUNK])[1]
-        s = h @ model.kind[:, :WIDTH].T + model.kind[:, WIDTH]
-        most = s.max(axis=1)
-        got = s[np.arange(len(u)), kind] - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
+        hi = min(len(unit), lo + CHUNK)
+        u, kind = unit[lo:hi], kind_of[unit[lo:hi]]
+        h = np.concatenate([model.contexts(unit, place, lo, hi).sum(), np.ones((hi - lo, 1), np.float32)], axis=1)
+        got = np.concatenate([chosen(h[a : a + PART], kinds, kind[a : a + PART]) for a in range(0, hi - lo, PART)])
         order = np.argsort(kind, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
             a, b = of.first[kind[at[0]]], of.first[kind[at[0]] + 1]
             if b - a > 1:
-                s = h[at] @ model.target[a:b, :WIDTH].T + model.target[a:b, WIDTH]
-                most = s.max(axis=1)
-                got[at] += s[np.arange(len(at)), u[at] - a] - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
-        out[lo : lo + CHUNK] = got
+                got[at] += chosen(h[at], targets[a:b].T, u[at] - a)
+        out[lo:hi] = got
     return out
 
 
@@ -369,11 +430,11 @@ def _score(of: Vocabulary, tables):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = piece.num_rows
-                row, word, unit, count, known, before = read_tokens(column_of(piece, "text"), of)
+                row, word, unit, count, known, place = read_tokens(column_of(piece, "text"), of)
                 summed = lambda at, values: np.bincount(row[at], values[at], rows).astype(np.float64)  # noqa: E731, B023  of nothing, bincount gives integers
                 log_count = np.log10(count + 0.5)
                 shared = ~own[unit]
-                score = summed(np.ones(len(row), bool), log_chances(model, of, unit, before) / np.log(10.0)) + summed(shared & known, log_count) - summed(shared, log_mass[unit])
+                score = summed(np.ones(len(row), bool), log_chances(model, of, unit, place) / np.log(10.0)) + summed(shared & known, log_count) - summed(shared, log_mass[unit])
                 rare = np.flatnonzero(~known & (word != END))
                 rare = rare[np.lexsort((word[rare], row[rare]))]
                 first = np.flatnonzero(np.concatenate([[True], (word[rare][1:] != word[rare][:-1]) | (row[rare][1:] != row[rare][:-1])])) if len(rare) else np.zeros(0, np.int64)

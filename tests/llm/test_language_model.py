@@ -32,7 +32,7 @@ def test_score_by_its_definition(spark):
     texts = prose(1, 200)
     of, model = trained(spark, texts)
     w = lm.WIDTH
-    before = [3, of.units, of.units]
+    before = [3, *[of.units] * (lm.CONTEXT - 1)]
     h = [sum(float(model.context[u, i]) * float(model.distance[k, i]) for k, u in enumerate(before)) for i in range(w)]
     kinds = [exp(dot(h, row[:w]) + float(row[w])) for row in model.kind]
     want = []
@@ -40,8 +40,8 @@ def test_score_by_its_definition(spark):
         inside = [exp(dot(h, model.target[u, :w]) + float(model.target[u, w])) for u in range(a, b)]
         want += [log(kinds[k] / sum(kinds) * x / sum(inside)) for x in inside]
     assert sum(map(exp, want)) == pytest.approx(1, abs=1e-6)
-    units = np.arange(of.units)
-    got = lm.log_chances(model, of, units, np.tile(before, (of.units, 1)))
+    after_three = np.stack([np.full(of.units, 3), np.arange(of.units)], axis=1).ravel()  # texts of two tokens
+    got = lm.log_chances(model, of, after_three, np.tile([0, 1], of.units))[1::2]
     assert np.allclose(got, want, atol=1e-3)
     # a text's score is the sum over its tokens, rare words by their share of their ending's unit
     row, word, unit, count, known, ahead = lm.read_tokens(pa.array([texts[0] + " neverseen", ""]), of)
