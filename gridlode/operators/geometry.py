@@ -67,19 +67,26 @@ def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys
     """points with distance to the nearest segment, searched in rings of doubled radius until every point has one.
 
     With half, points are the centres of square cells of half that side, and the cell's own distance counts.
+    Points without a finite place, or with a null key, have no distance.
     """
     ends = [F.col(k) for k in ("x1", "y1", "x2", "y2")]
     distance = cell_segment_distance(F.col("x"), F.col("y"), half, *ends) if half else point_segment_distance(F.col("x"), F.col("y"), *ends)
     if segments.isEmpty():
         raise ValueError("there is no segment to measure to")
-    left, found = points, None
+    placed = F.lit(True)
+    for k in ("x", "y"):
+        placed = placed & (F.abs(F.col(k).cast("double")) < float("inf"))
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    measured = points.where(placed)
+    left, found = measured, None
     while True:
         near = near_segments(left, segments, radius + half).groupBy(*keys).agg(F.min(distance).alias("distance")).where(F.col("distance") <= radius)
         near = materialize(near)  # or else every ring would search all rings before it again
         found = near if found is None else found.unionByName(near)
-        left = points.join(found, keys, "left_anti")
+        left = measured.join(found, keys, "left_anti")
         if left.isEmpty():
-            return points.join(found, keys)
+            return points.join(found, keys, "left")
         radius *= 2
 
 
@@ -155,7 +162,7 @@ def density(points: DataFrame, shapes: DataFrame, radius: float, keys: list[str]
 def node_distance(points: DataFrame, a: DataFrame, b: DataFrame, size: float, keys: list[str], otherwise: float) -> DataFrame:
     """points with distance to the nearest crossing of two line layers; otherwise where nothing crosses."""
     nodes = materialize(crossings(a, b, size))
-    nodes = nodes.select(F.col("a_id").alias("geom_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    nodes = nodes.select(F.col("a_id").alias("geom_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
     return points.withColumn("distance", F.lit(float(otherwise))) if nodes.isEmpty() else nearest_distance(points, nodes, size, keys)
 
 
@@ -179,7 +186,10 @@ def build_grid(mask: DataFrame, size: float) -> DataFrame:
 
 
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Points (a_id, b_id, x, y) where a segment of a crosses one of b; parallel ones don't."""
+    """Where segments of a cross segments of b: a_id, b_id, x, y, x2, y2; lines that lie on each other share a stretch, all others a point.
+
+    Every crossing is kept in the one tile that holds its beginning, so geometries that meet several times have a row for each.
+    """
 
     def tiled(s: DataFrame, name: str) -> DataFrame:
         s = s.select(F.col("geom_id").alias(f"{name}_id"), *[F.col(k).cast("double").alias(f"{name}{k}") for k in ("x1", "y1", "x2", "y2")])
@@ -187,11 +197,25 @@ def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
         return s.withColumn("_ty", tiles_of(F.least(f"{name}y1", f"{name}y2"), F.greatest(f"{name}y1", f"{name}y2"), size))
 
     c = F.col
-    d = (c("ax2") - c("ax1")) * (c("by2") - c("by1")) - (c("ay2") - c("ay1")) * (c("bx2") - c("bx1"))
-    t = F.try_divide((c("bx1") - c("ax1")) * (c("by2") - c("by1")) - (c("by1") - c("ay1")) * (c("bx2") - c("bx1")), d)
-    u = F.try_divide((c("bx1") - c("ax1")) * (c("ay2") - c("ay1")) - (c("by1") - c("ay1")) * (c("ax2") - c("ax1")), d)
-    met = tiled(a, "a").join(tiled(b, "b"), ["_tx", "_ty"]).withColumns({"t": t, "u": u}).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
-    return met.select("a_id", "b_id", (c("ax1") + c("t") * (c("ax2") - c("ax1"))).alias("x"), (c("ay1") + c("t") * (c("ay2") - c("ay1"))).alias("y")).dropDuplicates(["a_id", "b_id"])
+    ux, uy, vx, vy, wx, wy = c("ax2") - c("ax1"), c("ay2") - c("ay1"), c("bx2") - c("bx1"), c("by2") - c("by1"), c("bx1") - c("ax1"), c("by1") - c("ay1")
+    d = ux * vy - uy * vx
+    t, u = F.try_divide(wx * vy - wy * vx, d), F.try_divide(wx * uy - wy * ux, d)
+    point = (d != 0) & t.between(0, 1) & u.between(0, 1)
+    # on one line: the stretch of a that b covers
+    length = ux * ux + uy * uy
+    from_, to = F.try_divide(wx * ux + wy * uy, length), F.try_divide((c("bx2") - c("ax1")) * ux + (c("by2") - c("ay1")) * uy, length)
+    lo, hi = F.greatest(F.lit(0.0), F.least(from_, to)), F.least(F.lit(1.0), F.greatest(from_, to))
+    stretch = (d == 0) & (wx * uy == wy * ux) & (length > 0) & (lo <= hi)
+    met = tiled(a, "a").join(tiled(b, "b"), ["_tx", "_ty"]).withColumns({"t": F.when(point, t).when(stretch, lo), "t2": F.when(point, t).when(stretch, hi)}).where("t IS NOT NULL")
+
+    def at(k: str, step: Column, share: str) -> Column:
+        """The place on a, kept within both segments' boxes, so that it lies in one of their tiles."""
+        ends = [F.least(f"{n}{k}1", f"{n}{k}2") for n in ("a", "b")], [F.greatest(f"{n}{k}1", f"{n}{k}2") for n in ("a", "b")]
+        return F.least(F.greatest(c(f"a{k}1") + c(share) * step, *ends[0]), *ends[1])
+
+    placed = met.withColumns({"x": at("x", ux, "t"), "y": at("y", uy, "t"), "x2": at("x", ux, "t2"), "y2": at("y", uy, "t2")})
+    own = (F.floor(c("x") / size) == c("_tx")) & (F.floor(c("y") / size) == c("_ty"))
+    return placed.where(own).select("a_id", "b_id", "x", "y", "x2", "y2").distinct()
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:

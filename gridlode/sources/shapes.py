@@ -8,10 +8,12 @@ is a segment of no length; null and empty geometries have no rows.
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,18 +41,21 @@ def parts_of(content: bytes) -> tuple[str | None, list[list[tuple[float, float]]
 
 
 class Attributes:
-    """Fields of the table beside the shapes."""
+    """Fields of the table beside the shapes, given by its path or its bytes."""
 
-    def __init__(self, path: str, encoding: str) -> None:
+    def __init__(self, path: str | bytes, encoding: str) -> None:
         self.path, self.encoding, self.fields = path, encoding, []
-        with open(path, "rb") as f:
+        with self.open() as f:
             head = f.read(32)
             self.first, self.size = struct.unpack_from("<2H", head, 8)
             while (field := f.read(32)) and field[0] != 0x0D:
                 self.fields.append((field[:11].split(b"\0")[0].decode(encoding), field[16]))
 
+    def open(self) -> io.BufferedIOBase:
+        return io.BytesIO(self.path) if isinstance(self.path, bytes) else open(self.path, "rb")
+
     def read(self, record: int, n: int) -> Iterator[dict[str, str]]:
-        with open(self.path, "rb") as f:
+        with self.open() as f:
             f.seek(self.first + record * self.size)
             for _ in range(n):
                 row, at, out = f.read(self.size), 1, {}
@@ -98,20 +103,69 @@ class Shapes(DataSource):
         return "shapes"
 
     def schema(self) -> str:
-        return "geom_id long, part int, seq int, x1 double, y1 double, x2 double, y2 double, kind string, attributes map<string,string>"
+        return SCHEMA
 
     def reader(self, schema: StructType) -> ShapeReader:
         return ShapeReader(self.options["path"], self.options.get("encoding", "utf-8"), int(self.options.get("records", "10000")))
 
 
+def read_shapes(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """The rows of the data source, from any file system that Spark can open; a file (of 2 GB at most, by its format) is one task."""
+    stem = path.rpartition(".")[0]
+    folder, _, name = stem.rpartition("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}.{{shp,dbf}}").load(folder or ".")
+    whole = files.select(F.regexp_extract("path", r"([^.]+)$", 1).alias("kind"), "content").groupBy(F.lit(1).alias("one")).pivot("kind", ["shp", "dbf"]).agg(F.first("content"))
+
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for shp, dbf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                table, at, rows = Attributes(dbf, encoding) if dbf else None, HEADER, []
+                record = 0
+                while at + 8 <= len(shp):
+                    size = 2 * struct.unpack_from(">i", shp, at + 4)[0]
+                    kind, parts = parts_of(shp[at + 8 : at + 8 + size])
+                    own = next(table.read(record, 1)) if table and parts else {}
+                    rows += [(record, p, s, *a, *b, kind, list(own.items())) for p, part in enumerate(parts) for s, (a, b) in enumerate(zip(part, part if kind == "point" else part[1:], strict=False))]
+                    at, record = at + 8 + size, record + 1
+                    if len(rows) >= BATCH:
+                        yield _batch(rows)
+                        rows = []
+                yield _batch(rows)
+
+    return whole.select("shp", "dbf").mapInArrow(read, SCHEMA)
+
+
+#: Rows of one Arrow batch, and their columns.
+BATCH = 1 << 15
+SCHEMA = "geom_id long, part int, seq int, x1 double, y1 double, x2 double, y2 double, kind string, attributes map<string,string>"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.map_(pa.string(), pa.string())]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
 def projection(spark: SparkSession, path: str) -> str | None:
     """The projection that a sidecar names in a line pj4=..., None without one."""
-    if not os.path.exists(path):
-        return None
-    found = spark.read.text(path).select(F.regexp_extract("value", r"pj4=(.+)", 1).alias("p")).where("p <> ''").first()
+    folder, _, name = path.rpartition("/")
+    found = spark.read.option("pathGlobFilter", name).text(folder or ".").select(F.regexp_extract("value", r"pj4=(.+)", 1).alias("p")).where("p <> ''").first()
     return found["p"].strip() if found else None
 
 
+def same_projection(named: dict[str, str | None]) -> list[str]:
+    """What to warn of: layers without a projection, and those that differ from the first one."""
+    known = {k: v.split() for k, v in named.items() if v}
+    first = next(iter(known.values()), None)
+    none = [f"{k}: no projection" for k, v in named.items() if not v]
+    return none + [f"{k}: differs from {next(iter(known))}" for k, v in known.items() if sorted(v) != sorted(first)]
+
+
+def point_layers(rows: DataFrame, base: list[str]) -> DataFrame:
+    """Points of all layers but the base ones; source_layer tells where each is from."""
+    return rows.where((F.col("kind") == "point") & ~F.col("layer").isin(base)).withColumnRenamed("layer", "source_layer")
+
+
 def layers(spark: SparkSession, paths: dict[str, str], encoding: str = "utf-8") -> DataFrame:
     """All layers in one table, each row with the layer's name."""
     spark.dataSource.register(Shapes)
