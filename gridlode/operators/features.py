@@ -12,6 +12,8 @@ from gridlode.plans.materialize import materialize
 
 #: Root and quantile of the proximity of each factor.
 PROXIMITY = {"facies": ("cbrt", 0.78), "paleo": ("cbrt", 0.76), "struct": ("sqrt", 0.72), "magm": ("sqrt", 0.42), "tect1": ("cbrt", 0.74), "tect2": ("cbrt", 0.74)}
+#: Factors with wide halos, and root and quantile of those.
+WIDE, HALO = ["facies", "struct"], ("sqrt", 0.95)
 #: Weight of each factor in the taxonomy distance.
 TAXONOMY = {"facies": 0.891, "paleo": 0.923, "struct": 0.849, "magm": 0.493, "tect1": 0.997, "tect2": 1.0}
 #: Weights of the local bonus.
@@ -61,6 +63,18 @@ def taxonomy_score(cells: DataFrame, distances: dict[str, str]) -> DataFrame:
     return out.withColumn("geo_score", robust_01(out, -F.col("taxonomy_distance"), 0.02, 0.98))
 
 
+def smoothed_geo_score(scored: DataFrame, rows: int, columns: int, passes: int = 2) -> DataFrame:
+    """scored cells (r, c, geo_score) with geo_score_sm, the smoothed score scaled by quantiles again."""
+    smoothed = materialize(smooth(scored.select("r", "c", "geo_score"), "geo_score", rows, columns, passes))
+    return scored.join(smoothed.select("r", "c", robust_01(smoothed, F.col("geo_score"), 0.02, 0.98).alias("geo_score_sm")), ["r", "c"])
+
+
+def halo_proximities(cells: DataFrame, distances: dict[str, str]) -> DataFrame:
+    """cells with halo_<factor>: a proximity that reaches far, of the factors that have wide halos."""
+    cells = materialize(cells)
+    return cells.withColumns({f"halo_{k}": proximity(cells, F.col(distances[k]), *HALO) for k in WIDE})
+
+
 def prospectivity(cells: DataFrame, score: str, rows: int, columns: int) -> DataFrame:
     """cells (r, c) with prospectivity, the twice smoothed score scaled by quantiles, and prognoz, its complement."""
     smoothed = materialize(smooth(cells, score, rows, columns, 2))

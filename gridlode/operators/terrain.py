@@ -11,6 +11,8 @@ from gridlode.plans.materialize import materialize
 
 #: Windows of the position and of the roughness, and the largest magnitude that is a measurement.
 POSITION, ROUGHNESS, LARGEST = 15, 9, 1e30
+#: Fixed value: pull of a metre of relief.
+PULL = 0.1119
 
 
 def shape(cells: DataFrame) -> tuple[int, int]:
@@ -31,6 +33,11 @@ def measured(value: Column, nodata: list[float] | None = None, scale: float = 1.
     return F.when(~v.isin(nodata), v) * scale if nodata else v * scale
 
 
+def bouguer(free_air: Column, relief: Column) -> Column:
+    """Free-air anomaly less the pull of the relief."""
+    return free_air - PULL * relief
+
+
 def filled(grid: DataFrame, value: str) -> DataFrame:
     """r, c and v: missing values replaced by the mean of all."""
     mean = grid.agg(F.avg(finite(F.col(value)))).first()[0]
@@ -55,8 +62,8 @@ def derivatives(grid: DataFrame, value: str, rows: int, columns: int) -> DataFra
 
 def gradient_magnitude(grid: DataFrame, value: str, rows: int, columns: int) -> DataFrame:
     """r, c and v: length of the gradient; missing where the grid is."""
-    steep = gradients(materialize(filled(grid, value)), "v", rows, columns).select("r", "c", F.hypot("gx", "gy").alias("v"))
-    return grid.join(steep, ["r", "c"]).select("r", "c", F.when(finite(F.col(value)).isNotNull(), F.col("v")).alias("v"))
+    steep = gradients(materialize(filled(grid, value)), "v", rows, columns).select("r", "c", F.hypot("gx", "gy").alias("steep"))
+    return grid.join(steep, ["r", "c"]).select("r", "c", F.when(finite(F.col(value)).isNotNull(), F.col("steep")).alias("v"))
 
 
 def to_common_grid(bands: DataFrame, size: float, dx: float, dy: float, cells: DataFrame, to: float, prefix: str = "", nodata: list[float] | None = None, scale: float = 1.0, angles: tuple[str, ...] = (), averages: tuple[str, ...] = (), include: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlode.functions import numeric
-from gridlode.operators import components, features, geometry, grid, metrics, models, sampling
+from gridlode.operators import components, features, geometry, grid, metrics, models, points, sampling, validation
 from gridlode.sources import tables
 
 SIDE = tables.SIDE
@@ -437,25 +436,35 @@ def bootstrap_interval(spark, d):
     return ends.select(_rounded("low").alias("low"), _rounded("high").alias("high")).crossJoin(F.broadcast(pairs.agg(_rounded(F.avg("v")).alias("mean"))))
 
 
+DRAWS = 20
+
+
+def _permutation_sql() -> str:
+    columns = [f"f{i}" for i in range(13)]
+    stats = ", ".join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}, avg({c} * presence) - avg({c}) * avg(presence) AS x{c}" for c in columns)
+    total = " + ".join(f"CASE WHEN abs(x{c}) < 1e-12 THEN 0 WHEN x{c} > 0 THEN 1 ELSE -1 END * ({c} - m{c}) / (s{c} + 1e-9)" for c in columns)
+    return f"""n AS (SELECT sum(presence) AS k FROM feats), dr AS (SELECT b AS seed, cell_id, row_number() OVER (PARTITION BY b ORDER BY {HASH.format("'9:' || b || ':' || cell_id")}, cell_id) AS nth FROM feats, range(0, {DRAWS + 1}) AS x(b)),
+ce AS (SELECT seed, cell_id, block % 5 AS fold, {", ".join(columns)}, CASE WHEN seed = 0 THEN presence ELSE (nth <= (SELECT k FROM n))::INT END AS presence FROM feats JOIN dr USING (cell_id)),
+st AS (SELECT seed, k AS fold, {stats} FROM ce, range(5) AS x(k) WHERE fold <> k GROUP BY seed, k),
+sc AS (SELECT presence, seed, fold, ({total}) / 13 AS score FROM ce JOIN st USING (seed, fold)),
+th AS (SELECT seed, fold, quantile_cont(score, 0.9) AS t FROM sc GROUP BY seed, fold),
+lf AS (SELECT seed, avg(lift) AS lift FROM (SELECT seed, fold, count(*) FILTER (score >= t) / count(*)::DOUBLE / 0.1 AS lift FROM sc JOIN th USING (seed, fold) WHERE presence = 1 GROUP BY seed, fold) GROUP BY seed)"""
+
+
 @query(
-    f"""WITH {FEATS}, {_criterial_sql('block % 5 <> 0')}, t AS (SELECT quantile_cont(score, 0.9) AS t FROM scored), k AS (SELECT sum(presence) AS k FROM feats),
-d AS (SELECT b, {HASH.format("'9:' || b || ':' || cell_id")} AS h, cell_id, score FROM range(50) AS x(b), scored),
-g AS (SELECT b, score, row_number() OVER (PARTITION BY b ORDER BY h, cell_id) AS n FROM d)
-SELECT b AS permutation, round(avg((score >= (SELECT t FROM t))::INT) / 0.1, 6) AS lift FROM g WHERE n <= (SELECT k FROM k) GROUP BY b"""
+    f"""WITH {FEATS}, {_permutation_sql()}, o AS (SELECT lift FROM lf WHERE seed = 0)
+SELECT round(any_value(o.lift), 6) AS observed, round(avg(lf.lift), 6) AS null_mean, round(quantile_cont(lf.lift, 0.95), 6) AS null_95, round(avg((lf.lift >= o.lift - 1e-12)::INT), 6) AS p_value FROM lf, o WHERE seed > 0"""
 )
 def permutation_null(spark, d):
-    scored = _scored(spark, d).select("cell_id", "score", "presence")
-    positives = scored.agg(F.sum("presence")).first()[0]
-    limit = numeric.quantiles(scored, F.col("score"), [0.9])[0]
-    each = scored.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("h", sampling.random_index(9, 1 << 32, F.col("permutation"), F.col("cell_id")))
-    drawn = each.withColumn("n", F.row_number().over(Window.partitionBy("permutation").orderBy("h", "cell_id"))).where(F.col("n") <= positives)
-    return drawn.groupBy(F.col("permutation").cast("long").alias("permutation")).agg(_rounded(F.avg((F.col("score") >= limit).cast("int")) / 0.1).alias("lift"))
+    """Lift over held-out folds against that of random presence, learnt again for each draw and fold."""
+    g = tables.samples(spark, d).withColumn("fold", (F.col("block") % 5).cast("int"))
+    out = validation.permutation_test(g, "cell_id", [f"f{i}" for i in range(13)], 5, 0.1, DRAWS, 9)
+    return out.select(*[_rounded(c).alias(c) for c in out.columns])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE lower(concat_ws(';', coalesce(p_name, ''), coalesce(p_type, ''))) LIKE '%ring%'")
 def commodity_filter(spark, d):
-    text = F.lower(F.concat_ws(";", F.coalesce("p_name", F.lit("")), F.coalesce("p_type", F.lit(""))))
-    return tables.table(spark, d, "part").where(text.contains("ring")).select("p_partkey", "p_name")
+    return tables.table(spark, d, "part").where(points.mentions(["p_name", "p_type"], "ring")).select("p_partkey", "p_name")
 
 
 @query(f"WITH {CELLS}, {RAST} SELECT 'v' AS layer, min(v) AS lo, max(v) AS hi, round(avg((v IS NULL)::INT), 6) AS missing FROM rast")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlode.functions import numeric
-from gridlode.operators import features, geometry, grid
+from gridlode.operators import features, geometry, grid, points, terrain
 from gridlode.queries import _CENTRES, _INTERACTIONS, BOXES, CELLS, DISTANCES, OCC, RAST, SEGS, SIDE, _centres, _robust_sql, _rounded, _scaled, _smooth_sql, query
 from gridlode.sources import tables
 
@@ -54,7 +54,7 @@ def build_grid(spark, d):
 @query(f"WITH {CELLS} SELECT r, c, 100.0::DOUBLE + (c + 0.5::DOUBLE) * 500 AS x, 20100.0::DOUBLE - (r + 0.5::DOUBLE) * 500 AS y FROM cells")
 def cell_centres(spark, d):
     """Centres of a grid whose first row is its north."""
-    return tables.cells(spark, d).select("r", "c", (100.0 + (F.col("c") + 0.5) * 500).alias("x"), (100.0 + SIDE * 500 - (F.col("r") + 0.5) * 500).alias("y"))
+    return terrain.cell_centres(tables.cells(spark, d), 100.0, 100.0, 500.0, 500.0, SIDE).select("r", "c", "x", "y")
 
 
 @query(f"WITH {CELLS}, {SEGS}, {_CENTRES} SELECT DISTINCT r, c FROM pts, segs WHERE {_touch_sql(250.0)}")
@@ -120,9 +120,9 @@ e AS (SELECT id, floor(py) + a AS r, floor(px) + b AS c, (CASE a WHEN 1 THEN py
 SELECT pts.id, round(degrees(atan2(sum(sin(v) * w) / sum(w), sum(cos(v) * w) / sum(w))), 3) AS angle FROM pts LEFT JOIN (SELECT id, v, w FROM e JOIN g USING (r, c) WHERE w > 0) USING (id) GROUP BY pts.id"""
 )
 def resample_angle(spark, d):
-    points = tables.occurrences(spark, d).select("id", ((F.col("y") % 19000) / 500.0).alias("py"), ((F.col("x") % 19000) / 500.0).alias("px"))
+    placed = tables.occurrences(spark, d).select("id", ((F.col("y") % 19000) / 500.0).alias("py"), ((F.col("x") % 19000) / 500.0).alias("px"))
     angles = tables.raster(spark, d).select("r", "c", (F.col("v") % 360 - 180).alias("angle"))
-    return grid.bilinear_angle(angles, "angle", points, F.col("py"), F.col("px")).select("id", _rounded("angle", 3).alias("angle"))
+    return grid.bilinear_angle(angles, "angle", placed, F.col("py"), F.col("px")).select("id", _rounded("angle", 3).alias("angle"))
 
 
 @query(
@@ -137,20 +137,18 @@ def resample_area(spark, d):
 @query(f"WITH {CELLS}, {RAST}, {OCC} SELECT id, v FROM (SELECT id, trunc((y - 600) / 500.0)::BIGINT AS r, trunc((x - 600) / 500.0)::BIGINT AS c FROM occ) LEFT JOIN rast USING (r, c)")
 def sample_truncated(spark, d):
     """Raster values at points whose cell is truncated towards zero, so that places just before the edge fall into the first cell."""
-    at = lambda k: ((F.col(k) - 600) / 500).cast("long")
-    points = tables.occurrences(spark, d).select("id", at("y").alias("r"), at("x").alias("c"))
-    return points.join(tables.raster(spark, d), ["r", "c"], "left").select("id", "v")
+    return points.sample(tables.occurrences(spark, d), tables.raster(spark, d), ["v"], 600, 600, 500, truncate=True).select("id", "v")
 
 
 @query(f"WITH {CELLS}, {RAST} SELECT r, c, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM rast)), 6) AS v FROM rast")
 def median_fill(spark, d):
-    g = tables.raster(spark, d)
-    return g.select("r", "c", _rounded(F.coalesce("v", F.lit(numeric.quantiles(g, F.col("v"), [0.5])[0]))).alias("v"))
+    filled, _ = terrain.with_samples(tables.cells(spark, d).select("r", "c"), tables.raster(spark, d), ["v"])
+    return filled.select("r", "c", _rounded("v").alias("v"))
 
 
 @query(f"WITH {CELLS} SELECT r, c, round(nullif(mq, 50) * 0.2, 6) AS v FROM cells")
 def nodata_and_scale(spark, d):
-    return tables.cells(spark, d).select("r", "c", _rounded(F.nullif(F.col("mq"), F.lit(50.0)) * 0.2).alias("v"))
+    return tables.cells(spark, d).select("r", "c", _rounded(terrain.measured(F.col("mq"), [50.0], 0.2)).alias("v"))
 
 
 @query(
@@ -159,22 +157,19 @@ FROM (SELECT id, floor(y / 200.0 - 50)::BIGINT AS lat, floor(x / 100.0 - 100)::B
 )
 def tile_names(spark, d):
     """Name of the one-degree tile of each point."""
-    o = tables.occurrences(spark, d).select("id", F.floor(F.col("y") / 200 - 50).alias("lat"), F.floor(F.col("x") / 100 - 100).alias("lon"))
-    part = lambda k, minus, plus, width: F.concat(F.when(F.col(k) < 0, minus).otherwise(plus), F.lpad(F.abs(k).cast("string"), width, "0"))
-    return o.select("id", F.concat(part("lat", "S", "N", 2), part("lon", "W", "E", 3)).alias("tile"))
+    return tables.occurrences(spark, d).select("id", points.tile_name(F.col("x") / 100 - 100, F.col("y") / 200 - 50).alias("tile"))
 
 
 @query(f"WITH {OCC} SELECT id, (floor((x / 100.0 - 100) / 5) * 1000 + floor((y / 200.0 - 50) / 5))::BIGINT AS block FROM occ")
 def degree_blocks(spark, d):
-    o = tables.occurrences(spark, d)
-    return o.select("id", (F.floor((F.col("x") / 100 - 100) / 5) * 1000 + F.floor((F.col("y") / 200 - 50) / 5)).cast("long").alias("block"))
+    return tables.occurrences(spark, d).select("id", points.degree_block(F.col("x") / 100 - 100, F.col("y") / 200 - 50, 5).alias("block"))
 
 
 @query(f"WITH {CELLS}, {OCC} SELECT id, coalesce(p >= 38000, false) AS hit FROM (SELECT id, y // 500 AS r, x // 500 AS c FROM occ) LEFT JOIN cells USING (r, c)")
 def points_with_score(spark, d):
     """Points with whether their cell's score is high; points outside of the grid are no hits."""
-    points = tables.occurrences(spark, d).select("id", F.floor(F.col("y") / 500).alias("r"), F.floor(F.col("x") / 500).alias("c"))
-    return points.join(tables.cells(spark, d), ["r", "c"], "left").select("id", F.coalesce(F.col("p") >= 38000, F.lit(False)).alias("hit"))
+    placed = tables.occurrences(spark, d).select("id", F.floor(F.col("y") / 500).alias("r"), F.floor(F.col("x") / 500).alias("c"))
+    return placed.join(tables.cells(spark, d), ["r", "c"], "left").select("id", F.coalesce(F.col("p") >= 38000, F.lit(False)).alias("hit"))
 
 
 @query(f"WITH {OCC}, u AS (SELECT 'open' AS layer, x, y FROM occ WHERE status = 'O' UNION ALL SELECT 'filled', x, y FROM occ WHERE status = 'F') SELECT layer, count(*) AS points, sum(x) AS x, sum(y) AS y FROM u GROUP BY layer")
