@@ -19,8 +19,8 @@ def finite(c: Column) -> Column:
 def quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float | None]:
     """Exact linear-interpolated quantiles; missing values are left out.
 
-    Beyond EXACT_VALUES the values are not held in one buffer: approximate quantiles bracket
-    each rank, the values below are counted, and only the bracket's distinct values are ranked.
+    Beyond EXACT_VALUES the values are not held in one buffer: approximate quantiles bracket each
+    rank, and the bracket is narrowed by aggregates until it holds so few. Only scalars come to the driver.
     """
     values = df.select(finite(column).alias("v")).where("v IS NOT NULL")
     edges = [min(1.0, max(0.0, s + d)) for s in shares for d in (-BRACKET, BRACKET)]
@@ -30,23 +30,33 @@ def quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float
         return [None] * len(shares)
     if n <= EXACT_VALUES:
         return list(values.agg(F.percentile("v", [float(s) for s in shares]).alias("q")).first()["q"])
-    out = []
-    for k, share in enumerate(shares):
-        rank = share * (n - 1)
-        low, high = int(rank), min(int(rank) + 1, n - 1)
-        lo, hi = first["at"][2 * k], first["at"][2 * k + 1]
-        below = values.where(F.col("v") < lo).count()
-        counted = values.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("c")).orderBy("v")
-        found, seen = {}, below
-        for row in counted.toLocalIterator():
-            for r in (low, high):
-                if r not in found and seen <= r < seen + row["c"]:
-                    found[r] = row["v"]
-            seen += row["c"]
-            if len(found) == len({low, high}):
-                break
-        out.append(found[low] + (found[high] - found[low]) * (rank - low))
-    return out
+    return [_at_rank(values, share * (n - 1), n, *first["at"][2 * k : 2 * k + 2]) for k, share in enumerate(shares)]
+
+
+def _at_rank(values: DataFrame, rank: float, n: int, lo: float, hi: float) -> float:
+    """The value at a rank between 0 and n - 1, between neighbours by share, given values around it."""
+    low, high, v = int(rank), min(int(rank) + 1, n - 1), F.col("v")
+    while True:
+        inner = v.between(lo, hi)
+        got = values.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in (("below", v < lo), ("inside", inner), ("at_lo", v == lo), ("at_hi", v == hi))], F.min(v).alias("least"), F.max(v).alias("most")).first()
+        below, inside = got["below"], got["inside"]
+        if below > low or high >= below + inside:  # the bracket missed the rank
+            lo, hi = (got["least"] if below > low else lo), (got["most"] if high >= below + inside else hi)
+            continue
+        ends = [lo if k < below + got["at_lo"] else hi if k >= below + inside - got["at_hi"] else None for k in (low, high)]
+        if None not in ends:
+            return ends[0] + (ends[1] - ends[0]) * (rank - low)
+        held = values.where(inner)
+        if inside <= EXACT_VALUES:
+            return held.agg(F.percentile(v, float((rank - below) / (inside - 1)))).first()[0]
+        shares = [max(0.0, (low - below) / inside - BRACKET), min(1.0, (high - below) / inside + BRACKET)]
+        new = tuple(held.agg(F.percentile_approx(v, shares, 10_000)).first()[0])
+        if new == (lo, hi):  # many equal values at both ends
+            between = held.where((v > lo) & (v < hi)).agg(F.min(v), F.max(v)).first()
+            new = (lo if ends[0] is not None else between[0], hi if ends[1] is not None else between[1])
+            if new == (lo, hi):
+                return held.agg(F.percentile(v, float((rank - below) / (inside - 1)))).first()[0]
+        lo, hi = new
 
 
 def clip01(c: Column) -> Column:

@@ -70,13 +70,8 @@ def criterial(train: DataFrame, columns: list[str], label: str = "presence") ->
 
 
 def percentile_rank(scored: DataFrame, score: str, key: str) -> DataFrame:
-    """scored with rank01, from 0 to 1; equal scores are ranked by key. Distributed: sorted ranges, then their offsets."""
-    n = max(scored.count() - 1, 1)
-    ranged = scored.repartitionByRange(F.col(score), F.col(key)).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(score, key)) - 1
-    return ranged.join(F.broadcast(before), "_part").withColumn("rank01", (at + F.col("_before")) / n).drop("_part", "_before")
+    """scored with rank01, from 0 to 1; equal scores are ranked by key. All rows are one group of rank_within."""
+    return rank_within(scored.withColumn("_all", F.lit(0)), ["_all"], score, key).drop("_all")
 
 
 def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -90,7 +85,7 @@ def grouped_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list
     group = Window.partitionBy(*keys)
     before = sizes.withColumns({"_n": F.sum("_k").over(group), "_before": F.coalesce(F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1
-    ranked = ranged.withColumn("_at", at).join(F.broadcast(before.drop("_k")), [*keys, "_part"]).withColumn("_at", F.col("_at") + F.col("_before"))
+    ranked = ranged.withColumn("_at", at).join(before.drop("_k"), [*keys, "_part"]).withColumn("_at", F.col("_at") + F.col("_before"))
     each = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     rank = F.col("share") * (F.col("_n") - 1)
     ends = each.where((F.col("_at") == F.floor(rank)) | (F.col("_at") == F.ceil(rank)))
@@ -109,8 +104,8 @@ def criterial_by_fold(cells: DataFrame, columns: list[str], n: int, label: str =
         covariance = F.col(f"_x{i}") - F.col(f"_m{i}") * F.col("_y")
         sign = F.when(F.abs(covariance) < 1e-12, 0.0).otherwise(F.signum(covariance))
         total = total + sign * (F.col(c) - F.col(f"_m{i}")) / (F.col(f"_s{i}") + 1e-9)
-    # learnt has one row per seed and fold
-    return cells.join(F.broadcast(learnt), [seed, fold]).select(*cells.columns, (total / len(columns)).alias("score"))
+    # learnt has one row per seed and fold; Spark broadcasts it if it is small
+    return cells.join(learnt, [seed, fold]).select(*cells.columns, (total / len(columns)).alias("score"))
 
 
 def top_area_by_group(scored: DataFrame, keys: list[str], areas: list[float], score: str = "score", label: str = "presence") -> DataFrame:
@@ -119,7 +114,7 @@ def top_area_by_group(scored: DataFrame, keys: list[str], areas: list[float], sc
     table = F.create_map(*[F.lit(v) for a in areas for v in (1.0 - a, a)])
     limits = limits.withColumn("area", table[F.col("share")])  # a row per group and area
     hit = F.sum(F.when(F.col(score) >= F.col("limit"), 1).otherwise(0))
-    found = scored.where(F.col(label) == 1).join(F.broadcast(limits), keys).groupBy(*keys, "area").agg((hit / F.count(F.lit(1))).alias("coverage"))
+    found = scored.where(F.col(label) == 1).join(limits, keys).groupBy(*keys, "area").agg((hit / F.count(F.lit(1))).alias("coverage"))
     return found.withColumn("lift", F.col("coverage") / F.col("area"))
 
 
@@ -130,5 +125,5 @@ def rank_within(scored: DataFrame, keys: list[str], score: str, key: str) -> Dat
     sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_k"))
     before = sizes.select(*keys, "_part", F.sum("_k").over(group).alias("_n"), F.coalesce(F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(score, key)) - 1
-    ranked = ranged.withColumn("_at", at).join(F.broadcast(before), [*keys, "_part"])
+    ranked = ranged.withColumn("_at", at).join(before, [*keys, "_part"])
     return ranked.select(*scored.columns, ((F.col("_at") + F.col("_before")) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("rank01"))

@@ -33,7 +33,7 @@ def bootstrap_means(pairs: DataFrame, key: str, value: str, draws: int, seed: in
     n = placed.count()
     drawn = pairs.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = drawn.withColumn("at", random_index(seed, n, F.col("draw"), F.col("j")))
-    return drawn.join(F.broadcast(placed), "at").groupBy("draw").agg(F.avg("v").alias("mean"))
+    return drawn.join(placed, "at").groupBy("draw").agg(F.avg("v").alias("mean"))
 
 
 def seeded_folds(blocks: DataFrame, n: int, seeds: list[int]) -> DataFrame:

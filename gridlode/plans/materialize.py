@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where it is unset (tests, laptops) take a temporary folder."""
+    """Use the session's spark.checkpoint.dir; where it is unset, a temporary folder on a local master, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (context.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
