@@ -459,6 +459,8 @@ def _score(of: Vocabulary, tables):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    # a task has one core; waiting threads of the matrix products would only take others'
+    docs.sparkSession.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.where(fold(F.col("id")) != HELD_OUT).select("text")
     counts = texts.mapInArrow(_count, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
