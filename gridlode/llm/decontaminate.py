@@ -26,16 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlode.llm.columns import Held
 from gridlode.llm.skew import join_hot
 from gridlode.llm.storage import written
-from gridlode.llm.textcols import ALNUM, Words, as_long, column_of, hash_words, pieces, runs
+from gridlode.llm.textcols import ALNUM, Words, as_long, byte_column, column_of, hash_words, pieces, runs
 
 WINDOW, GRAM = 10, 5
 SLIDE = WINDOW - GRAM + 1
-#: A word before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bits of the filter (16 MiB), and of each of its blocks, which Spark's bitmap functions fix.
 FILTER_BITS, BLOCK_BITS = 1 << 27, 32_768
 #: Bytes of results that are broadcast to the documents; more are joined by a shuffle.
@@ -170,18 +169,34 @@ def found_in(rows: DataFrame, text_col: str, benchmark: DataFrame, item_col: str
     return written(each.withColumn("spans", _merged(F.col("spans"))), "found")
 
 
+def _counted(columns: list[str], text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                buf, offsets = byte_column(column_of(piece, text_col))
+                inside = ALNUM[buf]
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1]
+                first = offsets[:-1][offsets[:-1] < len(buf)]
+                begins[first] = inside[first]
+                before = np.concatenate([[0], np.cumsum(begins)])
+                yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in columns), pa.array(np.diff(before[offsets]).astype(np.int64))], names=[*columns, "n_words"])
+
+    return run
+
+
 def overlap(held: Held, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The held rows with n_words, spans and items."""
     found = found_in(held.rows, held["text"], benchmark, item_col, item_text_col)
     size = found.agg(F.sum(32 + 16 * F.size("spans") + F.length(F.array_join("items", "  ")))).first()[0] or 0
-    keyed = held.rows.select("*", *keys_of(F.col(held["text"])))
+    counted = held.rows.mapInArrow(_counted(held.columns, held["text"]), held.fields(T.StructField("n_words", T.LongType())))
+    keyed = counted.select("*", *keys_of(F.col(held["text"])))
     if size <= MAX_BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(found), ["k1", "k2"], "left")
     else:
         joined = join_hot(keyed, found, ["k1", "k2"], F.xxhash64(*[c for c in held.columns if c != held["text"]], F.lit(1)), "left")
-    words = F.coalesce(F.regexp_count(F.col(held["text"]), F.lit(WORD)), F.lit(0)).cast("long")
     none = [F.coalesce(c, F.array()).alias(c) for c in ("spans", "items")]
-    return joined.select(*held.columns, words.alias("n_words"), *none)
+    return joined.select(*held.columns, "n_words", *none)
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
