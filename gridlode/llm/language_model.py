@@ -225,17 +225,14 @@ class Contexts:
         start = len(model.context) - 1
         self.unit = np.concatenate([np.full(max(0, CONTEXT - lo), start), unit[max(0, lo - CONTEXT) : hi]])
         self.has = [(place[lo:hi] >= k)[:, None] for k in range(1, CONTEXT + 1)]
-        self.rows = model.context[self.unit, :WIDTH]
-        self.none = model.context[start, :WIDTH]
-
-    def vectors(self, k: int) -> np.ndarray:
-        """Vectors of the units k places before."""
-        return np.where(self.has[k - 1], self.rows[CONTEXT - k : CONTEXT - k + self.n], self.none)
+        rows, none = model.context.take(self.unit, axis=0)[:, :WIDTH], model.context[start, :WIDTH]
+        #: Vectors of the units k places before, from k = 1 on.
+        self.vectors = [np.where(self.has[k - 1], rows[CONTEXT - k : CONTEXT - k + self.n], none) for k in range(1, CONTEXT + 1)]
 
     def sum(self) -> np.ndarray:
-        out = self.vectors(1) * self.model.distance[0, :WIDTH]
+        out = self.vectors[0] * self.model.distance[0, :WIDTH]
         for k in range(2, CONTEXT + 1):
-            out += self.vectors(k) * self.model.distance[k - 1, :WIDTH]
+            out += self.vectors[k - 1] * self.model.distance[k - 1, :WIDTH]
         return out
 
     def gradients(self, of_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +244,7 @@ class Contexts:
             inside = weighed * self.has[k - 1]
             out[CONTEXT - k : CONTEXT - k + self.n, :WIDTH] += inside
             out[-1, :WIDTH] += weighed.sum(axis=0) - inside.sum(axis=0)
-            distances[k - 1, :WIDTH] = (of_sum * self.vectors(k)).sum(axis=0)
+            distances[k - 1, :WIDTH] = np.einsum("bw,bw->w", of_sum, self.vectors[k - 1])
         return np.append(self.unit, len(self.model.context) - 1), out, distances
 
 
@@ -287,9 +284,9 @@ class Trainer:
         at = at[order]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         rows = at[cut]
-        total = np.add.reduceat(gradient[order], cut, axis=0)
+        total = np.add.reduceat(gradient.take(order, axis=0), cut, axis=0)
         table = self.model.rows[name]
-        moved = table[rows]
+        moved = table.take(rows, axis=0)
         moved[:, -1] += np.einsum("rw,rw->r", total, total) / (WIDTH + 1)
         total *= (RATE / np.sqrt(moved[:, -1]))[:, None]
         moved[:, :-1] -= total
@@ -305,19 +302,19 @@ class Trainer:
         h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias counts as one more column
         drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(CLASS_NOISE), side="right") - 1, self.of.units - 1)
         noise = self.kind_of[drawn]
-        q, qn = model.kind[kind, : WIDTH + 1], model.kind[noise, : WIDTH + 1]
-        sure = -1.0 / (1.0 + np.exp(np.clip((h1 * q).sum(axis=1) - self.log_class[kind], -30, 30)))
+        q, qn = model.kind.take(kind, axis=0)[:, : WIDTH + 1], model.kind.take(noise, axis=0)[:, : WIDTH + 1]
+        sure = -1.0 / (1.0 + np.exp(np.clip(np.einsum("bw,bw->b", h1, q) - self.log_class[kind], -30, 30)))
         other = 1.0 / (1.0 + np.exp(np.clip(self.log_class[noise] - h1 @ qn.T, -30, 30)))
         gh = sure[:, None] * q[:, :WIDTH] + other @ qn[:, :WIDTH]
         kinds = np.concatenate([kind, noise]), np.concatenate([sure[:, None] * h1, other.T @ h1])
         several = np.flatnonzero(~self.alone[kind])
         u, k, hs = unit[several], kind[several], h1[several]
-        low = self.cumulated[self.of.first[k]][:, None]
-        high = self.cumulated[self.of.first[k + 1]][:, None]
+        first, last = self.of.first[k][:, None], self.of.first[k + 1][:, None]
+        low, high = self.cumulated[first], self.cumulated[last]
         drawn = np.searchsorted(self.cumulated, low + (high - low) * self.random.random((len(k), NOISE)), side="right") - 1
-        drawn = np.clip(drawn, self.of.first[k][:, None], self.of.first[k + 1][:, None] - 1)
-        q, qn = model.target[u, : WIDTH + 1], model.target[drawn, : WIDTH + 1]
-        sure = -1.0 / (1.0 + np.exp(np.clip((hs * q).sum(axis=1) - self.log_within[u], -30, 30)))
+        drawn = np.clip(drawn, first, last - 1)
+        q, qn = model.target.take(u, axis=0)[:, : WIDTH + 1], model.target.take(drawn, axis=0)[:, :, : WIDTH + 1]
+        sure = -1.0 / (1.0 + np.exp(np.clip(np.einsum("bw,bw->b", hs, q) - self.log_within[u], -30, 30)))
         other = 1.0 / (1.0 + np.exp(np.clip(self.log_within[drawn] - np.einsum("bw,bnw->bn", hs, qn), -30, 30)))
         gh[several] += sure[:, None] * q[:, :WIDTH] + np.einsum("bn,bnw->bw", other, qn[:, :, :WIDTH])
         targets = np.concatenate([u, drawn.ravel()]), np.concatenate([sure[:, None] * hs, (other[:, :, None] * hs[:, None, :]).reshape(-1, WIDTH + 1)])
@@ -398,24 +395,26 @@ def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarra
     kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
     kinds, targets = np.ascontiguousarray(model.kind[:, : WIDTH + 1].T), model.target[:, : WIDTH + 1]
     out = np.empty(len(unit), np.float64)
+    longest_kind, longest_target = (np.sqrt(np.einsum("bw,bw->b", t, t).max()) for t in (kinds.T, targets))
 
-    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray, longest: np.float32) -> np.ndarray:
         logits = h @ table
-        np.minimum(logits, MOST_LOGIT, out=logits)
+        if longest * np.sqrt(np.einsum("bw,bw->b", h, h).max()) > MOST_LOGIT:  # else no product can reach it
+            np.minimum(logits, MOST_LOGIT, out=logits)
         own = logits[np.arange(len(at)), at]
         np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1))
+        return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
     for lo in range(0, len(unit), CHUNK):
         hi = min(len(unit), lo + CHUNK)
         u, kind = unit[lo:hi], kind_of[unit[lo:hi]]
         h = np.concatenate([model.contexts(unit, place, lo, hi).sum(), np.ones((hi - lo, 1), np.float32)], axis=1)
-        got = np.concatenate([chosen(h[a : a + PART], kinds, kind[a : a + PART]) for a in range(0, hi - lo, PART)])
+        got = np.concatenate([chosen(h[a : a + PART], kinds, kind[a : a + PART], longest_kind) for a in range(0, hi - lo, PART)])
         order = np.argsort(kind, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
             a, b = of.first[kind[at[0]]], of.first[kind[at[0]] + 1]
             if b - a > 1:
-                got[at] += chosen(h[at], targets[a:b].T, u[at] - a)
+                got[at] += chosen(h[at], targets[a:b].T, u[at] - a, longest_target)
         out[lo:hi] = got
     return out
 
