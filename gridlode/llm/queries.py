@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and the DuckDB SQL of those that SQL can express."""
 
-from gridlode.llm import decontaminate, html_extract, language_model, licenses, line_dedup, mixing, near_duplicates, quality_rules, toxicity, url_filters
+from gridlode.llm import collocations, decontaminate, fill_in_middle, html_extract, language_model, licenses, line_dedup, mixing, near_duplicates, quality_rules, sentence_pieces, toxicity, url_filters
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE = {
     "op2_license_scan": licenses.OP2_SQL,
@@ -20,4 +23,6 @@ ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridlode.llm import decontaminate, html_extract, licenses, line_dedup, mixing, near_duplicates, quality_rules, skew, toxicity, url_filters
+from gridlode.llm import decontaminate, fill_in_middle, html_extract, licenses, line_dedup, mixing, near_duplicates, quality_rules, sentence_pieces, skew, toxicity, url_filters
 from tests.llm.test_edge_cases import LABELS, ROWS, SCHEMA, benchmark, labels
 from tests.llm.test_operators import PAGE, corpus
 
@@ -15,6 +15,7 @@ NAMES = [
 ]
 RESULTS = {
     "html": ["text", "n_chars"], "licenses": licenses.RESULTS, "decontaminate": decontaminate.RESULTS, "toxicity": ["score"], "mixing": ["size", "source_size", "target", "taken"], "quality": quality_rules.RESULTS, "lines": ["n_lines", "n_removed"], "urls": [*url_filters.RESULTS, "template"], "near": [],
+    "fill in middle": fill_in_middle.RESULTS, "pieces": ["ids", "decoded"],
 }
 
 
@@ -27,6 +28,7 @@ def job(name, spark, docs):
     return {
         "html": lambda: html_extract.main_text(pages), "licenses": lambda: licenses.scan(docs), "decontaminate": lambda: decontaminate.find_overlap(docs, benchmark(spark)), "toxicity": lambda: toxicity.score(docs, toxicity.fit(docs, labels(spark))),
         "mixing": lambda: mixing.mix(docs), "quality": lambda: quality_rules.judge(docs), "lines": lambda: line_dedup.remove_repeated_lines(docs), "urls": lambda: url_filters.judge(pages), "near": lambda: near_duplicates.deduplicate(docs),
+        "fill in middle": lambda: fill_in_middle.fill_in_middle(docs), "pieces": lambda: sentence_pieces.decode(sentence_pieces.encode(docs)),
     }[name]()
 
 

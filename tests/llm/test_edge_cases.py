@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlode.llm import decontaminate, html_extract, language_model, licenses, line_dedup, mixing, near_duplicates, quality_rules, toxicity, url_filters
+from gridlode.llm import decontaminate, fill_in_middle, html_extract, language_model, licenses, line_dedup, mixing, near_duplicates, quality_rules, sentence_pieces, toxicity, url_filters
 
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(40_000))
 ROWS = [
@@ -45,6 +45,8 @@ JOBS = {
     "quality": lambda s, r: quality_rules.judge(docs(s, r)),
     "lines": lambda s, r: line_dedup.remove_repeated_lines(docs(s, r)),
     "urls": lambda s, r: url_filters.judge(pages(s, r)),
+    "fill in middle": lambda s, r: fill_in_middle.fill_in_middle(docs(s, r)),
+    "pieces": lambda s, r: sentence_pieces.decode(sentence_pieces.encode(docs(s, r))),
 }
 
 
