@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlode.functions import numeric
-from gridlode.operators import components, features, geometry, grid, metrics, models, points, sampling, validation
+from gridlode.operators import components, features, geometry, grid, metrics, models, points, sampling, terrain, validation
 from gridlode.sources import tables
 
 SIDE = tables.SIDE
@@ -20,7 +20,9 @@ CELLS = f"""cells AS (
   FROM (SELECT *, (l_orderkey * 7 + l_linenumber * 3) % {SIDE} AS r, (l_partkey * 11 + l_suppkey) % {SIDE} AS c FROM lineitem)
   WHERE (r - 20) * (r - 20) + (c - 20) * (c - 20) <= 361 GROUP BY r, c)"""
 RAST = f"rast AS (SELECT r, c, CASE WHEN (r * {SIDE} + c) % 17 <> 0 THEN p END AS v FROM cells)"
-FULL = f"f AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c, ((i // {SIDE} * 37 + i % {SIDE} * 101 + (i // {SIDE}) * (i % {SIDE})) % 97)::DOUBLE AS v FROM range({SIDE * SIDE}) AS x(i))"
+#: The raster of one pixel an order; its last column, and its rows.
+FULL = f"f AS (SELECT o_orderkey // {tables.RELIEF_COLUMNS} AS r, o_orderkey % {tables.RELIEF_COLUMNS} AS c, floor(o_totalprice / 1000)::DOUBLE AS v FROM orders)"
+LAST, ROWS = tables.RELIEF_COLUMNS - 1, "(SELECT max(r) + 1 FROM f)"
 OCC = "occ AS (SELECT o_orderkey AS id, (o_orderkey * 7919 + o_custkey * 104729) % 20000 AS x, (o_orderkey * 15485863 + o_custkey * 32452843) % 20000 AS y, o_orderstatus AS status, o_totalprice AS price FROM orders)"
 SEGS = """segs AS (SELECT geom_id, x1, y1, x1 + 500 + (geom_id * 389) % 3000 AS x2, y1 - 1500 + (geom_id * 769) % 3000 AS y2
   FROM (SELECT s_suppkey AS geom_id, (s_suppkey * 6151) % 20000 AS x1, (s_suppkey * 3079 + s_nationkey::BIGINT * 1543) % 20000 AS y1 FROM supplier))"""
@@ -166,38 +168,39 @@ def local_maxima(spark, d):
 
 @query(
     f"""WITH {FULL} SELECT r, c,
-  round(CASE WHEN c = 0 THEN lead(v) OVER h - v WHEN c = {SIDE - 1} THEN v - lag(v) OVER h ELSE (lead(v) OVER h - lag(v) OVER h) / 2 END, 6) AS gx,
-  round(CASE WHEN r = 0 THEN lead(v) OVER w - v WHEN r = {SIDE - 1} THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END, 6) AS gy
+  round(CASE WHEN c = 0 THEN lead(v) OVER h - v WHEN c = {LAST} THEN v - lag(v) OVER h ELSE (lead(v) OVER h - lag(v) OVER h) / 2 END, 6) AS gx,
+  round(CASE WHEN r = 0 THEN lead(v) OVER w - v WHEN r = {ROWS} - 1 THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END, 6) AS gy
 FROM f WINDOW h AS (PARTITION BY r ORDER BY c), w AS (PARTITION BY c ORDER BY r)"""
 )
 def terrain_gradients(spark, d):
-    return grid.gradients(tables.full_raster(spark, d), "v", SIDE, SIDE).select("r", "c", _rounded("gx").alias("gx"), _rounded("gy").alias("gy"))
+    full = tables.full_raster(spark, d)
+    return grid.gradients(full, "v", *terrain.shape(full)).select("r", "c", _rounded("gx").alias("gx"), _rounded("gy").alias("gy"))
 
 
-def _mirrored(axis: str) -> str:
-    return f"CASE WHEN {axis} < 0 THEN -1 - {axis} WHEN {axis} >= {SIDE} THEN 2 * {SIDE} - 1 - {axis} ELSE {axis} END"
+def _mirrored(axis: str, n: int | str) -> str:
+    return f"CASE WHEN {axis} < 0 THEN -1 - {axis} WHEN {axis} >= {n} THEN 2 * {n} - 1 - {axis} ELSE {axis} END"
 
 
 @query(
     f"""WITH {FULL}, k AS (SELECT i - 7 AS dr FROM range(15) AS x(i)),
-m AS (SELECT f.r, f.c, avg(g.v) AS v FROM f, k, k AS k2, f AS g WHERE g.r = {_mirrored('(f.r + k.dr)')} AND g.c = {_mirrored('(f.c + k2.dr)')} GROUP BY ALL)
+m AS (SELECT f.r, f.c, avg(g.v) AS v FROM f, k, k AS k2, f AS g WHERE g.r = {_mirrored('(f.r + k.dr)', ROWS)} AND g.c = {_mirrored('(f.c + k2.dr)', LAST + 1)} GROUP BY ALL)
 SELECT f.r, f.c, round(f.v - m.v, 6) AS tpi FROM f JOIN m USING (r, c)"""
 )
 def terrain_position(spark, d):
     full = tables.full_raster(spark, d)
-    mean = grid.window_mean(full, "v", 15, SIDE, SIDE).withColumnRenamed("v", "m")
+    mean = grid.window_mean(full, "v", 15, *terrain.shape(full)).withColumnRenamed("v", "m")
     return full.join(mean, ["r", "c"]).select("r", "c", _rounded(F.col("v") - F.col("m")).alias("tpi"))
 
 
 @query(
     f"""WITH {FULL}, k AS (SELECT i - 4 AS dr FROM range(9) AS x(i)),
-m AS (SELECT f.r, f.c, avg(g.v) AS v, avg(g.v * g.v) AS s FROM f, k, k AS k2, f AS g WHERE g.r = {_mirrored('(f.r + k.dr)')} AND g.c = {_mirrored('(f.c + k2.dr)')} GROUP BY ALL)
+m AS (SELECT f.r, f.c, avg(g.v) AS v, avg(g.v * g.v) AS s FROM f, k, k AS k2, f AS g WHERE g.r = {_mirrored('(f.r + k.dr)', ROWS)} AND g.c = {_mirrored('(f.c + k2.dr)', LAST + 1)} GROUP BY ALL)
 SELECT r, c, round(sqrt(greatest(s - v * v, 0)), 4) AS roughness FROM m"""
 )
 def terrain_roughness(spark, d):
     full = tables.full_raster(spark, d)
-    mean = grid.window_mean(full, "v", 9, SIDE, SIDE).withColumnRenamed("v", "m")
-    square = grid.window_mean(full.withColumn("v", F.col("v") * F.col("v")), "v", 9, SIDE, SIDE).withColumnRenamed("v", "s")
+    mean = grid.window_mean(full, "v", 9, *terrain.shape(full)).withColumnRenamed("v", "m")
+    square = grid.window_mean(full.withColumn("v", F.col("v") * F.col("v")), "v", 9, *terrain.shape(full)).withColumnRenamed("v", "s")
     return mean.join(square, ["r", "c"]).select("r", "c", _rounded(F.sqrt(F.greatest(F.col("s") - F.col("m") * F.col("m"), F.lit(0.0))), 4).alias("roughness"))
 
 

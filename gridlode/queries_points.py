@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlode.operators import features, points, terrain
-from gridlode.queries import CELLS, DISTANCES, FULL, HASH, OCC, RAST, SIDE, _robust_sql, _rounded, _scaled, _smooth_sql, _taxonomy_sql, query
+from gridlode.queries import CELLS, DISTANCES, FULL, HASH, LAST, OCC, RAST, ROWS, SIDE, _mirrored, _robust_sql, _rounded, _scaled, _smooth_sql, _taxonomy_sql, query
 from gridlode.sources import tables
 
 BOX = (4000.0, 3000.0, 11000.0, 9000.0)
@@ -46,14 +46,35 @@ def tiled_sample(spark, d):
     return points.sample(o, raster.withColumn("v", F.col("v") * (F.col("tile") + 1)), ["v"], 0, 0, 500, keys=("tile",)).select("id", "tile", "v")
 
 
-@query("SELECT lon, lat, (CASE WHEN lat < 0 THEN 'S' ELSE 'N' END) || lpad(abs(lat)::VARCHAR, 2, '0') || (CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) || lpad(abs(lon)::VARCHAR, 3, '0') AS tile FROM range(-3, 13) AS a(lon), range(-3, 6) AS b(lat)")
+#: Places of the occurrences in degrees, around 0, and the box of them.
+LONLAT = "ll AS (SELECT id, x / 1000.0::DOUBLE - 8 AS lon, y / 2000.0::DOUBLE - 3 AS lat FROM occ)"
+LLBOX = "bx AS (SELECT min(lon) AS a, min(lat) AS b, max(lon) AS c, max(lat) AS d FROM ll)"
+
+
+def lonlat(spark, d):
+    return tables.occurrences(spark, d).select("id", (F.col("x") / 1000 - 8).alias("lon"), (F.col("y") / 2000 - 3).alias("lat"))
+
+
+def lonlat_box(spark, d):
+    return tuple(lonlat(spark, d).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+
+
+@query(
+    f"""WITH {OCC}, {LONLAT}, {LLBOX}, x AS (SELECT unnest(range(floor(a - 0.5)::BIGINT, floor(c + 0.5)::BIGINT + 1)) AS lon FROM bx), y AS (SELECT unnest(range(floor(b - 0.5)::BIGINT, floor(d + 0.5)::BIGINT + 1)) AS lat FROM bx)
+SELECT lon, lat, (CASE WHEN lat < 0 THEN 'S' ELSE 'N' END) || lpad(abs(lat)::VARCHAR, 2, '0') || (CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) || lpad(abs(lon)::VARCHAR, 3, '0') AS tile FROM x, y"""
+)
 def tiles_in_box(spark, d):
-    return points.tiles_in(spark, (-2.5, -1.75, 11.9, 4.5), 0.5)
+    """The tiles under the padded box of the occurrences."""
+    return points.tiles_in(spark, lonlat_box(spark, d), 0.5)
 
 
-@query("SELECT j * 144 + i AS id, round(-2.5 + (i + 0.5::DOUBLE) * 0.1, 6) AS x, round(-1.75 + (j + 0.5::DOUBLE) * 0.1, 6) AS y FROM range(144) AS a(i), range(63) AS b(j)")
+@query(
+    f"""WITH {OCC}, {LONLAT}, {LLBOX}, n AS (SELECT ceil((c - a) / 0.1)::BIGINT AS n FROM bx), i AS (SELECT unnest(range(n)) AS i FROM n), j AS (SELECT unnest(range(ceil((d - b) / 0.1)::BIGINT)) AS j FROM bx)
+SELECT j * n + i AS id, round(a + (i + 0.5::DOUBLE) * 0.1, 6) AS x, round(b + (j + 0.5::DOUBLE) * 0.1, 6) AS y FROM i, j, n, bx"""
+)
 def lonlat_mesh(spark, d):
-    return points.mesh(spark, (-2.5, -1.75, 11.9, 4.5), 0.1).select("id", _rounded("x").alias("x"), _rounded("y").alias("y"))
+    """The mesh over the box of the occurrences."""
+    return points.mesh(spark, lonlat_box(spark, d), 0.1).select("id", _rounded("x").alias("x"), _rounded("y").alias("y"))
 
 
 @query(f"WITH {CELLS}, {RAST}, w AS (SELECT q, p, v FROM cells JOIN rast USING (r, c)), e AS (SELECT 'q' AS layer, q AS v FROM w UNION ALL SELECT 'p', p FROM w UNION ALL SELECT 'v', v FROM w) SELECT layer, min(v) AS least, max(v) AS most, round(avg((v IS NULL)::INT), 6) AS missing FROM e GROUP BY layer")
@@ -113,9 +134,8 @@ _HOLED = f"h AS (SELECT r, c, CASE WHEN (r * 7 + c) % 13 <> 0 THEN v END AS e FR
 
 
 def _gradient_sql(source: str, value: str, out: str) -> str:
-    last = SIDE - 1
-    return f"""{out} AS (SELECT *, CASE WHEN c = 0 THEN lead({value}) OVER h{out} - {value} WHEN c = {last} THEN {value} - lag({value}) OVER h{out} ELSE (lead({value}) OVER h{out} - lag({value}) OVER h{out}) / 2 END AS {out}x,
-  CASE WHEN r = 0 THEN lead({value}) OVER w{out} - {value} WHEN r = {last} THEN {value} - lag({value}) OVER w{out} ELSE (lead({value}) OVER w{out} - lag({value}) OVER w{out}) / 2 END AS {out}y
+    return f"""{out} AS (SELECT *, CASE WHEN c = 0 THEN lead({value}) OVER h{out} - {value} WHEN c = {LAST} THEN {value} - lag({value}) OVER h{out} ELSE (lead({value}) OVER h{out} - lag({value}) OVER h{out}) / 2 END AS {out}x,
+  CASE WHEN r = 0 THEN lead({value}) OVER w{out} - {value} WHEN r = {ROWS} - 1 THEN {value} - lag({value}) OVER w{out} ELSE (lead({value}) OVER w{out} - lag({value}) OVER w{out}) / 2 END AS {out}y
   FROM {source} WINDOW h{out} AS (PARTITION BY r ORDER BY c), w{out} AS (PARTITION BY c ORDER BY r))"""
 
 
@@ -123,13 +143,9 @@ def _holed(spark, d):
     return tables.full_raster(spark, d).select("r", "c", F.when((F.col("r") * 7 + F.col("c")) % 13 != 0, F.col("v")).alias("v"))
 
 
-def _folded(axis: str) -> str:
-    return f"CASE WHEN {axis} < 0 THEN -1 - {axis} WHEN {axis} >= {SIDE} THEN 2 * {SIDE} - 1 - {axis} ELSE {axis} END"
-
-
 def _window_sql(name: str, half: int) -> str:
     return f"""{name} AS (SELECT a.r, a.c, avg(b.v) AS {name}v, avg(b.v * b.v) AS {name}s FROM g a, (SELECT unnest(range({-half}, {half + 1})) AS i) x, (SELECT unnest(range({-half}, {half + 1})) AS j) y, g b
-  WHERE b.r = {_folded('(a.r + x.i)')} AND b.c = {_folded('(a.c + y.j)')} GROUP BY a.r, a.c)"""
+  WHERE b.r = {_mirrored('(a.r + x.i)', ROWS)} AND b.c = {_mirrored('(a.c + y.j)', LAST + 1)} GROUP BY a.r, a.c)"""
 
 
 @query(
@@ -138,13 +154,15 @@ SELECT d3.r, d3.c, e AS elevation, round(sqrt(d1x * d1x + d1y * d1y), 6) AS slop
 FROM d3 JOIN near USING (r, c) JOIN fine USING (r, c)"""
 )
 def terrain_derivatives(spark, d):
-    out = terrain.derivatives(_holed(spark, d), "v", SIDE, SIDE)
+    holed = _holed(spark, d)
+    out = terrain.derivatives(holed, "v", *terrain.shape(holed))
     return out.select("r", "c", "elevation", *[_rounded(c, n).alias(c) for c, n in (("slope", 6), ("curvature", 6), ("position", 6), ("roughness", 4))])
 
 
 @query(f"WITH {FULL}, {_HOLED}, {_gradient_sql('g', 'v', 'd1')} SELECT r, c, CASE WHEN e IS NOT NULL THEN round(sqrt(d1x * d1x + d1y * d1y), 6) END AS v FROM d1")
 def gradient_magnitude(spark, d):
-    return terrain.gradient_magnitude(_holed(spark, d), "v", SIDE, SIDE).select("r", "c", _rounded("v").alias("v"))
+    holed = _holed(spark, d)
+    return terrain.gradient_magnitude(holed, "v", *terrain.shape(holed)).select("r", "c", _rounded("v").alias("v"))
 
 
 @query(

@@ -108,7 +108,11 @@ def read_bands(spark: SparkSession, path: str, include: list[str] | None = None)
     wanted = {n: header.band(n) for n in (header.bands if include is None else include)}
     folder, _, file = path.rpartition("/")
     stem = os.path.splitext(file)[0]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{stem}.{{{','.join(wanted)}}}.property").load(folder or ".")
+    quoted = lambda text: re.sub(r"([\\\\*?\[\]{},^!])", r"\\\1", text)  # noqa: E731  as they stand, not as a pattern
+    if not wanted:
+        return header, spark.createDataFrame([], SCHEMA)
+    names = ",".join(map(quoted, wanted))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{quoted(stem)}.{{{names}}}.property").load(folder or ".")
     columns, n = header.columns, header.columns * header.rows
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

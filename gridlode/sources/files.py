@@ -29,3 +29,11 @@ def exists(path: str) -> bool:
 def size(path: str) -> int:
     system, at = located(path)
     return system.get_file_info(at).size
+
+
+def first_with(folders: list[str], sentinel: str) -> str:
+    """The first of the folders in which a file of that name lies."""
+    for folder in folders:
+        if exists(f"{folder.rstrip('/')}/{sentinel}"):
+            return folder
+    raise FileNotFoundError(f"{sentinel} in none of {', '.join(folders)}")

@@ -1,5 +1,6 @@
 """A data source for shapefiles: their geometries as segments, which the geometry operators take.
 
+Files lie wherever Arrow's file systems reach (see sources.files); read_shapes takes those of any other one that Spark opens.
 Options: path (the .shp; .shx and, if there is one, .dbf lie beside it), encoding of the attributes
 (utf-8), records per input partition (10,000). The index gives every partition its own range of the
 file. Rows: geom_id, part, seq, x1, y1, x2, y2, kind (point, line or polygon) and attributes. A point
@@ -9,7 +10,7 @@ is a segment of no length; null and empty geometries have no rows.
 from __future__ import annotations
 
 import io
-import os
+import posixpath
 import struct
 from collections.abc import Iterator
 
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from gridlode.functions import projections
+from gridlode.sources.files import exists, opened, size
+
 #: Kinds of shapes by their codes; those with heights or measures begin alike.
 KINDS = {1: "point", 3: "line", 5: "polygon", 8: "points"}
 HEADER = 100
@@ -52,7 +56,7 @@ class Attributes:
                 self.fields.append((field[:11].split(b"\0")[0].decode(encoding), field[16]))
 
     def open(self) -> io.BufferedIOBase:
-        return io.BytesIO(self.path) if isinstance(self.path, bytes) else open(self.path, "rb")
+        return io.BytesIO(self.path) if isinstance(self.path, bytes) else opened(self.path)
 
     def read(self, record: int, n: int) -> Iterator[dict[str, str]]:
         with self.open() as f:
@@ -75,16 +79,18 @@ class Records(InputPartition):
 
 class ShapeReader(DataSourceReader):
     def __init__(self, path: str, encoding: str, records: int) -> None:
-        self.stem, self.encoding, self.records = os.path.splitext(path)[0], encoding, records
+        self.stem, self.encoding, self.records = posixpath.splitext(path)[0], encoding, records
 
     def partitions(self) -> list[Records]:
-        n = (os.path.getsize(self.stem + ".shx") - HEADER) // 8
+        n = (size(self.stem + ".shx") - HEADER) // 8
         return [Records(i, min(self.records, n - i)) for i in range(0, n, self.records)]
 
-    def read(self, at: Records) -> Iterator[tuple]:
+    def read(self, at: Records | None) -> Iterator[tuple]:
+        if at is None:  # no records
+            return
         table = self.stem + ".dbf"
-        attributes = Attributes(table, self.encoding).read(at.first, at.n) if os.path.exists(table) else ({} for _ in range(at.n))
-        with open(self.stem + ".shx", "rb") as index, open(self.stem + ".shp", "rb") as shapes:
+        attributes = Attributes(table, self.encoding).read(at.first, at.n) if exists(table) else ({} for _ in range(at.n))
+        with opened(self.stem + ".shx") as index, opened(self.stem + ".shp") as shapes:
             index.seek(HEADER + 8 * at.first)
             for i, own in zip(range(at.n), attributes, strict=True):
                 offset, length = struct.unpack(">2i", index.read(8))  # both in words of two bytes
@@ -166,11 +172,22 @@ def point_layers(rows: DataFrame, base: list[str]) -> DataFrame:
     return rows.where((F.col("kind") == "point") & ~F.col("layer").isin(base)).withColumnRenamed("layer", "source_layer")
 
 
-def layers(spark: SparkSession, paths: dict[str, str], encoding: str = "utf-8") -> DataFrame:
-    """All layers in one table, each row with the layer's name."""
+def to_projection(rows: DataFrame, source: str | int | None, target: str | int | None) -> DataFrame:
+    """Segments taken from one projection to another; those of no known projection are taken to be in the target's."""
+    return projections.reproject(rows, [("x1", "y1"), ("x2", "y2")], source, target)
+
+
+def layers(spark: SparkSession, paths: dict[str, str], encoding: str = "utf-8", base: str | None = None) -> DataFrame:
+    """All layers in one table, each row with the layer's name, in the projection of the layer base where that is given.
+
+    A layer's projection is what its sidecar <stem>.pj4 says.
+    """
     spark.dataSource.register(Shapes)
+    sidecar = lambda path: projection(spark, posixpath.splitext(path)[0] + ".pj4")
+    target = sidecar(paths[base]) if base else None
     out = None
     for name, path in paths.items():
         one = spark.read.format("shapes").option("encoding", encoding).load(path).withColumn("layer", F.lit(name))
+        one = to_projection(one, sidecar(path), target) if base else one
         out = one if out is None else out.unionByName(one)
     return out

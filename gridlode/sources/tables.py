@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 40
+RELIEF_COLUMNS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +33,9 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full SIDE by SIDE grid without gaps."""
-    at = spark.range(SIDE * SIDE).select(F.floor(F.col("id") / SIDE).cast("long").alias("r"), (F.col("id") % SIDE).alias("c"))
-    return at.withColumn("v", ((F.col("r") * 37 + F.col("c") * 101 + F.col("r") * F.col("c")) % 97).cast("double"))
+    """A raster of RELIEF_COLUMNS columns without gaps, one pixel an order, whose rows grow with the orders."""
+    at = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.floor(at / RELIEF_COLUMNS).cast("long").alias("r"), (at % RELIEF_COLUMNS).alias("c"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("v"))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@ import struct
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from gridlode.operators import geometry
-from gridlode.sources import shapes
+from gridlode.sources import bands, files, shapes
 
 
 def poly(kind, *parts):
@@ -49,3 +51,51 @@ def test_layers_and_projection(spark, tmp_path):
     assert {r.layer: r["count"] for r in got} == {"mines": 1, "wells": 2}
     (tmp_path / "a.pj4").write_text("[x]\npj4=+proj=tmerc +lat_0=0\n")
     assert shapes.projection(spark, str(tmp_path / "a.pj4")) == "+proj=tmerc +lat_0=0" and shapes.projection(spark, str(tmp_path / "none.pj4")) is None
+
+
+GAUSS = "+proj=tmerc +lon_0=105 +lat_0=0 +x_0=500000 +ellps=krass +towgs84=23.57,-140.95,-79.8,0,0.35,0.79,-0.22"
+
+
+def test_layers_in_one_projection(spark, tmp_path):
+    for name, point, line in (("mask", (500000.0, 7900000.0), GAUSS), ("wells", (105.0, 71.0), "+proj=longlat +datum=WGS84"), ("old", (1.0, 2.0), None)):
+        write_shapes(tmp_path / name, [struct.pack("<i2d", 1, *point), poly(3, [point, (point[0] + 1, point[1] + 1)])])
+        if line:
+            (tmp_path / f"{name}.pj4").write_text(f"[projection]\n\npj4={line}\n")
+    paths = {n: f"file://{tmp_path}/{n}.shp" for n in ("mask", "wells", "old")}
+    got = {(r.layer, r.geom_id): r for r in shapes.layers(spark, paths, base="mask").collect()}
+    assert (got["mask", 0].x1, got["mask", 0].y1) == (500000.0, 7900000.0) and (got["old", 0].x1, got["old", 1].x2) == (1.0, 2.0)
+    well = got["wells", 0]
+    assert abs(well.x1 - 500000) < 300 and well.x1 == well.x2 and 7.87e6 < well.y1 < 7.89e6
+    back = shapes.to_projection(shapes.layers(spark, paths, base="mask").where("layer = 'wells'"), GAUSS, 4326).where("geom_id = 1").first()
+    assert (back.x1, back.y1, back.x2, back.y2) == pytest.approx((105, 71, 106, 72), abs=1e-7)
+
+
+def test_partitions_of_an_address_give_the_same_rows(spark, tmp_path):
+    write_shapes(tmp_path / "r", [struct.pack("<i2d", 1, i, -i) for i in range(9)], [f"n{i}" for i in range(9)])
+    spark.dataSource.register(shapes.Shapes)
+    got = spark.read.format("shapes").option("records", "5").load(f"file://{tmp_path}/r.shp")
+    assert got.rdd.getNumPartitions() == 2
+    assert sorted(map(str, got.collect())) == sorted(map(str, shapes.read_shapes(spark, str(tmp_path / "r.shp")).collect()))
+    write_shapes(tmp_path / "none", [])
+    assert spark.read.format("shapes").load(str(tmp_path / "none.shp")).count() == 0
+
+
+def test_the_folder_that_has_the_file(tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "mask.shp").touch()
+    assert files.first_with([str(tmp_path / "a"), str(tmp_path / "b")], "mask.shp") == str(tmp_path / "b")
+    with pytest.raises(FileNotFoundError):
+        files.first_with([str(tmp_path / "a")], "mask.shp")
+
+
+def test_band_names_are_not_patterns(spark, tmp_path):
+    names = ["a,b", "x{1}", "p[2]", "s*r", "sr", "a"]
+    listed = "".join(f"<Property><Name>{n}</Name><DataType>dtByte</DataType></Property>" for n in names)
+    (tmp_path / "g,1.pgrid").write_text(f"<grid><Pic>2</Pic><Prf>1</Prf><dx>1</dx><dy>1</dy><x0>0</x0><y0>0</y0>{listed}</grid>")
+    for i, n in enumerate(names):
+        (tmp_path / f"g,1.{n}.property").write_bytes(bytes([i, i]))
+    read = lambda include: {r.band: r.value for r in bands.read_bands(spark, str(tmp_path / "g,1.pgrid"), include)[1].collect()}
+    assert read(None) == {n: float(i) for i, n in enumerate(names)}
+    for n in names:
+        assert set(read([n])) == {n}
+    assert read([]) == {}
