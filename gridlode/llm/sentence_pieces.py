@@ -8,7 +8,7 @@ power law, so most positions fall on few chunks. The table belongs to the task a
 whole corpus would have to be shuffled, joined and carried back to the texts, which moves more bytes than the texts have,
 to spare about two microseconds a chunk; a lost executor's tasks just run again.
 
-A table of TABLE_CHARS code points is given up and begun anew, so the memory of a task has a bound and results
+A table beyond TABLE_CHARS code points is given up and begun anew, so the memory of a task has a bound and results
 do not depend on it. Where a piece does cross markers, each text is a chunk of its own.
 
 Defined cases: a null text is empty, and an empty one has no ids; null ids decode to an empty text; a very long text
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -35,8 +36,8 @@ CHUNK = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 CHUNK_END = re.compile(f"(?<=[^{MARKER}])(?={MARKER})")
 #: Code points of a text that are cut into chunks at once, up to the next end of a chunk.
 SLICE_CHARS = 1 << 20
-#: Code points of all chunks in a task's table.
-TABLE_CHARS = 8 << 20
+#: Code points of all chunks in a task's table, above which it is begun anew, and of texts that are encoded together.
+TABLE_CHARS, GROUP_CHARS = 8 << 20, 4 << 20
 #: Stands before a chunk while it is segmented, in the place that the library gives a marker of its own.
 LEAD = "."
 
@@ -73,32 +74,52 @@ class ChunkTable(dict):
 
     def segment_new(self) -> None:
         """Segment the chunks met since the last call."""
+        if not self.new:
+            return
         ids = [x[self.lead :] for x in self.model.encode([LEAD + c for c in self.new], num_threads=1)]
         self.new = []
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in ids)])
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        self.start = np.concatenate([self.start, self.start[-1] + ends])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])])
+
+    def numbers(self, text: str, limit: int = SLICE_CHARS) -> np.ndarray:
+        """The numbers of a text's chunks."""
+        text, at, out = self.model.normalize(text), 0, [np.zeros(0, np.int32)]
+        while at < len(text):
+            end = CHUNK_END.search(text, at + limit) if len(text) - at > limit else None
+            stop = end.start() if end else len(text)
+            found = CHUNK.findall(text, at, stop)
+            out.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+            at = stop
+        return np.concatenate(out)
 
     def gather(self, chunks: np.ndarray) -> np.ndarray:
         """The ids of the chunks of these numbers, one after the other."""
-        self.segment_new()
         first, n = self.start[chunks], self.start[chunks + 1] - self.start[chunks]
         ahead = np.cumsum(n) - n
         return self.ids[np.arange(n.sum()) + np.repeat(first - ahead, n)]
 
-    def encode(self, text: str, limit: int = SLICE_CHARS) -> np.ndarray:
-        """All ids of a text."""
+    def encode(self, texts: list[str], limit: int = SLICE_CHARS) -> list[np.ndarray]:
+        """All ids of each text; what is new in any of them is segmented at once."""
         if not self.apart:
-            return np.array(self.model.encode(text, num_threads=1), np.int32)
+            return [np.array(self.model.encode(t, num_threads=1), np.int32) for t in texts]
         if self.chars > TABLE_CHARS:
             self.clear()
-        text, at, out = self.model.normalize(text), 0, []
-        while at < len(text):
-            end = CHUNK_END.search(text, at + limit) if len(text) - at > limit else None
-            stop = end.start() if end else len(text)
-            found = CHUNK.findall(text, at, stop)
-            out.append(self.gather(np.fromiter(map(self.__getitem__, found), np.int64, len(found))))
-            at = stop
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        chunks = [self.numbers(t, limit) for t in texts]
+        self.segment_new()
+        return [self.gather(c) for c in chunks]
+
+
+def groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, null as empty, in lists of about GROUP_CHARS code points."""
+    held, chars = [], 0
+    for x in texts:
+        held.append(x.as_py() or "")
+        chars += len(held[-1])
+        if chars > GROUP_CHARS:
+            yield held
+            held, chars = [], 0
+    yield held
 
 
 def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -108,7 +129,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(SentencePieceProcessor(model_proto=model.value))
         for texts in batches:
-            found = [table.encode(t) if (t := x.as_py()) else np.zeros(0, np.int32) for x in texts]
+            found = [ids for group in groups(texts) for ids in table.encode(group)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             yield pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]))).cast(pa.list_(pa.int32()))
 

@@ -21,15 +21,17 @@ def texts(seed, n):
 def test_chunks_give_the_ids_of_whole_texts(limit):
     table = pieces.ChunkTable(MODEL)
     assert table.apart
-    for text in [*texts(1, 1500), " ", "▁", "  ", "x ", " x", "▁ x▁ "]:
-        assert table.encode(text, limit).tolist() == MODEL.encode(text), repr(text)
+    all_texts = [*texts(1, 1500), " ", "▁", "  ", "x ", " x", "▁ x▁ "]
+    for text, ids in zip(all_texts, table.encode(all_texts, limit), strict=True):
+        assert ids.tolist() == MODEL.encode(text), repr(text)
+    assert table.encode([]) == []
 
 
 def test_a_full_table_begins_anew(monkeypatch):
     monkeypatch.setattr(pieces, "TABLE_CHARS", 40)
     table = pieces.ChunkTable(MODEL)
     for text in texts(2, 300):
-        assert table.encode(text).tolist() == MODEL.encode(text)
+        assert table.encode([text])[0].tolist() == MODEL.encode(text)
         assert table.chars <= 40 + len(text) + 1
 
 
@@ -46,7 +48,7 @@ def test_each_chunk_is_segmented_once():
 
     table.model = Counting
     for _ in range(3):
-        table.encode("the cat and the dog and the bird")
+        table.encode(["the cat and the dog", "the cat and the dog and the bird"])
     assert sorted(asked) == sorted("." + w for w in ("▁the", "▁cat", "▁and", "▁dog", "▁bird"))
 
 
@@ -54,7 +56,7 @@ def test_where_pieces_cross_markers_whole_texts_are_encoded(monkeypatch):
     monkeypatch.setattr(pieces, "crosses_markers", lambda model: True)
     table = pieces.ChunkTable(MODEL)
     for text in texts(4, 50):
-        assert table.encode(text).tolist() == MODEL.encode(text)
+        assert table.encode([text])[0].tolist() == MODEL.encode(text)
 
 
 def test_round_trip_in_spark(spark, tmp_path):
