@@ -38,6 +38,8 @@ ENDS_PIECE = np.array([b in ENDS for b in range(256)])
 #: Buckets and bits of each bitmap: 4 MiB of bits, 32 MiB of counts in a task.
 BUCKET_BITS = 25
 BLOCK_BITS = 32_768  # fixed by Spark's bitmap functions
+#: Bytes of text that are hashed at a time (a longer text at once), and buckets whose counts leave a task at a time.
+PIECE_BYTES, SLOTS_OUT = 1 << 19, 1 << 17
 #: Parts in which a language's phrases are ranked before their best are ranked together.
 RANK_PARTS = 64
 
@@ -110,7 +112,7 @@ def _pass(k: int, longest: int, min_count: int, frequent: Broadcast | None, full
         buckets = np.zeros(1 << BUCKET_BITS if k < longest else 0, most.dtype)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for piece in pieces(batch, "text"):
+                for piece in pieces(batch, "text", PIECE_BYTES):
                     langs = column_of(piece, "lang").to_pylist()
                     keys = {x: _lang_key(x) for x in set(langs)}
                     plain = hash_words(column_of(piece, "text"), WORD)
@@ -135,9 +137,9 @@ def _pass(k: int, longest: int, min_count: int, frequent: Broadcast | None, full
                             longer.hash = longer.hash[longer.whose_parts(grams, ok, len(words.hash))]
                         slot, n = np.unique(slots(longer.hash), return_counts=True)
                         buckets[slot] = np.minimum(buckets[slot].astype(np.int64) + n, most).astype(most.dtype)
-        held = np.flatnonzero(buckets)
-        for part in np.array_split(held, len(held) // 100_000 + 1):
-            yield _rows(None, None, part, buckets[part].astype(np.int64))
+        for lo in range(0, len(buckets), SLOTS_OUT):
+            held = lo + np.flatnonzero(buckets[lo : lo + SLOTS_OUT])
+            yield _rows(None, None, held, buckets[held].astype(np.int64))
 
     return count
 
