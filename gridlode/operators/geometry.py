@@ -67,9 +67,13 @@ def nearest_distance(points: DataFrame, segments: DataFrame, radius: float, keys
     """points with distance to the nearest segment, searched in rings of doubled radius until every point has one.
 
     With half, points are the centres of square cells of half that side, and the cell's own distance counts.
-    Points without a finite place, or with a null key, have no distance.
+    Points without a finite place, or with a null key, have no distance; segments without a finite end are left out.
     """
     ends = [F.col(k) for k in ("x1", "y1", "x2", "y2")]
+    whole = F.lit(True)
+    for end in ends:
+        whole = whole & (F.abs(end.cast("double")) < float("inf"))
+    segments = segments.where(whole)
     distance = cell_segment_distance(F.col("x"), F.col("y"), half, *ends) if half else point_segment_distance(F.col("x"), F.col("y"), *ends)
     if segments.isEmpty():
         raise ValueError("there is no segment to measure to")

@@ -57,13 +57,16 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "presen
 
 
 def criterial(train: DataFrame, columns: list[str], label: str = "presence") -> Column:
-    """Mean of standardised columns, each with the sign of its correlation with the label in the training rows."""
+    """Mean of standardised columns, each with the sign of its correlation with the label in the training rows; 0 where that isn't known."""
     y = F.col(label).cast("double")
     sums = [f.alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg(c)), ("s", F.stddev_pop(c)), ("x", F.avg(F.col(c) * y)))]
     got = train.agg(F.avg(y).alias("y"), *sums).first()
     total = F.lit(0.0)
     for i, c in enumerate(columns):
-        m, s, covariance = got[f"m{i}"], got[f"s{i}"], got[f"x{i}"] - got[f"m{i}"] * got["y"]
+        m, s, x = got[f"m{i}"], got[f"s{i}"], got[f"x{i}"]
+        if None in (m, s, x, got["y"]):  # no rows, or only missing values
+            continue
+        covariance = x - m * got["y"]
         sign = 0.0 if abs(covariance) < 1e-12 else (1.0 if covariance > 0 else -1.0)
         total = total + sign * (F.col(c) - m) / (s + 1e-9)
     return total / len(columns)

@@ -21,6 +21,14 @@ def presence_background(cells: DataFrame, key: str, n: int, seed: int) -> DataFr
     return cells.where("presence = 1").unionByName(background)
 
 
+def first_in_group(rows: DataFrame, keys: list[str], order: list[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each group in ascending order; groups are cut into parts first, so that a large one isn't sorted by one task."""
+    at = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(f"_o{i}") for i in range(len(order))]))
+    placed = rows.withColumns({f"_o{i}": o for i, o in enumerate(order)}).withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"_o{i}") for i in range(len(order))]), F.lit(parts)))
+    few = placed.withColumn("_at", at(*keys, "_part")).where(F.col("_at") <= n)
+    return few.withColumn("_at", at(*keys)).where(F.col("_at") <= n).select(*rows.columns)
+
+
 def folds(blocks: DataFrame, n: int, seed: int) -> DataFrame:
     """block and fold: blocks in random order, dealt round; one row per block."""
     order = Window.orderBy(random_order(seed, F.col("block")), "block")
@@ -28,9 +36,11 @@ def folds(blocks: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def bootstrap_means(pairs: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
-    """draw and mean of as many values as there are, drawn with replacement. pairs is one row per fold or seed."""
+    """draw and mean of as many values as there are, drawn with replacement; null means where there are none. pairs is one row per fold or seed."""
     placed = pairs.select((F.row_number().over(Window.orderBy(key)) - 1).alias("at"), F.col(value).alias("v"))
     n = placed.count()
+    if not n:
+        return pairs.sparkSession.range(draws).select(F.col("id").alias("draw"), F.lit(None).cast("double").alias("mean"))
     drawn = pairs.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = drawn.withColumn("at", random_index(seed, n, F.col("draw"), F.col("j")))
     return drawn.join(placed, "at").groupBy("draw").agg(F.avg("v").alias("mean"))

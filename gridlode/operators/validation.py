@@ -164,20 +164,6 @@ def halo_lifts(cells: DataFrame, key: str, scorer: Scorer, areas: list[float], r
     return out
 
 
-def training_modes(cells: DataFrame, radius: int, columns: list[str], share: float = 0.6) -> dict[str, DataFrame]:
-    """The four kinds of training rows: as they are, with reliable negatives only, with the halo as presence, and with both."""
-    near = halo(cells, radius).withColumn("near", F.lit(1))
-    wider = materialize(cells.join(near, ["r", "c"], "left").withColumn("presence", F.greatest("presence", F.coalesce("near", F.lit(0)))).drop("near"))
-    trimmed = lambda rows: models.reliable_negatives(rows.withColumn("first", metrics.criterial(rows, columns)), "first", share).drop("first")
-    return {"baseline": cells, "reliable": trimmed(cells), "halo": wider, "both": trimmed(wider)}
-
-
-def mode_table(cells: DataFrame, radius: int, columns: list[str], areas: list[float]) -> DataFrame:
-    """mode, area and lift of the real presence under the criterial index learnt in each of the four modes."""
-    rows = [area_coverage(materialize(cells.withColumn("score", metrics.criterial(train, columns))), "presence = 1", areas).withColumn("mode", F.lit(mode)) for mode, train in training_modes(cells, radius, columns).items()]
-    return reduce(DataFrame.unionByName, rows).select("mode", "area", "lift")
-
-
 def tune(spark, choices: dict[str, list], evaluate: Callable[..., float], best: int = 3) -> DataFrame:
     """The best settings of all combinations of the choices, by what evaluate(**setting) gives. One row per setting."""
     rows = []

@@ -137,21 +137,6 @@ def halo_lifts(spark, d):
     return out.select("fold", "area", _rounded("on_presence").alias("on_presence"), _rounded("on_halo").alias("on_halo"))
 
 
-def _mode_sql() -> str:
-    wide = "wd AS (SELECT ps.* REPLACE ((presence = 1 OR (r, c) IN (SELECT (r, c) FROM hl))::INT AS presence) FROM ps)"
-    trim = lambda name, rows: f"{_small_sql(name + 'f', f'SELECT * FROM {rows}')}, sd{name} AS (SELECT x.*, s.score FROM {rows} x JOIN sc{name}f s USING (cell_id)), {name} AS (SELECT * FROM sd{name} WHERE presence = 1 OR score <= (SELECT quantile_cont(score, 0.6) FROM sd{name} WHERE presence = 0))"
-    modes = {"baseline": "ps", "reliable": "rl", "halo": "wd", "both": "bt"}
-    rows = [f"SELECT '{mode}' AS mode, {a}::DOUBLE AS area, round(avg((score >= t_)::INT) FILTER (presence = 1) / {a}, 6) AS lift FROM sc{mode}, (SELECT quantile_cont(score, {1.0 - a!r}) AS t_ FROM sc{mode})" for mode in modes for a in (0.1, 0.2)]
-    scored = ", ".join(_small_sql(mode, f"SELECT * FROM {rows_}") for mode, rows_ in modes.items())
-    return f"{wide}, {trim('rl', 'ps')}, {trim('bt', 'wd')}, {scored} " + " UNION ALL ".join(rows)
-
-
-@query(f"WITH {CELLS}, {_PRES}, {_HALO}, {_mode_sql()}")
-def training_modes(spark, d):
-    """Lift of the real presence, learnt from presence or its halo, with all or only with reliable negatives."""
-    return validation.mode_table(_presence(spark, d), 2, ["q", "p", "d", "t"], [0.1, 0.2]).select("mode", "area", _rounded("lift").alias("lift"))
-
-
 @query("SELECT * FROM (VALUES ('boosted', true), ('forest', true), ('logistic', true)) AS v(model, finds)")
 def models_find_planted(spark, d):
     """Whether each model's held-out AUC is above 0.9 where presence depends on two features."""
