@@ -122,9 +122,9 @@ def cells_with_points(points: DataFrame, size: int, x0: int = 0, y0: int = 0) ->
     return points.where(inside).withColumns({"r": F.floor(dy / size).cast("long"), "c": F.floor(dx / size).cast("long")})
 
 
-def presence(cells: DataFrame, points: DataFrame, size: int) -> DataFrame:
-    """cells with presence: 1 where a point lies within."""
-    hit = cells_with_points(points, size).select("r", "c", F.lit(1).alias("presence")).distinct()
+def presence(cells: DataFrame, points: DataFrame, size: int, x0: int = 0, y0: int = 0) -> DataFrame:
+    """cells with presence: 1 where a point lies within; cell (0, 0) begins at (x0, y0)."""
+    hit = cells_with_points(points, size, x0, y0).select("r", "c", F.lit(1).alias("presence")).distinct()
     return cells.join(hit, ["r", "c"], "left").na.fill(0, ["presence"])
 
 

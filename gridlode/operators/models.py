@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlode.functions.numeric import quantiles, robust_01
-from gridlode.operators.sampling import presence_background, random_order
+from gridlode.operators.grid import smooth
+from gridlode.operators.sampling import first_in_group, presence_background
 from gridlode.plans.materialize import materialize
 
 Estimator = Pipeline
@@ -51,16 +53,26 @@ def fit_score(estimator: Estimator, train: DataFrame, cells: DataFrame, name: st
     return scored.select(*cells.columns, vector_to_array("probability")[1].alias(name))
 
 
-def ensemble(cells: DataFrame, key: str, columns: list[str], rounds: int = 8, share: float = 0.7, seed: int = 42, score_on: DataFrame | None = None, **sizes: int) -> DataFrame:
-    """key, score (mean of all members) and spread, of score_on or else of cells: a forest and boosted trees per round, each on its own share of the background."""
-    members = []
+def ensemble(cells: DataFrame, key: str, columns: list[str], rounds: int = 8, share: float = 0.7, seed: int = 42, score_on: DataFrame | None = None, threads: int = 4, **sizes: int) -> DataFrame:
+    """key, score (mean of all members) and spread, of score_on or else of cells: a forest and boosted trees per round, each on its own share of the background.
+
+    All rounds' backgrounds are drawn in one pass, and fits run side by side.
+    """
     background = cells.where("presence = 0")
     take = round(share * background.count())
-    for k in range(rounds):
-        drawn = background.orderBy(random_order(seed + k, F.col(key)), key).limit(take)
-        train = cells.where("presence = 1").unionByName(drawn)
-        for estimator in (forest(columns, trees=sizes.get("trees", 100), seed=seed + k), boosted(columns, rounds=sizes.get("boosts", 40), seed=seed + k)):
-            members.append(fit_score(estimator, train, cells if score_on is None else score_on).select(key, "score"))
+    each = background.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    order = F.md5(F.concat_ws(":", (F.col("_round") + seed).cast("string"), F.col(key).cast("string")).cast("binary"))
+    drawn = materialize(first_in_group(each, ["_round"], [order, F.col(key)], take))
+    presence = cells.where("presence = 1")
+
+    def member(job: tuple[int, str]) -> DataFrame:
+        k, kind = job
+        train = presence.unionByName(drawn.where(F.col("_round") == k).drop("_round"))
+        estimator = forest(columns, trees=sizes.get("trees", 100), seed=seed + k) if kind == "forest" else boosted(columns, rounds=sizes.get("boosts", 40), seed=seed + k)
+        return fit_score(estimator, train, cells if score_on is None else score_on).select(key, "score")
+
+    with ThreadPoolExecutor(threads) as pool:
+        members = list(pool.map(member, [(k, kind) for k in range(rounds) for kind in ("forest", "boosted")]))
     return reduce(DataFrame.unionByName, members).groupBy(key).agg(F.avg("score").alias("score"), F.stddev_pop("score").alias("spread"))
 
 
@@ -84,3 +96,15 @@ def train_score(cells: DataFrame, key: str, columns: list[str], least: int = 5,
     train = presence_background(cells, key, background, seed)
     scored = materialize(cells.join(ensemble(train, key, columns, seed=seed, score_on=cells, **sizes), key))
     return scored.withColumns({"ml_score": robust_01(scored, F.col("score"), 0.02, 0.98), "spread": robust_01(scored, F.col("spread"), 0.02, 0.98)}).drop("score")
+
+
+#: Fixed value: smoothing steps of the map of a model's score.
+SMOOTHING_STEPS = 4
+
+
+def train_map(cells: DataFrame, key: str, columns: list[str], rows: int, across: int, **settings) -> DataFrame:
+    """cells (r, c) as train_score gives them, with ml_score_sm, the score smoothed and scaled again, and uncertainty in place of spread."""
+    scored = materialize(train_score(cells, key, columns, **settings))
+    smoothed = materialize(smooth(scored.select("r", "c", "ml_score"), "ml_score", rows, across, SMOOTHING_STEPS))
+    again = smoothed.select("r", "c", robust_01(smoothed, F.col("ml_score"), 0.02, 0.98).alias("ml_score_sm"))
+    return scored.join(again, ["r", "c"]).withColumnRenamed("spread", "uncertainty")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlode.functions.numeric import robust_01
 from gridlode.operators import fits
 from gridlode.plans.materialize import materialize
-from gridlode.queries import CELLS, FEATS, HASH, _rounded, query
+from gridlode.queries import CELLS, FEATS, HASH, SIDE, _robust_sql, _rounded, _scaled, query
 from gridlode.queries_models import _PRES, _cells, _presence
 from gridlode.sources import tables
 
@@ -144,3 +145,17 @@ def pruned_and_checked(spark, d):
     kept = [r["feature"] for r in fits.kept_features(forest.models(train), COLUMNS).where("kept").collect()]  # a name per feature
     lifts = fits.feature_set_lifts(cells, "cell_id", FOLDS, 5, forest, {"all": COLUMNS, "kept": sorted(kept)}, 0.1)
     return fits.ablation(lifts, "all", 500).withColumn("features", F.lit(", ".join(sorted(kept))))
+
+
+_MEMBERS = f"""cu AS (SELECT r * {SIDE} + c AS cell_id, r, c, q, p, d, t, (mq >= 50)::INT AS presence, r % 5 AS fold FROM cells), ev AS (SELECT cu.*, k AS fit FROM cu, range(5) AS x(k)),
+tr AS (SELECT * FROM ev WHERE fold <> fit), {_learnt_sql('sc', 'tr', 'ev', SMALL)}, mb AS (SELECT r, c, avg(score) AS mean, stddev_pop(score) AS s FROM sc GROUP BY r, c)"""
+
+
+@query(f"WITH {CELLS}, {_MEMBERS}, z AS {_robust_sql('s', 'mb', 0.02, 0.98)} SELECT r, c, round(mean, 6) AS mean, round({_scaled('s', 'z')}, 6) AS uncertainty FROM mb, z")
+def member_uncertainty(spark, d):
+    """Mean and spread, scaled by quantiles, of five members' scores, each learnt without a fifth of the rows."""
+    cells = tables.cells(spark, d).select("r", "c", *SMALL, (F.col("mq") >= 50).cast("int").alias("presence"), (F.col("r") % 5).alias("fold"))
+    every = fits.of_each(cells, 5)
+    scored = fits.Criterial(SMALL)(every.where(F.col("fold") != F.col("fit")), every)
+    spread = materialize(scored.groupBy("r", "c").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("s")))
+    return spread.select("r", "c", _rounded("mean").alias("mean"), _rounded(robust_01(spread, F.col("s"), 0.02, 0.98)).alias("uncertainty"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlode.functions import numeric
-from gridlode.operators import features, geometry, metrics, models, validation
+from gridlode.functions.numeric import quantiles
+from gridlode.operators import boosting, features, geometry, grid, metrics, models, one_class, terrain, validation
+from gridlode.plans.materialize import materialize
 from gridlode.queries import CELLS, DISTANCES, FEATS, HASH, SIDE, _criterial_sql, _rounded, query
 from gridlode.sources import tables
 
@@ -169,21 +171,44 @@ def pruned_features(spark, d):
     return validation.ensemble_importances([models.importances(models.forest(COLUMNS, trees=30, seed=k), g, COLUMNS) for k in (13, 21, 42)])
 
 
+#: What the forecast's model learns from.
+LEARNT = [*(f"prox_{k}" for k in DISTANCES), *(f"halo_{k}" for k in features.WIDE), "coincidence_score", "tect_only_penalty"]
+
+
 @query()
 def forecast(spark, d):
-    """The whole chain: layers, grid, distances, proximities, scores, display classes and the strongest zones."""
-    lines = tables.segments(spark, d)
-    cells = geometry.build_grid(geometry.box_edges(tables.boxes(spark, d)), 500.0).cache()
+    """The whole chain: layers, grid, distances, features, presence of dear occurrences, a trained model's map, prospectivity, classes and the strongest zones."""
+    lines, size = tables.segments(spark, d), 500
+    cells = materialize(geometry.build_grid(geometry.box_edges(tables.boxes(spark, d)), float(size)))
     layers = {k: lines.where(F.col("geom_id") % 5 == i) for i, k in enumerate(("paleo", "struct", "magm", "tect1", "tect2"))}
     wide = geometry.distance_to_polygons(cells, geometry.box_edges(tables.boxes(spark, d)), 1000.0, ["cell_id"]).withColumnRenamed("distance", "d_facies")
     for k, layer in layers.items():
         near = geometry.nearest_distance(cells.select("cell_id", "x", "y"), layer, 1000.0, ["cell_id"], half=250.0)
         wide = wide.join(near.select("cell_id", F.col("distance").alias(f"d_{k}")), "cell_id")
     found = {k: f"d_{k}" for k in DISTANCES}
-    rows, columns = SIDE, SIDE
+    rows, columns = terrain.shape(cells)
     g = features.interactions(features.halo_proximities(features.proximities(wide, found), found))
     g = features.smoothed_geo_score(features.taxonomy_score(g, found), rows, columns)
-    g = features.prospectivity(g, "geo_score_sm", rows, columns)
+    corner = cells.select(F.min(F.col("x") - size / 2 - F.col("c") * size), F.min(F.col("y") - size / 2 - F.col("r") * size)).first()
+    occurrences = tables.occurrences(spark, d)
+    dear = quantiles(occurrences, F.col("price"), [0.99])[0]
+    g = grid.presence(g, occurrences.where(F.col("price") >= dear), size, *map(int, corner))
+    g = models.train_map(g, "cell_id", LEARNT, rows, columns, rounds=2, trees=50, boosts=20)
+    g = features.prospectivity(g, "ml_score", rows, columns)
     zones = features.gold_zones(g, "prospectivity", "prox_magm", "coincidence_score", columns, 0.9)
     out = g.join(zones.select("r", "c", "rank"), ["r", "c"], "left")
-    return out.select("cell_id", "geo_score", "geo_score_sm", "prospectivity", "prognoz", numeric.classes(F.col("prospectivity")).alias("class"), "rank")
+    return out.select("cell_id", "presence", "geo_score", "geo_score_sm", "ml_score", "ml_score_sm", "uncertainty", "prospectivity", "prognoz", numeric.classes(F.col("prospectivity")).alias("class"), "rank")
+
+
+@query()
+def monotone_scores(spark, d):
+    """Held-out scores of boosted trees that may only rise with the first feature and fall with the second."""
+    g = tables.samples(spark, d)
+    return boosting.fit(g.where("block % 5 <> 0"), COLUMNS, {"f0": 1, "f1": -1}).score(g.where("block % 5 = 0")).select("cell_id", "score")
+
+
+@query()
+def one_class_scores(spark, d):
+    """How alike to presence all cells are, learnt from presence alone."""
+    g = tables.samples(spark, d)
+    return one_class.fit(g.where("presence = 1"), COLUMNS).score(g).select("cell_id", "score")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlode.functions import numeric
 from gridlode.operators import features, geometry, grid, points, terrain
 from gridlode.queries import _CENTRES, _INTERACTIONS, BOXES, CELLS, DISTANCES, OCC, RAST, SEGS, SIDE, _centres, _robust_sql, _rounded, _scaled, _smooth_sql, query
 from gridlode.sources import tables
@@ -199,18 +198,6 @@ def prospectivity(spark, d):
     return features.prospectivity(g, "score", SIDE, SIDE).select("r", "c", _rounded("prospectivity", 5).alias("prospectivity"), _rounded("prognoz", 5).alias("prognoz"))
 
 
-@query(
-    f"""WITH {CELLS}, mb AS (SELECT r, c, stddev_pop(((r * 31 + c * 17 + m * m * (r + 3 * c)) % 97) / 97.0) AS s FROM cells, range(8) AS x(m) GROUP BY r, c),
-z AS {_robust_sql('s', 'mb', 0.02, 0.98)} SELECT r, c, round({_scaled('s', 'z')}, 6) AS uncertainty FROM mb, z"""
-)
-def member_uncertainty(spark, d):
-    """Spread of eight ensemble members' scores, scaled by quantiles."""
-    g = tables.cells(spark, d).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    score = ((F.col("r") * 31 + F.col("c") * 17 + F.col("m") * F.col("m") * (F.col("r") + 3 * F.col("c"))) % 97) / 97.0
-    spread = g.groupBy("r", "c").agg(F.stddev_pop(score).alias("s"))
-    return spread.select("r", "c", _rounded(numeric.robust_01(spread, F.col("s"), 0.02, 0.98)).alias("uncertainty"))
-
-
 @query(
     f"""WITH RECURSIVE {CELLS}, {_INTERACTIONS}, sw AS (SELECT i2.*, {_scaled('core', 'zc')} AS coin FROM i2, zc),
 m AS (SELECT r, c, prox_struct * (0.5 + 0.5 * prox_magm + 0.5 * coin) AS w FROM sw WHERE prox_struct >= (SELECT quantile_cont(prox_struct, 0.85) FROM sw)),

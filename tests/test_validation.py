@@ -117,3 +117,21 @@ def test_the_whole_chain(spark):
 
     rows = __spark_entry__.queries()["forecast"](spark, SMALL).collect()
     assert rows and all(0 <= r.prospectivity <= 1 and 0 <= r["class"] <= 19 for r in rows) and any(r.rank for r in rows)
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("ml_score", "ml_score_sm", "uncertainty")) and sum(r.presence for r in rows) >= 5
+    mean = lambda k: sum(r.ml_score for r in rows if r.presence == k) / sum(r.presence == k for r in rows)
+    assert mean(1) > mean(0)
+
+
+def test_a_map_of_planted_presence(spark):
+    """Presence along one line: the model's map is high there, whatever else there is; with too few points it is even."""
+    from gridlode.operators import features, models
+
+    cells = spark.range(900).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / 30).alias("r"), (F.col("id") % 30).alias("c"))
+    cells = cells.withColumns({"near": F.exp(-F.abs(F.col("c") - 9.0) / 2), "noise": F.pmod(F.hash("cell_id"), F.lit(100)) / 100.0, "presence": ((F.col("c") == 9) & (F.col("r") % 2 == 0)).cast("int")})
+    out = models.train_map(cells, "cell_id", ["near", "noise"], 30, 30, background=300, rounds=1, trees=10, boosts=5)
+    out = features.prospectivity(out, "ml_score", 30, 30).toPandas()
+    assert len(out) == 900 and out[["ml_score", "ml_score_sm", "uncertainty", "prospectivity"]].apply(lambda s: s.between(0, 1).all()).all()
+    by = out.groupby("c")["prospectivity"].mean()
+    assert by.idxmax() in (8, 9, 10) and by[9] > by[20] + 0.5
+    even = models.train_map(cells.withColumn("presence", (F.col("cell_id") < 3).cast("int")), "cell_id", ["near"], 30, 30)
+    assert {(r.ml_score, r.ml_score_sm, r.uncertainty) for r in even.collect()} == {(0.5, 0.5, 0.0)}
