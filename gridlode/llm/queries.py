@@ -23,6 +23,7 @@ ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op10_url_filters": url_filters.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
