@@ -3,8 +3,8 @@
 Each page's containers are scored by the clean text they hold; the best one's path of tags
 and classes, numbers generalised, is the page's vote. Votes are counted per host and path,
 so a host's pages are never brought together, and every page is then extracted again at the
-path that won on its host. Where a page has no container there, or one that loses clean text of
-its own best, its own best is taken.
+path that won on its host, and what is clean elsewhere goes. Where a page has no container there, or one that
+holds less than DECIDING_SHARE both of the clean text usual on the host and of that in its own best, its own best is taken.
 
 The best container is widened to the ancestor that holds the clean text of its siblings; blocks
 beside it that are mostly links stay out. An element hides if a word of its class, id or role
@@ -67,6 +67,8 @@ ROOT_FAVOUR, HINT_FAVOUR, DEPTH_FAVOUR = 0.1, 1.5, 1.2
 STATES = {"no", "has", "with", "without", "closed", "enabled", "disabled"}
 #: A container widens for a clean block of so many characters, or for this share of its own clean text.
 RUNNING, ADDED_SHARE = 60, 0.1
+#: The winning path decides where it holds this share of what is usual there, or of the page's own best.
+DECIDING_SHARE = 0.5
 #: How much hides: words only, parts of words too, and attributes only.
 BY_WORDS, BY_PARTS, BY_ATTRIBUTES = range(3)
 #: As many winning paths of hosts are broadcast; more are joined by a shuffle.
@@ -286,8 +288,13 @@ def widened(best: Container, blocks: list[str], links: list[int]) -> Container:
     return chosen
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """The text at the path (a hash, or written out), or at the page's own best container."""
+def extract(html: str | None, path: str | None, usual: float | None = None) -> str:
+    """The text at the path (a hash, or written out), or at the page's own best container.
+
+    usual is the clean text that the host's pages hold at the path. Where it is known, the path decides on pages that
+    hold half of it there, or half of what their own best container holds; blocks elsewhere go, however clean. Where
+    it is not known, the path may add blocks but none of the page's own clean blocks go.
+    """
     path = path_of(path) if path and path.startswith("/") else path
     blocks, links, containers = read_page(html or "")
     best = scored(containers)
@@ -296,34 +303,46 @@ def extract(html: str | None, path: str | None) -> str:
     wide = widened(best, blocks, links)
     own = {i for i in range(wide.first, wide.last) if best.first <= i < best.last or _clean(blocks, links, i)}
     chosen = {i for c in containers if c.path == path for i in range(c.first, c.last) if best.first <= i < best.last or _clean(blocks, links, i)}
-    if any(_clean(blocks, links, i) and i not in chosen for i in own):
-        chosen = own
-    return " ".join(blocks[i] for i in sorted(chosen))
+    if usual is None:
+        keeps = not any(_clean(blocks, links, i) and i not in chosen for i in own)
+    else:
+        there = _clean_size(blocks, links, chosen)
+        keeps = there > 0 and there >= DECIDING_SHARE * min(usual, _clean_size(blocks, links, own))
+    return " ".join(blocks[i] for i in sorted(chosen if keeps else own))
+
+
+def _clean_size(blocks: list[str], links: list[int], of: set[int]) -> int:
+    return sum(len(blocks[i]) for i in of if _clean(blocks, links, i))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, str], list[int]] = {}
         for host, html in zip(column_of(batch, "host").to_pylist(), column_of(batch, "html").to_pylist(), strict=True):
             blocks, links, containers = read_page(html or "")
             best = scored(containers)
             if best is not None:
-                path = widened(best, blocks, links).path
-                counts[host, path] = counts.get((host, path), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "votes"])
+                wide = widened(best, blocks, links)
+                vote = counts.setdefault((host, wide.path), [0, 0])
+                vote[0] += 1
+                vote[1] += _clean_size(blocks, links, set(range(wide.first, wide.last)))
+        rows = [(*k, *v) for k, v in counts.items()]
+        kinds = [("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("chars", pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
 def winning_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """host and path: the path with most votes on the host, the first of equals."""
+    """host, path and usual: the path with most votes on the host, the first of equals, and the mean clean text of those who voted for it."""
     seen = pages.select(host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html"))
-    votes = seen.mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return written(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path")), "paths")
+    votes = seen.mapInArrow(_votes, "host string, path string, votes long, chars long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("chars").alias("chars"))
+    most = F.min_by(F.struct("path", (F.col("chars") / F.col("votes")).alias("usual")), F.struct(-F.col("votes"), "path"))
+    return written(votes.groupBy("host").agg(most.alias("won")).select("host", "won.path", "won.usual"), "paths")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The rows of pages with text and n_chars."""
     held = Held(pages, url=url_col, html=html_col)
-    paths = winning_paths(held.rows, held["url"], held["html"]).select("host", F.col("path").alias("winner"))
+    paths = winning_paths(held.rows, held["url"], held["html"]).select("host", F.col("path").alias("winner"), "usual")
     rows = held.rows.select("*", host_and_path(F.col(held["url"]))[0].alias("host"))
     if paths.count() <= MAX_BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(paths), "host", "left")
@@ -335,11 +354,11 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, html):
-                texts = [extract(h, p) for h, p in zip(column_of(piece, html).to_pylist(), column_of(piece, "winner").to_pylist(), strict=True)]
+                texts = [extract(h, p, u) for h, p, u in zip(*(column_of(piece, c).to_pylist() for c in (html, "winner", "usual")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
     schema = held.fields(T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
-    return held.given(rows.select(*columns, "winner").mapInArrow(run, schema), "text", "n_chars")
+    return held.given(rows.select(*columns, "winner", "usual").mapInArrow(run, schema), "text", "n_chars")
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:
