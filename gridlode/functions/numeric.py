@@ -105,3 +105,9 @@ def proximity(df: DataFrame, distance: Column, kind: str, share: float) -> Colum
 def classes(score: Column, n: int = 20) -> Column:
     """Equal classes of [0, 1] from 0 to n - 1; missing scores are class 0."""
     return F.coalesce(F.least(F.floor(score * n), F.lit(n - 1)), F.lit(0)).cast("int")
+
+
+def standardised(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Each column less its mean by its deviation over all rows; one that doesn't vary is 0. Missing values stay missing."""
+    got = df.agg(*[f(finite(F.col(c))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: (finite(F.col(c)) - got[f"m{i}"]) / (got[f"s{i}"] or 1.0) if got[f"m{i}"] is not None else finite(F.col(c)) for i, c in enumerate(columns)}

@@ -34,3 +34,15 @@ def strongest_zones(cells: DataFrame, strength: str, columns: int, least_cells:
     """The strongest zones by summed strength: zone, cells and strength. The number of zones is what is asked for."""
     zones = label_zones(cells, columns).groupBy("zone").agg(F.count(F.lit(1)).alias("cells"), F.sum(strength).alias("strength"))
     return zones.where(F.col("cells") >= least_cells).orderBy(F.round("strength", 6).desc(), F.col("zone").desc()).limit(most)
+
+
+def keep_large(cells: DataFrame, columns: int, least_cells: int) -> DataFrame:
+    """The cells of zones of so many cells at least, with zone and cells, the zone's size."""
+    zones = label_zones(cells, columns)
+    large = zones.groupBy("zone").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= least_cells)
+    return zones.join(large, "zone").select(*cells.columns, "zone", "cells")
+
+
+def zone_count(cells: DataFrame, columns: int) -> DataFrame:
+    """zones and cells: how many there are."""
+    return label_zones(cells, columns).agg(F.countDistinct("zone").alias("zones"), F.count(F.lit(1)).alias("cells"))

@@ -115,6 +115,12 @@ def blocks(cells: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
     return cells.withColumn("block", (F.floor((x - lo["x"]) / size) * (most + 1) + F.floor((y - lo["y"]) / size)).cast("long"))
 
 
+def coarse_support(cells: DataFrame, columns: list[str], label: str, x: Column, y: Column) -> DataFrame:
+    """block, the means of all columns (missing values left out), whether the block has presence, and the mean place of its cells."""
+    means = [F.avg(c).alias(c) for c in columns]
+    return cells.groupBy("block").agg(*means, F.max(label).alias(label), F.avg(x).alias("x"), F.avg(y).alias("y"))
+
+
 def cells_with_points(points: DataFrame, size: int, x0: int = 0, y0: int = 0) -> DataFrame:
     """points with the cell (r, c) that they lie strictly within; those on an edge are left out."""
     dx, dy = F.col("x") - x0, F.col("y") - y0

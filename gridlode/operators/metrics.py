@@ -130,3 +130,27 @@ def rank_within(scored: DataFrame, keys: list[str], score: str, key: str) -> Dat
     at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(score, key)) - 1
     ranked = ranged.withColumn("_at", at).join(before, [*keys, "_part"])
     return ranked.select(*scored.columns, ((F.col("_at") + F.col("_before")) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("rank01"))
+
+
+def top_mask(scored: DataFrame, score: str, share: float) -> Column:
+    """Whether a score reaches the quantile 1 - share of all; missing scores never do."""
+    limit = quantiles(scored, F.col(score), [1.0 - share])[0]
+    return F.coalesce(F.col(score) >= limit, F.lit(False)) if limit is not None else F.lit(False)
+
+
+def scores_at(points: DataFrame, scored: DataFrame, keys: list[str], score: str, share: float) -> DataFrame:
+    """points, all of them, with score and hit: whether the score of their cell is among the top share of all cells."""
+    marked = scored.select(*keys, score, top_mask(scored, score, share).alias("hit"))
+    return points.join(marked, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def point_coverage(points: DataFrame, scored: DataFrame, keys: list[str], score: str, share: float = 0.15) -> DataFrame:
+    """points, hits and coverage: the share of points in the top share of all cells, null without points."""
+    found = scores_at(points, scored, keys, score, share).agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"))
+    return found.withColumn("coverage", F.try_divide("hits", "points"))
+
+
+def with_enough(rows: DataFrame, keys: list[str], least_rows: int = 30, least_presence: int = 5, label: str = "presence") -> DataFrame:
+    """Only the groups with so many rows and so much presence; both are counted in one pass."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label)).alias("_p"))
+    return rows.join(sizes.where((F.col("_n") >= least_rows) & (F.col("_p") >= least_presence)).select(*keys), keys, "left_semi")

@@ -167,6 +167,11 @@ def same_projection(named: dict[str, str | None]) -> list[str]:
     return none + [f"{k}: differs from {next(iter(known))}" for k, v in known.items() if sorted(v) != sorted(first)]
 
 
+def joined(rows: DataFrame, names: list[str], name: str) -> DataFrame:
+    """The rows of several layers as one layer of that name, after all others."""
+    return rows.where(~F.col("layer").isin(names)).unionByName(rows.where(F.col("layer").isin(names)).withColumn("layer", F.lit(name)))
+
+
 def point_layers(rows: DataFrame, base: list[str]) -> DataFrame:
     """Points of all layers but the base ones; source_layer tells where each is from."""
     return rows.where((F.col("kind") == "point") & ~F.col("layer").isin(base)).withColumnRenamed("layer", "source_layer")
