@@ -17,6 +17,8 @@ number of tokens, not on how the input is split: every task has about TASK_TOKEN
 input's partitions are smaller than that. A task starts at the average of the round before, and
 every vector is averaged by how often each task met it. Only one set of parameters comes to the driver.
 
+Texts are read once into units, written as a table: four bytes a token. The rounds and the scores read that.
+
 Defined cases: a null or empty text is its end alone; a very long text is scored whole, in pieces
 of bounded size; rows without an id are neither held out nor trained on; rows that repeat count
 each; words of equal counts are in the order of their hashes; without training texts every word is
@@ -53,6 +55,7 @@ HELD_WORDS = 1_000_000
 FAN_IN = 16
 END = -1
 LETTERS = 3
+KEPT = ("id", "row", "n_tokens", "n_known", "base")
 
 
 def fold(doc_id: Column) -> Column:
@@ -143,12 +146,12 @@ class Vocabulary:
         return at, self.word[at] == words
 
     def look_up(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit and count of each word, given its ending, and whether its count is at hand."""
+        """Unit of each word, given its ending, where it stands, and whether it does."""
         if not len(self.word):
             return self.ending[ends], np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         at, known = self.places(words)
-        unit = np.where(known, self.unit[at], -1)
-        return np.where(unit < 0, self.ending[ends], unit), np.where(known, self.n[at], 0), known
+        unit = np.where(known, self.unit.take(at), -1)
+        return np.where(unit < 0, self.ending.take(ends), unit), at, known
 
 
 def least_count(sizes: dict[int, int], most: int, least: int) -> int:
@@ -218,51 +221,62 @@ class Model:
 
 
 class Contexts:
-    """Units before the tokens lo:hi. A token is the context of the next ones, so its vector is read, and moved, once."""
+    """Units before the tokens lo:hi. A token is the context of the next ones, so its vector is read, and moved, once. Vectors are columns."""
 
     def __init__(self, model: Model, unit: np.ndarray, place: np.ndarray, lo: int, hi: int) -> None:
         self.model, self.n = model, hi - lo
         start = len(model.context) - 1
         self.unit = np.concatenate([np.full(max(0, CONTEXT - lo), start), unit[max(0, lo - CONTEXT) : hi]])
-        self.has = [(place[lo:hi] >= k)[:, None] for k in range(1, CONTEXT + 1)]
-        rows, none = model.context.take(self.unit, axis=0)[:, :WIDTH], model.context[start, :WIDTH]
+        self.lacks = [np.flatnonzero(place[lo:hi] < k) for k in range(1, CONTEXT + 1)]
+        columns, none = columns_of(model.context, self.unit)[:WIDTH], model.context[start, :WIDTH, None]
         #: Vectors of the units k places before, from k = 1 on.
-        self.vectors = [np.where(self.has[k - 1], rows[CONTEXT - k : CONTEXT - k + self.n], none) for k in range(1, CONTEXT + 1)]
+        self.vectors = [columns[:, CONTEXT - k : CONTEXT - k + self.n].copy() for k in range(1, CONTEXT + 1)]
+        for vectors, lacks in zip(self.vectors, self.lacks, strict=True):
+            vectors[:, lacks] = none
 
     def sum(self) -> np.ndarray:
-        out = self.vectors[0] * self.model.distance[0, :WIDTH]
+        """Weighted sums of the vectors, and a last row of ones, by which a bias counts as one more product."""
+        out = np.ones((WIDTH + 1, self.n), np.float32)
+        np.multiply(self.vectors[0], self.model.distance[0, :WIDTH, None], out=out[:WIDTH])
         for k in range(2, CONTEXT + 1):
-            out += self.vectors[k - 1] * self.model.distance[k - 1, :WIDTH]
+            out[:WIDTH] += self.vectors[k - 1] * self.model.distance[k - 1, :WIDTH, None]
         return out
 
     def gradients(self, of_sum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units and gradients of their vectors, and gradients of the distances."""
-        out = np.zeros((len(self.unit) + 1, WIDTH + 1), np.float32)
-        distances = np.zeros((CONTEXT, WIDTH + 1), np.float32)
+        out = np.zeros((WIDTH + 1, len(self.unit) + 1), np.float32)
+        distances = np.zeros((WIDTH + 1, CONTEXT), np.float32)
         for k in range(1, CONTEXT + 1):
-            weighed = of_sum * self.model.distance[k - 1, :WIDTH]
-            inside = weighed * self.has[k - 1]
-            out[CONTEXT - k : CONTEXT - k + self.n, :WIDTH] += inside
-            out[-1, :WIDTH] += weighed.sum(axis=0) - inside.sum(axis=0)
-            distances[k - 1, :WIDTH] = np.einsum("bw,bw->w", of_sum, self.vectors[k - 1])
+            weighed = of_sum * self.model.distance[k - 1, :WIDTH, None]
+            lacks = self.lacks[k - 1]
+            out[:WIDTH, -1] += weighed[:, lacks].sum(axis=1)
+            weighed[:, lacks] = 0
+            out[:WIDTH, CONTEXT - k : CONTEXT - k + self.n] += weighed
+            distances[:WIDTH, k - 1] = np.einsum("wb,wb->w", of_sum, self.vectors[k - 1])
         return np.append(self.unit, len(self.model.context) - 1), out, distances
 
 
-def read_tokens(column: pa.Array, of: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Row, word, unit, count, whether the count is at hand, and place in its text, of every token."""
-    words = hash_words(column)
-    rows, n = len(column), words.count
-    ends = np.cumsum(n + 1) - 1
-    size = int(n.sum()) + rows
-    inner = np.ones(size, bool)
-    inner[ends] = False
-    word, ending = np.full(size, END, dtype=np.int64), np.zeros(size, np.int64)
-    word[inner], ending[inner] = as_long(words.hash), endings(words)
-    row = np.repeat(np.arange(rows), n + 1)
-    unit, count, known = of.look_up(word, ending)
-    unit[ends] = of.end
-    place = np.arange(size) - np.repeat(ends - n, n + 1)
-    return row, word, unit, count, known, place
+def columns_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows at, without the sums of squares, as columns: steps over many tokens then run along memory."""
+    return np.ascontiguousarray(table.take(at, axis=0).T)[: WIDTH + 1]
+
+
+def read_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit and place in its text of every token, and the tokens of each text, from a column of units."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    unit = np.frombuffer(data, np.int32)[offsets[0] : offsets[-1]]
+    n = np.diff(offsets)
+    return unit, np.arange(len(unit), dtype=np.int32) - np.repeat(offsets[:-1] - offsets[0], n), n
+
+
+def chance(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), in the place of z."""
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 class Trainer:
@@ -277,52 +291,69 @@ class Trainer:
         self.log_within = np.log(NOISE * of.prior / self.in_class[self.kind_of]).astype(np.float32)
         self.log_class = np.log(CLASS_NOISE * self.in_class).astype(np.float32)
         self.alone = np.diff(of.first) == 1
+        self.any_alone = bool(self.alone.any())
+        self.low = self.cumulated.take(of.first[:-1])
+        #: Room for the place that each row has in a step.
+        self.place = {name: np.zeros(len(rows), np.int64) for name, rows in model.rows.items()}
 
     def move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
-        """One step of the rows at; gradient holds vectors and biases, rows that repeat are summed."""
-        order = np.argsort(at.astype(np.int32))
-        at = at[order]
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        rows = at[cut]
-        total = np.add.reduceat(gradient.take(order, axis=0), cut, axis=0)
+        """One step of the rows at; gradient's columns hold vectors and biases, rows that repeat are summed."""
+        place = self.place[name]
+        place[at] = np.arange(len(at))
+        at_first = place.take(at)  # one place of all that a row has
+        times = np.bincount(at_first, minlength=len(at))
+        used = np.flatnonzero(times)
+        rows = at.take(used)
+        total = np.empty((WIDTH + 1, len(used)), np.float32)
+        for w in range(WIDTH + 1):
+            total[w] = np.bincount(at_first, gradient[w], len(at)).take(used)
         table = self.model.rows[name]
         moved = table.take(rows, axis=0)
-        moved[:, -1] += np.einsum("rw,rw->r", total, total) / (WIDTH + 1)
-        total *= (RATE / np.sqrt(moved[:, -1]))[:, None]
-        moved[:, :-1] -= total
+        squares = moved[:, -1] + np.einsum("wr,wr->r", total, total) / (WIDTH + 1)
+        total *= RATE / np.sqrt(squares)
+        moved[:, :-1] -= total.T
+        moved[:, -1] = squares
         table[rows] = moved
-        self.met[name][rows] += np.diff(np.append(cut, len(at)))
+        self.met[name][rows] += times.take(used)
 
     def step(self, units: np.ndarray, place: np.ndarray, lo: int, hi: int) -> None:
         """One step over the tokens lo:hi."""
         model, unit = self.model, units[lo:hi]
-        kind = self.kind_of[unit]
+        kind = self.kind_of.take(unit)
         contexts = model.contexts(units, place, lo, hi)
         h = contexts.sum()
-        h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias counts as one more column
         drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(CLASS_NOISE), side="right") - 1, self.of.units - 1)
         noise = self.kind_of[drawn]
-        q, qn = model.kind.take(kind, axis=0)[:, : WIDTH + 1], model.kind.take(noise, axis=0)[:, : WIDTH + 1]
-        sure = -1.0 / (1.0 + np.exp(np.clip(np.einsum("bw,bw->b", h1, q) - self.log_class[kind], -30, 30)))
-        other = 1.0 / (1.0 + np.exp(np.clip(self.log_class[noise] - h1 @ qn.T, -30, 30)))
-        gh = sure[:, None] * q[:, :WIDTH] + other @ qn[:, :WIDTH]
-        kinds = np.concatenate([kind, noise]), np.concatenate([sure[:, None] * h1, other.T @ h1])
-        several = np.flatnonzero(~self.alone[kind])
-        u, k, hs = unit[several], kind[several], h1[several]
-        first, last = self.of.first[k][:, None], self.of.first[k + 1][:, None]
-        low, high = self.cumulated[first], self.cumulated[last]
-        drawn = np.searchsorted(self.cumulated, low + (high - low) * self.random.random((len(k), NOISE)), side="right") - 1
-        drawn = np.clip(drawn, first, last - 1)
-        q, qn = model.target.take(u, axis=0)[:, : WIDTH + 1], model.target.take(drawn, axis=0)[:, :, : WIDTH + 1]
-        sure = -1.0 / (1.0 + np.exp(np.clip(np.einsum("bw,bw->b", hs, q) - self.log_within[u], -30, 30)))
-        other = 1.0 / (1.0 + np.exp(np.clip(self.log_within[drawn] - np.einsum("bw,bnw->bn", hs, qn), -30, 30)))
-        gh[several] += sure[:, None] * q[:, :WIDTH] + np.einsum("bn,bnw->bw", other, qn[:, :, :WIDTH])
-        targets = np.concatenate([u, drawn.ravel()]), np.concatenate([sure[:, None] * hs, (other[:, :, None] * hs[:, None, :]).reshape(-1, WIDTH + 1)])
-        at, rows, distances = contexts.gradients(gh)
+        q, qn = columns_of(model.kind, kind), columns_of(model.kind, noise)
+        sure = -chance(self.log_class.take(kind) - np.einsum("wb,wb->b", h, q))
+        less = qn.copy()
+        less[WIDTH] -= self.log_class[noise]
+        other = chance(less.T @ h)
+        gh = sure * q
+        gh += qn @ other
+        kinds = np.concatenate([kind, noise]), np.concatenate([sure * h, h @ other.T], axis=1)
+        several = slice(None) if not self.any_alone else np.flatnonzero(~self.alone[kind])
+        u, k, hs = unit[several], kind[several], h[:, several]
+        low, size = self.low.take(k), self.in_class.take(k)
+        moves, at_moves = [u], []
+        q = columns_of(model.target, u)
+        sure = -chance(self.log_within.take(u) - np.einsum("wb,wb->b", hs, q))
+        more = sure * q
+        at_moves.append(sure * hs)
+        for _ in range(NOISE):
+            drawn = np.searchsorted(self.cumulated, low + size * self.random.random(len(k)), side="right") - 1
+            drawn = np.clip(drawn, self.of.first.take(k), self.of.first.take(k + 1) - 1)
+            qn = columns_of(model.target, drawn)
+            other = chance(np.einsum("wb,wb->b", hs, qn) - self.log_within.take(drawn))
+            more += other * qn
+            moves.append(drawn)
+            at_moves.append(other * hs)
+        gh[:, several] += more
+        at, columns, distances = contexts.gradients(gh[:WIDTH])
         self.move("kind", *kinds)
-        if len(several):
-            self.move("target", *targets)
-        self.move("context", at, rows)
+        if len(u):
+            self.move("target", np.concatenate(moves), np.concatenate(at_moves, axis=1))
+        self.move("context", at, columns)
         self.move("distance", np.arange(CONTEXT), distances / len(unit))
 
 
@@ -349,8 +380,8 @@ def _train(of: Vocabulary, tables, round_: int):
         trainer = Trainer(of, Model({n: t.copy() for n, t in tables.items()}), round_)
         seen = False
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                _, _, unit, _, _, place = read_tokens(column_of(piece, "text"), of)
+            for piece in pieces(batch, "units"):
+                unit, place, _ = read_units(column_of(piece, "units"))
                 for lo in range(0, len(unit), BATCH):
                     trainer.step(unit, place, lo, min(len(unit), lo + BATCH))
                     seen = True
@@ -372,13 +403,13 @@ def _average(shapes: dict[str, tuple[int, int]]):
     return run
 
 
-def train(texts: DataFrame, of: Vocabulary) -> Model:
-    """One model of all texts."""
+def train(tokens: DataFrame, of: Vocabulary) -> Model:
+    """One model of all texts, given by their units."""
     schema = "name string, at binary, met binary, rows binary"
     model = Model.start(of)
     tasks = max(1, -(-of.tokens // TASK_TOKENS))
     for round_ in range(ROUNDS):
-        made = written(texts.select("text").coalesce(tasks).mapInArrow(_train(of, model.rows, round_), schema), "models")
+        made = written(tokens.select("units").coalesce(tasks).mapInArrow(_train(of, model.rows, round_), schema), "models")
         left = made.count() // len(model.rows)
         shapes = {n: t.shape for n, t in model.rows.items()}
         while left > 1:
@@ -408,7 +439,7 @@ def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarra
     for lo in range(0, len(unit), CHUNK):
         hi = min(len(unit), lo + CHUNK)
         u, kind = unit[lo:hi], kind_of[unit[lo:hi]]
-        h = np.concatenate([model.contexts(unit, place, lo, hi).sum(), np.ones((hi - lo, 1), np.float32)], axis=1)
+        h = np.ascontiguousarray(model.contexts(unit, place, lo, hi).sum().T)
         got = np.concatenate([chosen(h[a : a + PART], kinds, kind[a : a + PART], longest_kind) for a in range(0, hi - lo, PART)])
         order = np.argsort(kind, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
@@ -419,43 +450,71 @@ def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarra
     return out
 
 
-def _score(of: Vocabulary, tables):
+def _read(of: Vocabulary):
+    """Texts as their units, with all parts of the scores that don't depend on the model, and the words whose counts aren't at hand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(tables)
-        log_mass = np.log10(of.mass)
+        log_mass, log_count = np.log10(of.mass), np.log10(of.n + 0.5)
         own = np.zeros(of.units, bool)
         own[of.unit[of.unit >= 0]] = True
         own[of.end] = True
+        at_end = np.flatnonzero(of.word == END)
+        end_score = log_count[at_end[0]] if len(at_end) else np.log10(0.5)  # without an end nothing was trained on
         for batch in batches:
             for piece in pieces(batch, "text"):
-                rows = piece.num_rows
-                row, word, unit, count, known, place = read_tokens(column_of(piece, "text"), of)
-                summed = lambda at, values: np.bincount(row[at], values[at], rows).astype(np.float64)  # noqa: E731, B023  of nothing, bincount gives integers
-                log_count = np.log10(count + 0.5)
-                shared = ~own[unit]
-                score = summed(np.ones(len(row), bool), log_chances(model, of, unit, place) / np.log(10.0)) + summed(shared & known, log_count) - summed(shared, log_mass[unit])
-                rare = np.flatnonzero(~known & (word != END))
+                words = hash_words(column_of(piece, "text"))
+                word, row, rows = as_long(words.hash), words.row, piece.num_rows
+                unit, at, known = of.look_up(word, endings(words))
+                counted = log_count.take(at) * known if len(log_count) else np.zeros(len(word))
+                shared = ~own.take(unit)
+                fixed = np.where(shared, counted - log_mass.take(unit), 0.0)
+                units = np.full(len(word) + rows, of.end, np.int32)
+                units[np.arange(len(word)) + row] = unit
+                offsets = pa.py_buffer((4 * (words.first + np.arange(rows + 1))).astype(np.int32))
+                rare = np.flatnonzero(~known)
                 rare = rare[np.lexsort((word[rare], row[rare]))]
                 first = np.flatnonzero(np.concatenate([[True], (word[rare][1:] != word[rare][:-1]) | (row[rare][1:] != row[rare][:-1])])) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.concatenate([first, [len(rare)]]))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[rare[first]], minlength=rows))]).astype(np.int32))
-                words = pa.StructArray.from_arrays([pa.array(word[rare[first]]), pa.array(times.astype(np.int32))], names=["word", "times"])
-                ends = np.flatnonzero((word == END) & ~known)  # nothing was trained on
+                lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[rare[first]], minlength=rows))]).astype(np.int32))
+                struct = pa.StructArray.from_arrays([pa.array(word[rare[first]]), pa.array(times.astype(np.int32))], names=["word", "times"])
+                summed = lambda values: np.bincount(row, values, rows).astype(np.float64)  # noqa: E731, B023  of nothing, bincount gives integers
                 yield pa.RecordBatch.from_arrays(
                     [
                         column_of(piece, "id"),
-                        pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                        pa.array(np.bincount(row[known], minlength=rows).astype(np.int64)),
-                        pa.array(summed(known, log_count) + np.bincount(row[ends], minlength=rows) * np.log10(0.5)),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(offsets, words),
+                        pa.array(words.count + 1),
+                        pa.array(np.bincount(row[known], minlength=rows).astype(np.int64) + len(at_end)),
+                        pa.array(summed(counted) + end_score),
+                        pa.array(summed(fixed)),
+                        pa.ListArray.from_arrays(lists, struct),
+                        pa.Array.from_buffers(pa.binary(), rows, [None, offsets, pa.py_buffer(units)]),
                     ],
-                    names=["id", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["id", "n_tokens", "n_known", "base", "fixed", "rare", "units"],
                 )
 
     return run
 
 
+def read(rows: DataFrame, of: Vocabulary) -> DataFrame:
+    """rows: id and text. Their units, counts and fixed parts of the scores."""
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_read(of), f"id {kind}, n_tokens long, n_known long, base double, fixed double, rare array<struct<word:long,times:int>>, units binary")
+
+
+def _score(of: Vocabulary, tables):
+    """Adds the logarithms of the units' probabilities to the fixed part of the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(tables)
+        for batch in batches:
+            for piece in pieces(batch, "units"):
+                unit, place, n = read_units(column_of(piece, "units"))
+                logs = np.bincount(np.repeat(np.arange(len(n)), n), log_chances(model, of, unit, place), len(n))
+                score = column_of(piece, "fixed").to_numpy() + logs / np.log(10.0)
+                yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in KEPT), pa.array(score)], names=[*KEPT, "score"])
+
+    return run
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     # a task has one core; waiting threads of the matrix products would only take others'
@@ -465,15 +524,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = texts.mapInArrow(_count, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
     counts = written(counts, "counts")
     of = vocabulary(counts)
-    model = train(texts, of)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,times:int>>"
-    scored = written(rows.mapInArrow(_score(of, model.rows), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
+    tokens = written(read(rows, of).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    model = train(tokens.where(fold(F.col("id")) != HELD_OUT), of)
+    scored = written(tokens.select(*KEPT, "fixed", "units").mapInArrow(_score(of, model.rows), f"id {kind}, row long, n_tokens long, n_known long, base double, score double"), "scored")
+    rare = tokens.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     looked_up = rare.join(counts, "word", "left")
     known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
     more = looked_up.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("more"), F.sum(known).alias("more_known"))
-    out = scored.drop("rare").join(more, "row", "left").na.fill(0, ["more", "more_known"])
+    out = scored.join(more, "row", "left").na.fill(0, ["more", "more_known"])
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)).alias("held_out"),

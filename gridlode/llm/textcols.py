@@ -73,12 +73,12 @@ class Words:
 
 
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; null is empty."""
+    """Bytes and row offsets of a column of strings or bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     buf = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -154,10 +154,3 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 def as_long(values: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed number, which is what Spark has."""
     return values.view(np.int64) if values.dtype == U64 else values.astype(np.int64)
-
-
-def binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One binary per row out of concatenated values."""
-    width = values.dtype.itemsize
-    offsets = np.concatenate([[0], np.cumsum(counts * width)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])

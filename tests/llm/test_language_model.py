@@ -9,13 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlode.llm import language_model as lm
+from gridlode.llm.textcols import as_long, hash_words
 
 
 def trained(spark, texts):
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = frame.mapInArrow(lm._count, "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
     of = lm.vocabulary(counts)
-    return of, lm.train(frame, of)
+    return of, lm.train(lm.read(frame.select(F.lit(0).alias("id"), "text"), of), of)
 
 
 def prose(seed, n):
@@ -44,15 +45,22 @@ def test_score_by_its_definition(spark):
     got = lm.log_chances(model, of, after_three, np.tile([0, 1], of.units))[1::2]
     assert np.allclose(got, want, atol=1e-3)
     # a text's score is the sum over its tokens, rare words by their share of their ending's unit
-    row, word, unit, count, known, ahead = lm.read_tokens(pa.array([texts[0] + " neverseen", ""]), of)
+    texts = [texts[0] + " neverseen", ""]
+    of_text = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["id", "text"])
+    read = next(lm._read(of)(iter([of_text])))
+    unit, ahead, n = lm.read_units(read.column(6))
+    assert ahead.tolist() == [k for t in texts for k in range(len(t.split()) + 1)] and n.tolist() == [len(t.split()) + 1 for t in texts]
+    words = [w for t in texts for w in [*t.split(), None]]
+    hashes = [lm.END if w is None else int(as_long(hash_words(pa.array([w])).hash)[0]) for w in words]
+    counts = dict(zip(of.word.tolist(), of.n.tolist(), strict=True))
     own = set(of.unit[of.unit >= 0].tolist()) | {of.end}
     chances = lm.log_chances(model, of, unit, ahead) / log(10)
-    total = [0.0, 0.0]
+    total, row = [0.0, 0.0], np.repeat([0, 1], n)
     for i in range(len(row)):
-        total[row[i]] += chances[i] + (0 if int(unit[i]) in own else log10(count[i] + 0.5) - log10(of.mass[unit[i]]))
-    batch = next(lm._score(of, model.rows)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([texts[0] + " neverseen", ""])], names=["id", "text"])])))
-    rare = batch.column(5).to_pylist()
-    assert [s + len(r) * log10(0.5) for s, r in zip(batch.column(4).to_pylist(), rare, strict=True)] == pytest.approx(total, abs=1e-4)
+        total[row[i]] += chances[i] + (0 if int(unit[i]) in own else log10(counts.get(hashes[i], 0) + 0.5) - log10(of.mass[unit[i]]))
+    batch = next(lm._score(of, model.rows)(iter([read.append_column("row", pa.array([0, 1]))])))
+    rare = read.column(5).to_pylist()
+    assert [s + len(r) * log10(0.5) for s, r in zip(batch.column(5).to_pylist(), rare, strict=True)] == pytest.approx(total, abs=1e-4)
 
 
 def test_known_and_unknown_words_sum_to_one(spark):
