@@ -96,3 +96,13 @@ def test_training_needs_positives(spark):
     got = models.train_score(cells, "cell_id", ["f0"], rounds=1, trees=5, boosts=3).collect()
     assert len(got) == 60 and all(0 <= r.ml_score <= 1 for r in got)
     assert models.importances(models.forest(["f0"], trees=3), cells, ["f0"]).first()["importance"] == pytest.approx(1.0)
+
+
+def test_training_without_background_is_even(spark):
+    """On a grid that occurrences fill there is nothing to tell presence from; a single cell of background is enough to learn."""
+    cells = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") / 40).alias("f0"), F.lit(1).alias("presence"))
+    full = models.train_score(cells, "cell_id", ["f0"]).collect()
+    assert len(full) == 40 and {(r.ml_score, r.spread) for r in full} == {(0.5, 0.0)}
+    one = cells.withColumn("presence", (F.col("cell_id") > 0).cast("int"))
+    got = models.train_score(one, "cell_id", ["f0"], rounds=1, share=0.3, trees=3, boosts=2).collect()
+    assert len(got) == 40 and all(0 <= r.ml_score <= 1 for r in got)
