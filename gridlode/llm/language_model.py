@@ -42,11 +42,13 @@ FOLDS, HELD_OUT = 5, 1
 #: Words with own units, endings that rarer words share, and counts that are broadcast.
 LEAST_COUNT, OWN_UNITS, ENDINGS, HEAD = 8, 49_152, 4096, 262_144
 #: Units of a class at most, and classes that would have like mass.
-CLASS_UNITS, CLASSES = 512, 192
+CLASS_UNITS, CLASSES = 512, 128
 WIDTH, CONTEXT = 16, 3
-ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 2048, 1, 64, 0.15, 17
+ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 8192, 1, 64, 0.2, 17
+#: Tokens of a step that share drawn classes.
+NOISE_TOKENS = 2048
 #: Tokens scored at a time, and those of them whose classes are.
-CHUNK, PART = 65_536, 2048
+CHUNK, PART = 65_536, 512
 #: Logits are cut off here, so their exponentials stay finite; a part of the model, normalised like all else.
 MOST_LOGIT = 80.0
 #: Distinct words that a task holds before it passes their counts on.
@@ -270,15 +272,30 @@ def read_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unit, np.arange(len(unit), dtype=np.int32) - np.repeat(offsets[:-1] - offsets[0], n), n
 
 
-def chance(z: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-z)), in the place of z."""
+def chance_against(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(z)), in the place of z."""
     np.clip(z, -30, 30, out=z)
-    np.negative(z, out=z)
     np.exp(z, out=z)
     z += 1
     return np.reciprocal(z, out=z)
 
 
+def aliases(of: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's tables: a unit drawn evenly from its class stays with its chance of the first, else it becomes that of the second."""
+    stay, other = np.ones(of.units), np.arange(of.units)
+    for a, b in zip(of.first[:-1].tolist(), of.first[1:].tolist(), strict=True):
+        mass = of.prior[a:b] * ((b - a) / of.prior[a:b].sum())
+        less, more = np.flatnonzero(mass < 1).tolist(), np.flatnonzero(mass >= 1).tolist()
+        mass = mass.tolist()
+        while less and more:
+            lack, give = less.pop(), more[-1]
+            stay[a + lack], other[a + lack] = mass[lack], a + give
+            mass[give] -= 1 - mass[lack]
+            if mass[give] < 1:
+                less.append(more.pop())
+    return stay, other
+
+
 class Trainer:
     """Steps of one task from given parameters; every row that it meets is counted."""
 
@@ -286,35 +303,59 @@ class Trainer:
         self.of, self.model, self.random = of, model, np.random.default_rng([SEED, round_])
         self.met = {name: np.zeros(len(rows), np.float32) for name, rows in model.rows.items()}
         self.kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
-        self.cumulated = np.concatenate([[0.0], np.cumsum(of.prior)])
         self.in_class = np.add.reduceat(of.prior, of.first[:-1])
+        self.below = np.cumsum(self.in_class)[:-1]
         self.log_within = np.log(NOISE * of.prior / self.in_class[self.kind_of]).astype(np.float32)
         self.log_class = np.log(CLASS_NOISE * self.in_class).astype(np.float32)
         self.alone = np.diff(of.first) == 1
         self.any_alone = bool(self.alone.any())
-        self.low = self.cumulated.take(of.first[:-1])
-        #: Room for the place that each row has in a step.
+        self.size = np.diff(of.first)
+        self.stay, self.alias = aliases(of)
+        #: Room for the place that each row has in a step, and the tables with a row as one value, which is written at once.
         self.place = {name: np.zeros(len(rows), np.int64) for name, rows in model.rows.items()}
+        self.whole = {name: rows.view(f"V{rows.itemsize * rows.shape[1]}")[:, 0] for name, rows in model.rows.items()}
 
     def move(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
         """One step of the rows at; gradient's columns hold vectors and biases, rows that repeat are summed."""
-        place = self.place[name]
-        place[at] = np.arange(len(at))
-        at_first = place.take(at)  # one place of all that a row has
-        times = np.bincount(at_first, minlength=len(at))
-        used = np.flatnonzero(times)
-        rows = at.take(used)
-        total = np.empty((WIDTH + 1, len(used)), np.float32)
+        times = np.bincount(at, minlength=len(self.place[name]))
+        rows = np.flatnonzero(times)
+        self.place[name][rows] = np.arange(len(rows))
+        at = self.place[name].take(at)
+        total = np.empty((WIDTH + 1, len(rows)), np.float32)
         for w in range(WIDTH + 1):
-            total[w] = np.bincount(at_first, gradient[w], len(at)).take(used)
-        table = self.model.rows[name]
-        moved = table.take(rows, axis=0)
+            total[w] = np.bincount(at, gradient[w], len(rows))
+        self.move_once(name, rows, total, times.take(rows))
+
+    def move_once(self, name: str, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
+        """One step of rows that differ, met so many times."""
+        moved = self.model.rows[name].take(rows, axis=0)
         squares = moved[:, -1] + np.einsum("wr,wr->r", total, total) / (WIDTH + 1)
         total *= RATE / np.sqrt(squares)
         moved[:, :-1] -= total.T
         moved[:, -1] = squares
-        table[rows] = moved
-        self.met[name][rows] += times.take(used)
+        self.whole[name][rows] = moved.view(self.whole[name].dtype)[:, 0]
+        self.met[name][rows] += times
+
+    def class_noise(self, h: np.ndarray, of_h: np.ndarray, of_kinds: np.ndarray, times: np.ndarray) -> None:
+        """Adds the gradients of drawn classes, which NOISE_TOKENS tokens share; a class drawn several times is worked out once."""
+        parts, kinds = -(-h.shape[1] // NOISE_TOKENS), len(self.size)
+        drawn = np.searchsorted(self.below, self.random.random((parts, CLASS_NOISE)), side="right") + kinds * np.arange(parts)[:, None]
+        for part, often in enumerate(np.bincount(drawn.ravel(), minlength=parts * kinds).reshape(parts, kinds)):
+            at, noise = slice(part * NOISE_TOKENS, (part + 1) * NOISE_TOKENS), np.flatnonzero(often)
+            q, n = columns_of(self.model.kind, noise), often[noise].astype(np.float32)
+            less = -q
+            less[WIDTH] += self.log_class[noise]
+            other = chance_against(less.T @ h[:, at])
+            of_h[:, at] += (q * n) @ other
+            of_kinds[:, noise] += (h[:, at] @ other.T) * n
+            times += often
+
+    def noise_within(self, kind: np.ndarray) -> np.ndarray:
+        """A unit of each class, by mass."""
+        at = self.random.random(len(kind)) * self.size.take(kind)
+        whole = at.astype(np.int64)
+        drawn = self.of.first.take(kind) + whole
+        return np.where(at - whole < self.stay.take(drawn), drawn, self.alias.take(drawn))
 
     def step(self, units: np.ndarray, place: np.ndarray, lo: int, hi: int) -> None:
         """One step over the tokens lo:hi."""
@@ -322,39 +363,34 @@ class Trainer:
         kind = self.kind_of.take(unit)
         contexts = model.contexts(units, place, lo, hi)
         h = contexts.sum()
-        drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(CLASS_NOISE), side="right") - 1, self.of.units - 1)
-        noise = self.kind_of[drawn]
-        q, qn = columns_of(model.kind, kind), columns_of(model.kind, noise)
-        sure = -chance(self.log_class.take(kind) - np.einsum("wb,wb->b", h, q))
-        less = qn.copy()
-        less[WIDTH] -= self.log_class[noise]
-        other = chance(less.T @ h)
-        gh = sure * q
-        gh += qn @ other
-        kinds = np.concatenate([kind, noise]), np.concatenate([sure * h, h @ other.T], axis=1)
+        q = columns_of(model.kind, kind)
+        sure = -chance_against(np.einsum("wb,wb->b", h, q) - self.log_class.take(kind))
+        gh, own = sure * q, sure * h
+        of_kinds = np.stack([np.bincount(kind, own[w], len(self.size)) for w in range(WIDTH + 1)])
+        times = np.bincount(kind, minlength=len(self.size))
+        self.class_noise(h, gh, of_kinds, times)
         several = slice(None) if not self.any_alone else np.flatnonzero(~self.alone[kind])
         u, k, hs = unit[several], kind[several], h[:, several]
-        low, size = self.low.take(k), self.in_class.take(k)
         moves, at_moves = [u], []
         q = columns_of(model.target, u)
-        sure = -chance(self.log_within.take(u) - np.einsum("wb,wb->b", hs, q))
+        sure = -chance_against(np.einsum("wb,wb->b", hs, q) - self.log_within.take(u))
         more = sure * q
         at_moves.append(sure * hs)
         for _ in range(NOISE):
-            drawn = np.searchsorted(self.cumulated, low + size * self.random.random(len(k)), side="right") - 1
-            drawn = np.clip(drawn, self.of.first.take(k), self.of.first.take(k + 1) - 1)
+            drawn = self.noise_within(k)
             qn = columns_of(model.target, drawn)
-            other = chance(np.einsum("wb,wb->b", hs, qn) - self.log_within.take(drawn))
+            other = chance_against(self.log_within.take(drawn) - np.einsum("wb,wb->b", hs, qn))
             more += other * qn
             moves.append(drawn)
             at_moves.append(other * hs)
         gh[:, several] += more
         at, columns, distances = contexts.gradients(gh[:WIDTH])
-        self.move("kind", *kinds)
+        met = np.flatnonzero(times)
+        self.move_once("kind", met, of_kinds[:, met].astype(np.float32), times[met])
         if len(u):
             self.move("target", np.concatenate(moves), np.concatenate(at_moves, axis=1))
         self.move("context", at, columns)
-        self.move("distance", np.arange(CONTEXT), distances / len(unit))
+        self.move_once("distance", np.arange(CONTEXT), distances / np.float32(len(unit)), np.ones(CONTEXT))
 
 
 def _packed(rows: dict[str, np.ndarray], met: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -423,14 +459,14 @@ def train(tokens: DataFrame, of: Vocabulary) -> Model:
 
 def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Natural logarithms of the units' probabilities after those before them in their texts."""
-    kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+    kind_of = np.repeat(np.arange(len(of.first) - 1, dtype=np.int16), np.diff(of.first))  # sorted by digits; units are few
     kinds, targets = np.ascontiguousarray(model.kind[:, : WIDTH + 1].T), model.target[:, : WIDTH + 1]
     out = np.empty(len(unit), np.float64)
     longest_kind, longest_target = (np.sqrt(np.einsum("bw,bw->b", t, t).max()) for t in (kinds.T, targets))
 
-    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray, longest: np.float32) -> np.ndarray:
+    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray, most: np.float32) -> np.ndarray:
         logits = h @ table
-        if longest * np.sqrt(np.einsum("bw,bw->b", h, h).max()) > MOST_LOGIT:  # else no product can reach it
+        if most > MOST_LOGIT:  # else no product can reach it
             np.minimum(logits, MOST_LOGIT, out=logits)
         own = logits[np.arange(len(at)), at]
         np.exp(logits, out=logits)
@@ -438,15 +474,22 @@ def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarra
 
     for lo in range(0, len(unit), CHUNK):
         hi = min(len(unit), lo + CHUNK)
-        u, kind = unit[lo:hi], kind_of[unit[lo:hi]]
-        h = np.ascontiguousarray(model.contexts(unit, place, lo, hi).sum().T)
-        got = np.concatenate([chosen(h[a : a + PART], kinds, kind[a : a + PART], longest_kind) for a in range(0, hi - lo, PART)])
+        kind = kind_of.take(unit[lo:hi])
         order = np.argsort(kind, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
-            a, b = of.first[kind[at[0]]], of.first[kind[at[0]] + 1]
-            if b - a > 1:
-                got[at] += chosen(h[at], targets[a:b].T, u[at] - a, longest_target)
-        out[lo:hi] = got
+        h = np.ascontiguousarray(model.contexts(unit, place, lo, hi).sum().T).take(order, axis=0)
+        u, kind, got = unit[lo:hi].take(order), kind.take(order), np.empty(hi - lo)
+        longest = np.sqrt(np.einsum("bw,bw->b", h, h).max())
+        for a in range(0, hi - lo, PART):
+            part = slice(a, a + PART)
+            got[part] = chosen(h[part], kinds, kind[part], longest_kind * longest)
+        starts = np.searchsorted(kind, np.arange(len(of.first)))
+        for k in np.flatnonzero((np.diff(starts) > 0) & (np.diff(of.first) > 1)):
+            a, b = of.first[k], of.first[k + 1]
+            table = np.ascontiguousarray(targets[a:b].T)
+            for at in range(starts[k], starts[k + 1], PART):
+                part = slice(at, min(at + PART, starts[k + 1]))
+                got[part] += chosen(h[part], table, u[part] - a, longest_target * longest)
+        out[lo + order] = got
     return out
 
 

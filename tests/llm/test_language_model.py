@@ -89,3 +89,34 @@ def test_gain_does_not_depend_on_partitions(spark):
         found.append(held.agg((F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).first())
     assert all(r.s > r.b + 0.1 for r in found)
     assert abs(found[0].s - found[1].s) < 0.05
+
+
+def test_units_are_drawn_by_their_mass(spark):
+    of, _ = trained(spark, prose(4, 100))
+    stay, other = lm.aliases(of)
+    got = stay + np.bincount(other, 1 - stay, of.units)
+    size = np.repeat(np.diff(of.first), np.diff(of.first))
+    assert np.allclose(got / size, of.prior / np.repeat(np.add.reduceat(of.prior, of.first[:-1]), np.diff(of.first)))
+    kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+    kinds = np.repeat(np.arange(len(of.first) - 1), 50)
+    assert (kind_of[lm.Trainer(of, lm.Model.start(of), 0).noise_within(kinds)] == kinds).all()
+
+
+def test_class_noise_is_one_gradient_a_draw(spark):
+    """Classes drawn several times count as often; every NOISE_TOKENS tokens have draws of their own."""
+    of, _ = trained(spark, prose(5, 100))
+    trainer, kinds, n = lm.Trainer(of, lm.Model.start(of), 0), len(of.first) - 1, lm.NOISE_TOKENS + 10
+    h = np.random.default_rng(1).normal(size=(lm.WIDTH + 1, n)).astype(np.float32)
+    h[lm.WIDTH] = 1
+    of_h, of_kinds, times = np.zeros_like(h), np.zeros((lm.WIDTH + 1, kinds)), np.zeros(kinds, np.int64)
+    trainer.class_noise(h, of_h, of_kinds, times)
+    drawn = np.searchsorted(trainer.below, np.random.default_rng([lm.SEED, 0]).random((2, lm.CLASS_NOISE)), side="right")
+    want_h, want_kinds = np.zeros((lm.WIDTH + 1, n)), np.zeros((lm.WIDTH + 1, kinds))
+    for part, at in enumerate((slice(0, lm.NOISE_TOKENS), slice(lm.NOISE_TOKENS, n))):
+        for k in drawn[part]:
+            q = trainer.model.kind[k, : lm.WIDTH + 1].astype(float)
+            other = 1 / (1 + np.exp(trainer.log_class[k] - q @ h[:, at]))
+            want_h[:, at] += q[:, None] * other
+            want_kinds[:, k] += h[:, at] @ other
+    assert np.allclose(of_h, want_h, rtol=1e-3, atol=1e-3) and np.allclose(of_kinds, want_kinds, rtol=1e-3, atol=1e-2)
+    assert times.tolist() == np.bincount(drawn.ravel(), minlength=kinds).tolist()
