@@ -38,3 +38,21 @@ def test_band_grid(spark, tmp_path):
     got = {(r.band, r.r, r.c): r.value for r in spark.read.format("band_grid").load(str(tmp_path / "g.pgrid")).collect()}
     assert len(got) == 32 and got["val", 0, 0] == 10.0 and got["val", 3, 3] is None
     assert [k[1] * 4 + k[2] for k, v in sorted(got.items()) if k[0] == "bits" and v] == [0, 2, 15]
+
+
+def test_ensemble_fits_have_partitions_by_rows(spark, monkeypatch):
+    g, seen = planted(spark).repartition(12), []
+
+    def scored(estimator, train, cells, name="score"):
+        seen.append((train.rdd.getNumPartitions(), train.where("presence = 1").count(), train.where("presence = 0").count()))
+        return cells.withColumn(name, F.lit(float(len(seen) % 2)))
+
+    monkeypatch.setattr(models, "fit_score", scored)
+    got = models.ensemble(g, "cell_id", ["f0"], rounds=2, threads=1)
+    positives = g.where("presence = 1").count()
+    assert seen == [(1, positives, round(0.7 * (400 - positives)))] * 4
+    assert got.count() == 400 and got.where("score = 0.5 AND spread = 0.5").count() == 400
+    seen.clear()
+    monkeypatch.setattr(models, "FIT_ROWS", 100)
+    models.ensemble(g, "cell_id", ["f0"], rounds=1, threads=1)
+    assert [n for n, _, _ in seen] == [-(-(positives + seen[0][2]) // 100)] * 2
