@@ -190,3 +190,32 @@ def test_segments_without_an_end_are_left_out(spark):
     assert {r.k: r.distance for r in geometry.nearest_distance(points, lines, 1.0, ["k"]).collect()} == {1: 3.0, 2: 1e6 - 1}
     with pytest.raises(ValueError):
         geometry.nearest_distance(points, spark.createDataFrame(bad, seg), 1.0, ["k"])
+
+
+def test_cells_are_cut_by_what_a_fit_has(spark, monkeypatch):
+    monkeypatch.setattr(fits, "CHUNK_ROWS", 100)
+    assert fits.chunks_of(fits.of_each(spark.range(100), 50)) == 1  # not by the cells of all fits
+    assert fits.chunks_of(fits.of_each(spark.range(101), 2)) == 2 and fits.chunks_of(fits.of_each(spark.range(0), 2)) == 1
+
+
+def test_permutations_score_each_cell_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    def learner(train, cells):
+        def one(batches):
+            for b in batches:
+                scored.add(len(b))
+                yield b.assign(score=b["f0"])
+
+        return cells.mapInPandas(one, cells.withColumn("score", F.lit(0.0)).schema)
+
+    fits.permutation_test(planted(spark), "cell_id", 5, learner, 0.1, 2, 300).collect()
+    assert scored.value == 600 * 5 * 3
+
+
+def test_leaves_of_several_depths():
+    feature, threshold = np.array([[0, -1, 1, -1, -1, -1, -1]]), np.array([[0.5, 0, 0.25, 0, 0, 0, 0]])
+    value = np.array([[0, 1, 0, 9, 9, 2, 4.0]])
+    x = np.array([[0.5, 9], [0.6, 0.25], [0.6, 0.26], [-np.inf, 0]])
+    assert fits.predict(x, feature, threshold, value).tolist() == [1, 2, 4, 1]
+    assert fits.predict(np.tile(x, (3000, 1)), feature, threshold, value).tolist() == [1, 2, 4, 1] * 3000
