@@ -47,8 +47,12 @@ WIDTH, CONTEXT = 16, 3
 ROUNDS, TASK_TOKENS, BATCH, NOISE, CLASS_NOISE, RATE, SEED = 2, 4_000_000, 8192, 1, 64, 0.2, 17
 #: Tokens of a step that share drawn classes.
 NOISE_TOKENS = 2048
+#: Rows summed or turned to columns at a time, which stay in the cache.
+TURNED = 1024
 #: Tokens scored at a time, and those of them whose classes are.
 CHUNK, PART = 65_536, 512
+#: Units with exponentials for all classes, which bounds a task's memory.
+CELL_UNITS = 32_768
 #: Logits are cut off here, so their exponentials stay finite; a part of the model, normalised like all else.
 MOST_LOGIT = 80.0
 #: Distinct words that a task holds before it passes their counts on.
@@ -64,12 +68,13 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def endings(words: Words) -> np.ndarray:
-    """Number of the ending of each word, by its last LETTERS bytes."""
-    value = np.zeros(len(words.end), np.uint64)
+def endings(words: Words, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Number of the ending of each word, or of those at the places given, by its last LETTERS bytes."""
+    start, end = words.start[of], words.end[of]
+    value = np.zeros(len(end), np.uint64)
     for k in range(1, LETTERS + 1):
-        at = words.end - k
-        inside = at >= words.start
+        at = end - k
+        inside = at >= start
         byte = np.where(inside, words.buf[np.maximum(at, 0)], 0) if len(words.buf) else np.zeros(len(at), np.uint8)
         byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)  # A-Z count as a-z
         value = value * np.uint64(256) + byte.astype(np.uint64)
@@ -90,8 +95,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
             words = hash_words(column_of(piece, "text"))
-            word, first, n = np.unique(as_long(words.hash), return_index=True, return_counts=True)
-            held.append((word, endings(words)[first], n))
+            coded = pa.array(as_long(words.hash)).dictionary_encode()
+            at, word = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            some = np.empty(len(word), np.int64)
+            some[at] = np.arange(len(at))  # one place of each word, whichever
+            held.append((word, endings(words, some), np.bincount(at, minlength=len(word))))
             held.append((np.array([END]), np.array([0]), np.array([piece.num_rows])))
             size += len(word) + 1
         if size > HELD_WORDS:
@@ -135,17 +143,17 @@ class Vocabulary:
 
     def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each word stands, and whether it does."""
-        at = self.slot[self._slot(words)]
-        known = np.zeros(len(words), bool)
         last = len(self.word) - 1
+        at = np.minimum(self.slot.take(self._slot(words)), last)
+        found = self.word.take(at)
+        less = np.flatnonzero(found < words)  # stand further on, or nowhere
         for _ in range(self.longest):
-            at = np.minimum(at, last)
-            known = self.word[at] == words
-            if known.all():
+            if not len(less):
                 break
-            at = at + ((self.word[at] < words) & ~known)
-        at = np.minimum(at, last)
-        return at, self.word[at] == words
+            at[less] = np.minimum(at[less] + 1, last)
+            found[less] = self.word.take(at[less])
+            less = less[found[less] < words[less]]
+        return at, found == words
 
     def look_up(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit of each word, given its ending, where it stands, and whether it does."""
@@ -260,7 +268,10 @@ class Contexts:
 
 def columns_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The rows at, without the sums of squares, as columns: steps over many tokens then run along memory."""
-    return np.ascontiguousarray(table.take(at, axis=0).T)[: WIDTH + 1]
+    out = np.empty((WIDTH + 1, len(at)), np.float32)
+    for a in range(0, len(at), TURNED):
+        out[:, a : a + TURNED] = table.take(at[a : a + TURNED], axis=0).T[: WIDTH + 1]
+    return out
 
 
 def read_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,9 +284,9 @@ def read_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chance_against(z: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(z)), in the place of z."""
-    np.clip(z, -30, 30, out=z)
-    np.exp(z, out=z)
+    """1 / (1 + exp(z)), in the place of z; of a z so large that its exponential is infinite, nothing."""
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
     z += 1
     return np.reciprocal(z, out=z)
 
@@ -346,8 +357,8 @@ class Trainer:
             less = -q
             less[WIDTH] += self.log_class[noise]
             other = chance_against(less.T @ h[:, at])
-            of_h[:, at] += (q * n) @ other
-            of_kinds[:, noise] += (h[:, at] @ other.T) * n
+            of_h[:, at] += (q * n)[: len(of_h)] @ other
+            of_kinds[:, noise] += (other @ h[:, at].T).T * n
             times += often
 
     def noise_within(self, kind: np.ndarray) -> np.ndarray:
@@ -365,7 +376,7 @@ class Trainer:
         h = contexts.sum()
         q = columns_of(model.kind, kind)
         sure = -chance_against(np.einsum("wb,wb->b", h, q) - self.log_class.take(kind))
-        gh, own = sure * q, sure * h
+        gh, own = sure * q[:WIDTH], sure * h
         of_kinds = np.stack([np.bincount(kind, own[w], len(self.size)) for w in range(WIDTH + 1)])
         times = np.bincount(kind, minlength=len(self.size))
         self.class_noise(h, gh, of_kinds, times)
@@ -374,17 +385,17 @@ class Trainer:
         moves, at_moves = [u], []
         q = columns_of(model.target, u)
         sure = -chance_against(np.einsum("wb,wb->b", hs, q) - self.log_within.take(u))
-        more = sure * q
+        more = sure * q[:WIDTH]
         at_moves.append(sure * hs)
         for _ in range(NOISE):
             drawn = self.noise_within(k)
             qn = columns_of(model.target, drawn)
             other = chance_against(self.log_within.take(drawn) - np.einsum("wb,wb->b", hs, qn))
-            more += other * qn
+            more += other * qn[:WIDTH]
             moves.append(drawn)
             at_moves.append(other * hs)
         gh[:, several] += more
-        at, columns, distances = contexts.gradients(gh[:WIDTH])
+        at, columns, distances = contexts.gradients(gh)
         met = np.flatnonzero(times)
         self.move_once("kind", met, of_kinds[:, met].astype(np.float32), times[met])
         if len(u):
@@ -457,38 +468,109 @@ def train(tokens: DataFrame, of: Vocabulary) -> Model:
     return model
 
 
-def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the units' probabilities after those before them in their texts."""
-    kind_of = np.repeat(np.arange(len(of.first) - 1, dtype=np.int16), np.diff(of.first))  # sorted by digits; units are few
-    kinds, targets = np.ascontiguousarray(model.kind[:, : WIDTH + 1].T), model.target[:, : WIDTH + 1]
-    out = np.empty(len(unit), np.float64)
-    longest_kind, longest_target = (np.sqrt(np.einsum("bw,bw->b", t, t).max()) for t in (kinds.T, targets))
+class Choice:
+    """Classes, or the units of one: vectors and biases as columns, and what bounds their products."""
 
-    def chosen(h: np.ndarray, table: np.ndarray, at: np.ndarray, most: np.float32) -> np.ndarray:
-        logits = h @ table
-        if most > MOST_LOGIT:  # else no product can reach it
+    def __init__(self, rows: np.ndarray) -> None:
+        self.table = np.ascontiguousarray(rows[:, : WIDTH + 1].T)
+        self.longest, self.bias = lengths(rows).max(), rows[:, WIDTH].max()
+
+    def log_chances(self, h: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logarithms of the chances of the columns at, after the contexts h."""
+        logits = h @ self.table
+        if self.longest * length.max() + self.bias > MOST_LOGIT:  # else no product can reach it
             np.minimum(logits, MOST_LOGIT, out=logits)
         own = logits[np.arange(len(at)), at]
         np.exp(logits, out=logits)
         return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Lengths of vectors, without their biases."""
+    return np.sqrt(np.einsum("bw,bw->b", rows[:, :WIDTH], rows[:, :WIDTH]))
+
+
+class Factors:
+    """What every unit brings to a context at every distance: its weighted vector, and the exponentials of that vector's products with all classes.
+
+    A context is a sum, so the exponential of its product with a class is a product of one cell for each distance,
+    and a task works out exponentials for the most frequent units, not for tokens. Tokens after other units, or whose products
+    may be too large for that, are left to the products themselves.
+    """
+
+    def __init__(self, model: Model) -> None:
+        bias, kinds = model.kind[:, WIDTH], model.kind[:, :WIDTH].T
+        self.vectors = [model.context[:, :WIDTH] * row[:WIDTH] for row in model.distance]
+        self.cells, self.reach = [], []
+        start = len(model.context) - 1
+        rows = np.append(np.arange(min(CELL_UNITS, start)), start)  # the most frequent units
+        for vectors in self.vectors:
+            cells, reach = vectors.take(rows, axis=0) @ kinds, np.full(start + 1, np.inf, np.float32)
+            reach[rows] = np.maximum(cells.max(axis=1), -cells.min(axis=1))
+            self.reach.append(reach)
+            self.cells.append(np.exp(np.clip(cells, -MOST_LOGIT, MOST_LOGIT, out=cells), out=cells))
+        self.weight = np.exp(np.clip(bias, -MOST_LOGIT, MOST_LOGIT))
+        self.most = MOST_LOGIT - np.abs(bias).max()
+
+    def before(self, unit: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Units before the tokens lo:hi, a row for each distance."""
+        out = np.full((CONTEXT, hi - lo), len(self.vectors[0]) - 1)
+        for k in range(1, CONTEXT + 1):
+            a = max(lo, k)
+            if a < hi:
+                np.copyto(out[k - 1, a - lo :], unit[a - k : hi - k], where=place[a:hi] >= k)
+        return out
+
+    def contexts(self, before: np.ndarray) -> np.ndarray:
+        """Sums of the weighted vectors, and a last column of ones, by which a bias counts as one more product."""
+        out = np.ones((before.shape[1], WIDTH + 1), np.float32)
+        for a in range(0, len(out), TURNED):
+            part = slice(a, a + TURNED)
+            total = self.vectors[0].take(before[0, part], axis=0)
+            for vectors, at in zip(self.vectors[1:], before[1:], strict=True):
+                total += vectors.take(at[part], axis=0)
+            out[part, :WIDTH] = total
+        return out
+
+    def log_kinds(self, before: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the chances of the tokens' classes, and the tokens that are left out."""
+        out, own = np.empty(len(kind)), self.weight.take(kind)
+        room = np.empty((2, PART // 2, len(self.weight)), np.float32)
+        for a in range(0, len(kind), PART // 2):
+            part = slice(a, min(a + PART // 2, len(kind)))
+            product, factor = room[:, : part.stop - a]
+            self.cells[0].take(before[0, part], axis=0, out=product, mode="clip")  # the start is the last row
+            for cells, at in zip(self.cells[1:], before[1:], strict=True):
+                product *= cells.take(at[part], axis=0, out=factor, mode="clip")
+            out[part] = product[np.arange(part.stop - a), kind[part]] * own[part] / (product @ self.weight)
+        far = np.flatnonzero(sum(r.take(at) for r, at in zip(self.reach, before, strict=True)) >= self.most)
+        out[far] = 1
+        return np.log(out), far
+
+
+def log_chances(model: Model, of: Vocabulary, unit: np.ndarray, place: np.ndarray, factors: Factors | None = None) -> np.ndarray:
+    """Natural logarithms of the units' probabilities after those before them in their texts; factors: of this model, where they are at hand."""
+    factors = factors or Factors(model)
+    kinds, units = Choice(model.kind), [Choice(model.target[a:b]) for a, b in zip(of.first[:-1], of.first[1:], strict=True)]
+    kind_of = np.repeat(np.arange(len(of.first) - 1, dtype=np.int16), np.diff(of.first))  # sorted by digits; units are few
+    out = np.empty(len(unit), np.float64)
+
     for lo in range(0, len(unit), CHUNK):
         hi = min(len(unit), lo + CHUNK)
         kind = kind_of.take(unit[lo:hi])
         order = np.argsort(kind, kind="stable")
-        h = np.ascontiguousarray(model.contexts(unit, place, lo, hi).sum().T).take(order, axis=0)
-        u, kind, got = unit[lo:hi].take(order), kind.take(order), np.empty(hi - lo)
-        longest = np.sqrt(np.einsum("bw,bw->b", h, h).max())
-        for a in range(0, hi - lo, PART):
-            part = slice(a, a + PART)
-            got[part] = chosen(h[part], kinds, kind[part], longest_kind * longest)
+        u, kind, before = unit[lo:hi].take(order), kind.take(order), factors.before(unit, place, lo, hi).take(order, axis=1)
+        h = factors.contexts(before)
+        length = lengths(h)
+        got, far = factors.log_kinds(before, kind)
+        for a in range(0, len(far), PART):
+            part = far[a : a + PART]
+            got[part] = kinds.log_chances(h[part], length[part], kind[part])
         starts = np.searchsorted(kind, np.arange(len(of.first)))
         for k in np.flatnonzero((np.diff(starts) > 0) & (np.diff(of.first) > 1)):
-            a, b = of.first[k], of.first[k + 1]
-            table = np.ascontiguousarray(targets[a:b].T)
-            for at in range(starts[k], starts[k + 1], PART):
-                part = slice(at, min(at + PART, starts[k + 1]))
-                got[part] += chosen(h[part], table, u[part] - a, longest_target * longest)
+            for a in range(starts[k], starts[k + 1], PART):
+                part = slice(a, min(a + PART, starts[k + 1]))
+                got[part] += units[k].log_chances(h[part], length[part], u[part] - of.first[k])
         out[lo + order] = got
     return out
 
@@ -547,11 +629,12 @@ def _score(of: Vocabulary, tables):
     """Adds the logarithms of the units' probabilities to the fixed part of the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(tables)
+        model, factors = Model(tables), None
         for batch in batches:
             for piece in pieces(batch, "units"):
+                factors = factors or Factors(model)
                 unit, place, n = read_units(column_of(piece, "units"))
-                logs = np.bincount(np.repeat(np.arange(len(n)), n), log_chances(model, of, unit, place), len(n))
+                logs = np.bincount(np.repeat(np.arange(len(n)), n), log_chances(model, of, unit, place, factors), len(n))
                 score = column_of(piece, "fixed").to_numpy() + logs / np.log(10.0)
                 yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in KEPT), pa.array(score)], names=[*KEPT, "score"])
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlode.llm import language_model as lm
-from gridlode.llm.textcols import as_long, hash_words
+from gridlode.llm.textcols import _BYTE, as_long, hash_words, mix
 
 
 def trained(spark, texts):
@@ -120,3 +120,64 @@ def test_class_noise_is_one_gradient_a_draw(spark):
             want_kinds[:, k] += h[:, at] @ other
     assert np.allclose(of_h, want_h, rtol=1e-3, atol=1e-3) and np.allclose(of_kinds, want_kinds, rtol=1e-3, atol=1e-2)
     assert times.tolist() == np.bincount(drawn.ravel(), minlength=kinds).tolist()
+
+
+def test_exponentials_of_classes_are_units_not_tokens(spark, monkeypatch):
+    of, model = trained(spark, prose(6, 100))
+    size, worked = np.diff(of.first), []
+    kind_of = np.repeat(np.arange(len(size)), size)
+    unit = np.random.default_rng(2).integers(0, of.units, 100_000)
+    factors, exp_ = lm.Factors(model), np.exp
+    monkeypatch.setattr(np, "exp", lambda z, *a, **b: (worked.append(np.size(z)), exp_(z, *a, **b))[1])
+    lm.log_chances(model, of, unit, np.arange(len(unit)), factors)
+    own = size[kind_of[unit]]
+    assert 0 < sum(worked) <= own[own > 1].sum()  # none of the classes is worked out for a token
+
+
+def test_class_chances_by_products_where_cells_do_not_reach(spark, monkeypatch):
+    """Vectors too long for the exponentials of single distances give the same chances, by their products, cut off."""
+    of, model = trained(spark, prose(7, 100))
+    unit = np.random.default_rng(3).integers(0, of.units, 5000)
+    place = np.tile(np.arange(50), 100)
+    few = unit[17]
+    for left_out in (False, True):
+        if left_out:
+            model.context[few, : lm.WIDTH] *= 300 / np.abs(model.kind[:, : lm.WIDTH] @ model.context[few, : lm.WIDTH]).max()
+        factors = lm.Factors(model)
+        before = factors.before(unit, place, 0, len(unit))
+        for k in range(1, lm.CONTEXT + 1):
+            assert before[k - 1].tolist() == [of.units if p < k else unit[i - k] for i, p in enumerate(place)]
+        h = sum(model.context[at, : lm.WIDTH].astype(float) * model.distance[k, : lm.WIDTH] for k, at in enumerate(before))
+        assert np.allclose(factors.contexts(before), np.append(h, np.ones((len(h), 1)), axis=1), rtol=1e-4, atol=1e-4)
+        logits = np.minimum(h @ model.kind[:, : lm.WIDTH].T + model.kind[:, lm.WIDTH], lm.MOST_LOGIT)
+        kind_of = np.repeat(np.arange(len(of.first) - 1), np.diff(of.first))
+        kind = kind_of[unit]
+        got, far = factors.log_kinds(before, kind)
+        assert (len(far) > 0) == left_out and set(far) <= set(np.flatnonzero((before == few).any(axis=0)))
+        near, want = np.setdiff1d(np.arange(len(unit)), far), logits[np.arange(len(unit)), kind] - np.log(np.exp(logits).sum(axis=1))
+        assert np.allclose(got[near], want[near], atol=1e-3)
+        inside = np.zeros(len(unit))
+        for i, (u, k) in enumerate(zip(unit, kind, strict=True)):
+            a, b = of.first[k], of.first[k + 1]
+            z = np.minimum(model.target[a:b, : lm.WIDTH].astype(float) @ h[i] + model.target[a:b, lm.WIDTH], lm.MOST_LOGIT)
+            inside[i] = z[u - a] - np.log(np.exp(z).sum())
+        assert np.allclose(lm.log_chances(model, of, unit, place), want + inside, rtol=1e-3, atol=1e-2)
+    monkeypatch.setattr(lm, "CELL_UNITS", of.units // 2)
+    got, far = lm.Factors(model).log_kinds(before, kind)
+    seldom = ((before >= of.units // 2) & (before < of.units)).any(axis=0)
+    near = np.setdiff1d(np.arange(len(unit)), far)
+    assert np.flatnonzero(seldom).tolist() == np.intersect1d(far, np.flatnonzero(seldom)).tolist() and len(near) and np.allclose(got[near], want[near], atol=1e-3)
+    assert np.allclose(lm.log_chances(model, of, unit, place), want + inside, rtol=1e-3, atol=1e-2)
+
+
+def test_hashes_do_not_depend_on_what_stands_beside():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcXYZé中") for _ in range(rng.choice([1, 2, 7, 8, 23, 24, 25, 26, 80]))) for _ in range(300)] + ["q" * 5000]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(1000)] + ["", " ".join(words)]  # more words than are taken at once
+    got = hash_words(pa.array(texts))
+    alone = dict(zip(words, (hash_words(pa.array([w])).hash[0] for w in words), strict=True))
+    assert got.hash.tolist() == [alone[w] for t in texts for w in t.split()]
+    power, total = 0x9DDFEA08EB382D69, 0
+    for k, b in enumerate("word".encode() * 20):
+        total += int(_BYTE[b]) * pow(power, k, 2**64)
+    assert hash_words(pa.array(["WORD" * 20])).hash[0] == mix(np.array([(total + 80) % 2**64], np.uint64))[0]
