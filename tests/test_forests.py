@@ -153,8 +153,43 @@ def test_permutations_without_presence_background_or_cells(spark):
         assert fits.permutation_test(none, "cell_id", 5, forest, 0.1, 2).count() == 0
     one = cells.withColumn("presence", (F.col("fold") == 0).cast("int"))  # what is left without it has one class
     assert fits.permutation_test(one, "cell_id", 5, forest, 0.1, 2).count() == 0
-    with pytest.raises(ValueError):
-        fits.permutation_test(cells, "cell_id", 5, fits.Forest(COLUMNS, trees=1, depth=9), 0.1, 1)
+
+
+def test_trees_may_be_deep(spark):
+    cells = planted(spark, 2000)
+    rows = forests.encoded(cells, "cell_id", COLUMNS, [(F.col("cell_id") % 2).cast("int")], 5)
+    grown = forests.grow(rows, [(0, 1)], 3, 1, 10, 1, 1)
+    (block,) = forests.blocks(iter(rows.toArrow().to_batches()), 10**6)
+    assert block.places(grown.feature[0, 0], grown.cut[0, 0], 10).max() > 255
+    feature, cut, value, walked = grown.feature[0, 0], grown.cut[0, 0], grown.value[0, 0], []
+    for r in range(2000):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + 1 + (block.x[feature[node]][r] > cut[node])
+        walked.append(value[node])
+    assert (grown.scores(block, 0) == walked).all()
+
+
+def test_common_values_are_dealt_over_tasks(spark):
+    melted = spark.range(4000).select(F.col("id").alias("k"), F.lit(0).alias("feature"), F.greatest(F.col("id") - 3000, F.lit(0)).cast("double").alias("v"))
+    seen = []
+    ranges = metrics.materialize
+
+    def spied(rows):
+        out = ranges(rows)
+        seen.extend(r["count"] for r in out.groupBy("_part").count().collect())
+        return out
+
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so little would be one partition
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(metrics, "materialize", spied)
+            (own,) = forests.edges(melted, "k", 1, 4000)
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(seen) > 1 and max(seen) < 2000
+    assert own.tolist() == np.unique(np.quantile(np.maximum(np.arange(4000) - 3000, 0.0), np.linspace(0, 1, 65)[1:-1])).tolist()
 
 
 def test_forests_of_whole_cells_rank_as_well_as_those_of_one_group(spark):
